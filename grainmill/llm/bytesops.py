@@ -104,7 +104,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     keep = np.arange(len(h)) + k <= last
     short = np.flatnonzero((words > 0) & (words < k))
     for i in short:
-        a, b = first[i], first[i + 1]
+        a, b = int(first[i]), int(first[i + 1])
         keep[a] = True
         comb[a] = sum(int(h[a + j]) * (0xA24BAED4963EE407 * (2 * j + 1) + (b - a)) for j in range(b - a)) % (1 << 64)
     comb, row = mix(comb[keep]), row[keep]

@@ -14,6 +14,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles have a Jaccard similarity of 0.85 or more."""
+    from grainmill.llm.ngram_join import components
+
+    return components(table(spark, sf_dir, "documents"), k=4, threshold=85).drop("row_id")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, learned from the ids whose CRC-32 modulo 3 is not 1."""
     from grainmill.llm.language_id import identify
