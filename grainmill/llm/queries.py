@@ -37,6 +37,24 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path()).drop("row_id", "ids")
 
 
+PII_KEY = "pseudonym key of the registered query"
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with personal data replaced by format-preserving pseudonyms."""
+    from grainmill.llm.pii import pseudonymise
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymise(docs, spark.conf.get("spark.grainmill.pii.key", PII_KEY))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that an earlier line of the corpus matches within one word edit."""
+    from grainmill.llm.line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict:
     return {k: f for k, f in sorted(globals().items()) if k.startswith("op") and k[2].isdigit()}
 
