@@ -15,7 +15,7 @@ table gives no rows; very long texts give more full windows; further columns are
 from __future__ import annotations
 
 import heapq
-import re
+import json
 import zlib
 
 import numpy as np
@@ -24,93 +24,51 @@ from pyspark.sql import DataFrame, functions as F
 
 from grainmill.llm.shared import materialize
 
-#: texts in which white space is more than single spaces and newlines between words are encoded as a whole
-_HARD = re.compile(r"[^\S \n]|[ \n]{2}|^[ \n]|[ \n]$")
-_WORDS = re.compile(r" ?[^ \n]+|\n")
-_MOST_WORDS = 300_000
-
 PIECE_SCHEMA = "row_id long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"
 
 
-class WordEncoder:
-    """Byte-level BPE of whole texts with a bounded memory of words: BPE never merges across these word borders."""
+class Encoder:
+    """Byte-level BPE of whole texts, special strings read as ordinary text.
+
+    The vocabulary of the ``tokenizers`` file is handed to ``tiktoken``, which merges by the same ranks several times faster;
+    the first texts of every task are encoded by both, and on any difference the task goes on with ``tokenizers``.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, compare: int = 8):
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.newline = self.tok.encode("\n", add_special_tokens=False).ids
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.int32)
-        self.used, self.starts, self.lens = 0, np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        """Encode new words together, split by newlines, which are tokens of their own."""
-        joined = ["\n".join(words[i : i + 2000]) for i in range(0, len(words), 2000)]
-        out = [np.asarray(e.ids, np.int32) for e in self.tok.encode_batch(joined, add_special_tokens=False)]
-        ids = np.concatenate([x for e in out for x in (e, np.asarray(self.newline, np.int32))])
-        ends = np.flatnonzero(ids == self.newline[0])
-        begins = np.concatenate([[0], ends[:-1] + 1])
-        assert len(ends) == len(words), "a word holds a newline"
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        n = len(self.index)
-        while n + len(words) > len(self.starts):
-            self.starts, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.starts[n : n + len(words)], self.lens[n : n + len(words)] = begins + self.used, ends - begins
-        self.index.update(zip(words, range(n, n + len(words)), strict=True))
-        self.used += len(ids)
-
-    def encode(self, text: str) -> np.ndarray:
+        self.slow = Tokenizer.from_file(path)
+        self.slow.encode_special_tokens = True
+        self.fast = self._fast(path)
+        self.compare = compare
+
+    @staticmethod
+    def _fast(path: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        kind = spec.get("pre_tokenizer") or {}
+        if spec["model"]["type"] != "BPE" or kind.get("type") != "ByteLevel" or kind.get("add_prefix_space") or spec.get("normalizer"):
+            return None
+        # the printable stand-ins of bytes in such files: printable Latin-1 for itself, the others from U+0100 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+        special = {t["content"] for t in spec.get("added_tokens", [])}
+        ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
+        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+        return tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> list[int]:
         """The ids of one text."""
-        if not text:
-            return np.zeros(0, np.int32)
-        if _HARD.search(text):
-            return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, np.int32)
-        words = _WORDS.findall(text)
-        get = self.index.get
-        at = [get(w, -1) for w in words]
-        if -1 in at:
-            if len(self.index) > _MOST_WORDS:
-                self._clear()
-                get = self.index.get
-            new = dict.fromkeys(w for w in words if w not in self.index)
-            line = new.pop("\n", 0) is None
-            if new:
-                self._learn(list(new))
-            if line:
-                self._newline()
-            at = [get(w, -1) for w in words]
-        at = np.asarray(at)
-        lens = self.lens[at]
-        ends = np.cumsum(lens)
-        return self.flat[np.repeat(self.starts[at] - ends + lens, lens) + np.arange(ends[-1])]
-
-    def learn_from(self, texts: list[str]) -> None:
-        """Encode the words of many texts that are still unknown in one go."""
-        if len(self.index) > _MOST_WORDS:
-            self._clear()
-        new = dict.fromkeys(w for t in texts if t and not _HARD.search(t) for w in _WORDS.findall(t) if w not in self.index)
-        line = new.pop("\n", 0) is None
-        if new:
-            self._learn(list(new))
-        if line:
-            self._newline()
-
-    def _newline(self) -> None:
-        n = len(self.index)
-        if n >= len(self.starts):
-            self.starts, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lens))
-        if self.used + 1 > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used], self.starts[n], self.lens[n] = self.newline[0], self.used, 1
-        self.index["\n"] = n
-        self.used += 1
+        if self.fast is None or self.compare > 0:
+            ids = self.slow.encode(text, add_special_tokens=False).ids
+            if self.fast is not None:
+                self.compare -= 1
+                if self.fast.encode_ordinary(text) != ids:
+                    self.fast = None
+            return ids
+        return self.fast.encode_ordinary(text)
 
 
 def _cut(total: int, window: int, piece: int) -> list[tuple[int, int]]:
@@ -131,23 +89,21 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, window: int = 1024, pi
     """One row per piece of every document: where it lies in the document, its length and the CRC-32 of its ids."""
 
     def run(batches):
-        enc = WordEncoder(tokenizer_path)
+        enc = Encoder(tokenizer_path)
         for batch in batches:
             names = {k: [] for k in ("row_id", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
             rows, ids, texts = (batch.column(i).to_pylist() for i in range(3))
-            for lo in range(0, len(texts), 512):
-                enc.learn_from(texts[lo : lo + 512])
-                for r, d, t in zip(rows[lo : lo + 512], ids[lo : lo + 512], texts[lo : lo + 512], strict=True):
-                    tokens = np.append(enc.encode(t), np.int32(end_id)).astype("<u4")
-                    buf = tokens.tobytes()
-                    for start, length in _cut(len(tokens), window, piece):
-                        names["row_id"].append(r)
-                        names["doc_id"].append(d)
-                        names["start"].append(start)
-                        names["length"].append(length)
-                        names["ids_crc32"].append(zlib.crc32(buf[4 * start : 4 * (start + length)]))
-                        names["doc_tokens"].append(len(tokens))
-                        names["ids"].append(tokens[start : start + length].astype(np.int32) if with_ids else None)
+            for r, d, t in zip(rows, ids, texts, strict=True):
+                tokens = np.array([*enc.encode(t or ""), end_id], "<u4")
+                buf = tokens.tobytes()
+                for start, length in _cut(len(tokens), window, piece):
+                    names["row_id"].append(r)
+                    names["doc_id"].append(d)
+                    names["start"].append(start)
+                    names["length"].append(length)
+                    names["ids_crc32"].append(zlib.crc32(buf[4 * start : 4 * (start + length)]))
+                    names["doc_tokens"].append(len(tokens))
+                    names["ids"].append(tokens[start : start + length].astype(np.int32) if with_ids else None)
             kinds = [pa.int64()] * 6 + [pa.list_(pa.int32())]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(names.values(), kinds, strict=True)], list(names))
 
