@@ -37,6 +37,63 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path()).drop("row_id", "ids")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes that 200-byte strings starting at two places cover."""
+    from grainmill.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the benchmark items that it holds."""
+    from grainmill.llm.decontamination import with_hits
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = with_hits(docs, table(spark, sf_dir, "benchmark")).drop("text")
+    items = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"])))
+    best = F.array_max(F.transform("hits", lambda h: h["score"]))
+    return hits.select("doc_id", (F.size("hits") > 0).alias("contaminated"), items.alias("item_ids"), best.alias("best_score"))
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The source is the host; as documents carry no path, the language section of a source stands for it."""
+    from grainmill.llm.quality import classify
+
+    return classify(docs, labels, F.col("source"), F.col("lang"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence, site posteriors, score and decision of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return quality_scores(docs, table(spark, sf_dir, "labels")).drop("text", "lang", "source")
+
+
+DRILL = 97, 5
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC records, audited against a replica in which the drill has damaged every page of one residue class."""
+    from grainmill.llm import warc
+    from grainmill.llm.shared import materialize
+
+    archive = materialize(warc.write_records(table(spark, sf_dir, "pages")), "archive")
+    broken = F.pmod("page_id", F.lit(DRILL[0])) == DRILL[1]
+    size = F.octet_length("record")
+    damaged = F.concat(F.substr("record", F.lit(1), size - 5), F.lit(b"\x00"), F.substr("record", size - 3, F.lit(4)))
+    replica = archive.withColumn("record", F.when(F.coalesce(broken, F.lit(False)), damaged).otherwise(F.col("record")))
+    first = materialize(warc.leaves(archive), "leaves")
+    found, _ = warc.audit(first, materialize(warc.leaves(replica), "leaves"))
+    states = found.select("volume", F.col("node").alias("seq"), "state")
+    return first.join(states, ["volume", "seq"], "left").select("page_id", "length", "sha256", F.coalesce("state", F.lit("same")).alias("state"))
+
+
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every vector whose id is divisible by 100."""
+    from grainmill.llm.ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 PII_KEY = "pseudonym key of the registered query"
 
 
