@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +28,19 @@ def get_session(app: str = "grainmill", cores: str | None = None, shuffle_partit
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below a scale-factor folder, on any file system Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a new local one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = tempfile.mkdtemp(prefix="grainmill-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back, so that later steps see the same rows if a task runs again."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
