@@ -1,7 +1,7 @@
 """Benchmark decontamination: every training passage is a BM25 query against an inverted index of test items.
 
 Items become postings (term hash, item, BM25 impact divided by the item's own total, so that a score is the matched share of
-an item in 0..1). Items are grouped by length into bands with passages twice as long as the longest item of the band and half
+an item in 0..1). Items are grouped into bands by the power of two that holds their length; passages are twice that long and half
 overlapping, so every copy of an item lies whole in one passage; in a band, items of neighbouring lengths form blocks.
 
 Retrieval is block-max WAND on a batch of passages at once. The terms of an item that together cannot reach the threshold less
@@ -89,9 +89,9 @@ def item_terms(items: DataFrame) -> DataFrame:
 class Band:
     """Index of the items of similar length: essential block postings, exact postings by block, shingles."""
 
-    def __init__(self, rows: list, df: dict[int, int], n_items: int, mean_words: float, threshold: float, slack: float):
+    def __init__(self, rows: list, step: int, df: dict[int, int], n_items: int, mean_words: float, threshold: float, slack: float):
         rows = sorted(rows, key=lambda r: (r["words"], r["item_row"]))
-        self.step = max(32, max(r["words"] for r in rows))
+        self.step = step
         self.ids = [r["item_id"] for r in rows]
         self.sets = [tuple((np.array(r[c], np.int64).view(np.uint64), k) for c, k in zip(("q", "a", "w"), r["sizes"], strict=True)) for r in rows]
         n_blocks = -(-len(rows) // BLOCK)
@@ -195,7 +195,7 @@ def build(items: DataFrame, threshold: float, slack: float, shard_bytes: int) ->
         bands: dict[int, list] = {}
         for r in part.collect():
             bands.setdefault(int(np.ceil(np.log2(max(r["words"], 32)))), []).append(r)
-        out.append([Band(rows, counts, stats[0], stats[1], threshold, slack) for _, rows in sorted(bands.items())])
+        out.append([Band(rows, 1 << band, counts, stats[0], stats[1], threshold, slack) for band, rows in sorted(bands.items())])
     return out
 
 
