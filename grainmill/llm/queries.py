@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from grainmill.llm.oracles import ORACLE
 from grainmill.session import table
 
 
@@ -116,8 +117,5 @@ def queries() -> dict:
     return {k: f for k, f in sorted(globals().items()) if k.startswith("op") and k[2].isdigit()}
 
 
-ORACLE: dict[str, str] = {}
-
-
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
