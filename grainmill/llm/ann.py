@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from grainmill.llm.shared import materialize
+from grainmill.llm.shared import materialize, revive
 
 RESULT = "row_id long, query_id long, vec_id long, other_row long, score double"
 
@@ -159,17 +159,18 @@ def search(vectors: DataFrame, is_query, k: int = 10, sample_rows: int = 8000, p
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows, n = rows.where(F.size("v") == lengths[0]["d"]), lengths[0]["count"]
     router, parts, visits = fit(rows, n, k, sample_rows, part_rows, small_rows, target_recall)
-    shared = spark.sparkContext.broadcast(router)
+    shared = spark.sparkContext.broadcast(None if router is None else vars(router))
 
     def route(m: int):
         def run(batches):
+            known = revive(Router, shared.value)
             for batch in batches:
                 v = batch.column(batch.num_columns - 1)
                 size = len(v)
-                if shared.value is None or size == 0:
+                if known is None or size == 0:
                     best = np.zeros((size, 1), np.int32)
                 else:
-                    best = shared.value.best(v.flatten().to_numpy(zero_copy_only=False).reshape(size, -1), m)
+                    best = known.best(v.flatten().to_numpy(zero_copy_only=False).reshape(size, -1), m)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(best.astype(np.int32)), pa.list_(pa.int32()))], [*batch.schema.names, "parts"])
 
         return run

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from grainmill.llm.bytesops import blocks, mix, raw, word_hashes
-from grainmill.llm.shared import materialize
+from grainmill.llm.shared import materialize, revive
 
 K1, B = 1.2, 0.75
 BLOCK = 8
@@ -204,7 +204,7 @@ def with_hits(docs: DataFrame, items: DataFrame, threshold: float = 0.5, slack:
     spark = docs.sparkSession
     out = docs.withColumn("hits", F.array().cast(HIT))
     for shard in build(items, threshold, slack, shard_bytes):
-        search = searcher(spark.sparkContext.broadcast(shard), threshold, overlap)
+        search = searcher(spark.sparkContext.broadcast([vars(band) for band in shard]), threshold, overlap)
         out = out.withColumn("hits", F.concat("hits", search("text")))
     return out
 
@@ -215,11 +215,12 @@ def searcher(shared, threshold: float, overlap: float):
     @F.arrow_udf(HIT)
     def search(text: pa.Array) -> pa.Array:
         found: list[list] = [[] for _ in range(len(text))]
+        bands = [revive(Band, state) for state in shared.value]
         data, offsets = raw(text)
         for i, j in blocks(offsets, 1 << 20):
             h, row, _, _ = word_hashes(_WORD[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i])
             word_at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=j - i))])
-            for band in shared.value:
+            for band in bands:
                 for d, passage, item, score, q, a, w in band.search(h, word_at, threshold, overlap):
                     found[i + d].append({"item_id": item, "passage": passage, "score": score, "question": q, "answer": a, "whole": w})
         return pa.array(found, pa.list_(pa.struct([("item_id", pa.int64()), ("passage", pa.int32()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64()), ("whole", pa.float64())])))

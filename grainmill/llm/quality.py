@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from grainmill.llm.bytesops import blocks, raw, word_hashes
-from grainmill.llm.shared import materialize
+from grainmill.llm.shared import materialize, revive
 
 BITS = 18
 _WORD = np.full(256, 32, np.uint8)
@@ -141,11 +141,11 @@ def with_evidence(docs: DataFrame, model: Model | None) -> DataFrame:
     """Adds ``evidence``: calibrated log-odds of being good, from the whole text."""
     if model is None:
         return docs.withColumn("evidence", F.lit(0.0))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     @F.arrow_udf("double")
     def evidence(text: pa.Array) -> pa.Array:
-        return pa.array(shared.value.evidence(text), pa.float64())
+        return pa.array(revive(Model, shared.value).evidence(text), pa.float64())
 
     return docs.withColumn("evidence", evidence("text"))
 

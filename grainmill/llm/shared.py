@@ -25,6 +25,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def revive(kind: type, state: dict | None):
+    """An object from its attributes. Broadcasts carry plain attributes, as executors need not have this package."""
+    if state is None:
+        return None
+    out = kind.__new__(kind)
+    out.__dict__.update(state)
+    return out
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
