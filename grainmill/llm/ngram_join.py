@@ -36,11 +36,13 @@ PROFILE = "row_id long, doc_id long, n long, hi long, lo long, lone long, prefix
 
 def planes(x: np.ndarray) -> bytes:
     """Byte planes of an integer array, which compress well for sorted or small values."""
-    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b""
 
 
 def unplanes(b: bytes, kind: type) -> np.ndarray:
     width = np.dtype(kind).itemsize
+    if not b:
+        return np.zeros(0, kind)
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
@@ -180,30 +182,36 @@ def link(prof: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     items = live.join(classes.select("item"), live.row_id == F.col("item"), "left_semi").select(F.col("row_id").alias("item"), "n", "lone", "hi", "lo", "prefix", "tokens", F.xxhash64("n", "lone", "prefix").alias("gid"))
     items = materialize(items, "items")
     groups = items.groupBy("gid").agg(F.min("item").alias("leader"), F.count("*").alias("members"))
-    heads = items.join(groups, (items.item == groups.leader) & (items.gid == groups.gid)).select(items.gid, "leader", "members", "n", "lone", F.posexplode("prefix").alias("pos", "token"))
+    heads = items.join(groups.drop("gid"), F.col("item") == F.col("leader")).select("gid", "leader", "members", "n", "lone", F.posexplode("prefix").alias("pos", "token"))
     used = heads.groupBy("token").agg(F.sum("members").alias("c")).where("c > 1").select("token")
     rows = materialize(heads.join(used, "token", "left_semi").withColumn("band", F.floor(F.log("n") / float(np.log(100 / threshold)) * 2)), "prefixes")
-    # pivots: the first and last leader, by hash, of each bucket and size band; in a group, its leader
-    key = F.struct(F.xxhash64("gid").alias("h"), F.col("leader"))
-    pivots = rows.groupBy("token", "band").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo.leader <> hi.leader")
+    # pivots: of each bucket and size band the leader with the fewest shingles of its own, to which most others are close,
+    # and another by hash; in a group, its leader
+    own, any_ = F.struct("lone", F.xxhash64("gid").alias("h"), "leader"), F.struct(F.xxhash64("gid").alias("h"), "leader")
+    pivots = rows.groupBy("token", "band").agg(F.min(own).alias("lo"), F.max(any_).alias("hi")).where("lo.leader <> hi.leader")
     near = rows.join(pivots, ["token", "band"]).select("leader", F.explode(F.array("lo.leader", "hi.leader")).alias("pivot"))
     inner = items.join(groups.where("members > 1"), "gid").select("item", "leader")
     pairs = near.union(inner.select("item", "leader")).where("leader <> pivot").select(F.least("leader", "pivot").alias("a"), F.greatest("leader", "pivot").alias("b")).distinct()
     first = materialize(_verified(pairs, items, threshold), "links")
     comp = connected_components(first)
-    placed = items.join(comp, items.item == comp.node, "left").select("item", "gid", F.coalesce("comp", "item").alias("comp"))
+    placed = items.join(comp, F.col("item") == F.col("node"), "left").select("item", "gid", F.coalesce("comp", "item").alias("comp"))
     placed = materialize(placed, "placed")
     # what is left: pairs of one bucket in different components
     cells = placed.select("gid", "comp").distinct()
     spread = rows.select("token", "pos", "gid", "n", "lone").join(cells, "gid")
-    mixed = spread.select("token", "comp").distinct()
-    cross = mixed.alias("x").join(mixed.alias("y"), F.expr("x.token = y.token AND x.comp < y.comp")).select(F.col("x.token").alias("token"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb"))
+    # pairs of components, by the bounds of what they have in the bucket: sizes, shared shingles, place of the token
+    box = spread.groupBy("token", "comp").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max(F.col("n") - F.col("lone")).alias("r"), F.min(F.col("pos") + F.col("lone")).alias("p"))
+    least = f"ceil({threshold}L * (x.n0 + y.n0) / {100 + threshold}.0D - 1e-9)"
+    able = f"100 * x.n1 >= {threshold} * y.n0 AND 100 * y.n1 >= {threshold} * x.n0 AND least(x.r, y.r) >= {least} AND x.p <= x.n1 - {least} AND y.p <= y.n1 - {least}"
+    cross = box.alias("x").join(box.alias("y"), F.expr(f"x.token = y.token AND x.comp < y.comp AND {able}")).select(F.col("x.token").alias("token"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb"))
     a = spread.select("token", *(F.col(c).alias(f"{c}_a") for c in ("pos", "gid", "n", "lone")), F.col("comp").alias("ca"))
     b = spread.select("token", *(F.col(c).alias(f"{c}_b") for c in ("pos", "gid", "n", "lone")), F.col("comp").alias("cb"))
     need = F.expr(f"ceil({threshold}L * (n_a + n_b) / {100 + threshold}.0D - 1e-9)")
     best = F.least("pos_a", "pos_b") + 1 + F.least(F.expr("n_a - lone_a - pos_a - 1"), F.expr("n_b - lone_b - pos_b - 1"))
+    # the token must stand in the prefix that this very pair of sizes asks for
+    early = (F.expr("pos_a + lone_a") <= F.col("n_a") - need) & (F.expr("pos_b + lone_b") <= F.col("n_b") - need)
     sized = (100 * F.col("n_a") >= threshold * F.col("n_b")) & (100 * F.col("n_b") >= threshold * F.col("n_a"))
-    cand = cross.join(a, ["token", "ca"]).join(b, ["token", "cb"]).where(sized & (best >= need)).select("gid_a", "ca", "gid_b", "cb").distinct()
+    cand = cross.join(a, ["token", "ca"]).join(b, ["token", "cb"]).where(sized & (best >= need) & early).select("gid_a", "ca", "gid_b", "cb").distinct()
     m1 = placed.select(F.col("gid").alias("gid_a"), F.col("comp").alias("ca"), F.col("item").alias("a"))
     m2 = placed.select(F.col("gid").alias("gid_b"), F.col("comp").alias("cb"), F.col("item").alias("b"))
     second = cand.join(m1, ["gid_a", "ca"]).join(m2, ["gid_b", "cb"]).select("a", "b").distinct()
@@ -215,7 +223,7 @@ def components(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     """One row per document: ``row_id``, ``doc_id``, ``n_shingles``, ``component_id`` (smallest linked document id)."""
     prof = materialize(profile(docs, k, threshold), "profiles")
     items, comp = link(prof, threshold)
-    root = items.join(comp, items.item == comp.node).select("hi", "lo", "n", "comp")
+    root = items.join(comp, F.col("item") == F.col("node")).select("hi", "lo", "n", "comp")
     small = prof.where("n > 0 AND tokens IS NOT NULL")
     # every document of an item's digest takes its component; items without links stay alone with their copies
     item = items.select("hi", "lo", "n", "item").join(root, ["hi", "lo", "n"], "left").select("hi", "lo", "n", F.coalesce("comp", "item").alias("comp"))
