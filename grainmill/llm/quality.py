@@ -80,16 +80,18 @@ class Model:
         return np.concatenate(out)
 
 
-def fit(texts: list[str], labels: np.ndarray, steps: int = 250, rate: float = 0.05, least: int = 5, least_z: float = 4.5) -> Model | None:
+def fit(texts: pa.Array, labels: np.ndarray, steps: int = 250, rate: float = 0.05, least: int = 5, least_z: float = 4.5) -> Model | None:
     """Both heads by full-batch Adam over the words that are no chance companions of a label. labels: quality and toxic."""
     if not len(texts):
         return None
-    data, offsets = raw(pa.array(texts, pa.large_string()))
-    parts = [features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in blocks(offsets)]
+    data, offsets = raw(texts)
+    parts = [features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in blocks(offsets, 1 << 20)]
     starts = np.cumsum([0, *(len(p[2]) for p in parts)])
+    del data
     ids = np.concatenate([p[0] for p in parts])
     rows = np.concatenate([p[1] + s for p, s in zip(parts, starts[:-1], strict=True)])
     x = np.concatenate([p[2] for p in parts])
+    del parts
     mean, std = x.mean(axis=0), x.std(axis=0) + 1e-6
     n = len(x)
     held = np.arange(n) % 5 == 4 if n >= 50 else np.zeros(n, bool)
@@ -128,13 +130,14 @@ def fit(texts: list[str], labels: np.ndarray, steps: int = 250, rate: float = 0.
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> tuple[list[str], np.ndarray]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> tuple[pa.Array, np.ndarray]:
     """Texts and labels of at most ``sample_rows`` labelled ids, chosen by hash. Their list has a proven bound and is broadcast."""
     known = labels.where("quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(sample_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"), F.first("toxic").alias("toxic"))
-    rows = sorted(rows.collect(), key=lambda r: r["doc_id"])
-    return [r["text"] or "" for r in rows], np.array([[r["quality"], r["toxic"]] for r in rows], float).reshape(-1, 2)
+    got = rows.toArrow().sort_by("doc_id")
+    labels = np.stack([got.column(c).to_numpy().astype(float) for c in ("quality", "toxic")], axis=1)
+    return got.column("text").combine_chunks(), labels
 
 
 def with_evidence(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -182,7 +185,7 @@ def site_table(scored: DataFrame) -> tuple[DataFrame, float, float, float]:
     return materialize(paths.join(hosts, "host").drop("q", "host_q"), "site_sums"), mean, k_host, k_path
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, sample_rows: int = 12_000, keep_from: float = 0.9, broadcast_sites: int = 100_000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, sample_rows: int = 8_000, keep_from: float = 0.9, broadcast_sites: int = 100_000) -> DataFrame:
     """``docs`` with ``evidence``, ``host_posterior``, ``path_posterior``, ``score`` and ``keep``."""
     model = fit(*labelled_sample(docs, labels, sample_rows))
     site = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("none"))
