@@ -26,8 +26,13 @@ from grainmill.llm.shared import materialize
 SPACE = r"[ \t\r\f\x0B]+"
 
 
-def words_of(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), SPACE), lambda w: w != "")
+def normal(low: Column) -> Column:
+    """A lower-cased text with single spaces between the words of its lines. Most texts are in that form already."""
+    odd = low.startswith(" ") | low.endswith(" ")
+    for c in ("  ", " \n", "\n ", "\t", "\r", "\f", "\x0b"):
+        odd = odd | low.contains(c)
+    single = F.regexp_replace(low, SPACE, " ")
+    return F.when(odd, F.regexp_replace(single, "(?md)^ | $", "")).otherwise(low)
 
 
 def place(*names: str) -> Column:
@@ -36,21 +41,24 @@ def place(*names: str) -> Column:
     return F.struct(F.col(doc).isNull().alias("no_id"), F.col(doc).alias("doc_id"), F.col(row).alias("row_id"), F.col(line).alias("line_no"))
 
 
-def half_keys(words: Column, n: Column) -> Column:
+def half_keys(norm: Column, n: Column) -> Column:
     """Hashes of the first and last half of the words, for the lengths that lines of n - 1, n and n + 1 words compare at."""
-    spans = F.array_distinct(F.array(F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")))
-    both = F.transform(spans, lambda h: F.array(F.xxhash64(F.lit("first"), h, F.slice(words, F.lit(1), h)), F.xxhash64(F.lit("last"), h, F.slice(words, n - h + 1, h))))
-    return F.flatten(both)
+    keys = []
+    for h in (F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int")):
+        keys += [F.xxhash64(F.lit("first"), h, F.call_function("substring_index", norm, F.lit(" "), h)), F.xxhash64(F.lit("last"), h, F.call_function("substring_index", norm, F.lit(" "), -h))]
+    return F.array_distinct(F.array(*keys))
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """The lines with words: place, the line, its words and their number."""
-    lines = docs.where(F.col("text").isNotNull()).select("row_id", F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.withColumn("words", words_of(F.col("line"))).withColumn("n", F.size("words")).where("n > 0")
+    """The lines with words: place, normal form and number of words."""
+    low = docs.where(F.col("text").isNotNull()).select("row_id", F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("low"))
+    # whole texts are normalised before they are split, so nothing is computed twice for a line
+    lines = low.select("row_id", "doc_id", F.posexplode_outer(F.split(normal(F.col("low")), "\n")).alias("line_no", "norm"))
+    return lines.where("norm <> ''").withColumn("n", F.length("norm") - F.length(F.replace("norm", F.lit(" "))) + 1)
 
 
 def line_hashes(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("h1", F.xxhash64("n", "words")).withColumn("h2", F.xxhash64(F.lit("second"), "words"))
+    return lines.withColumn("h1", F.xxhash64("norm")).withColumn("h2", F.xxhash64(F.lit("second"), "norm"))
 
 
 def variant_keys(words: Column, n: Column) -> Column:
@@ -89,38 +97,42 @@ def one_edit(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), same).when(F.size(long) - m == 1, moved).otherwise(False)
 
 
-def near_lines(docs: DataFrame, distinct: DataFrame, min_words: int) -> DataFrame:
-    """(h1, h2) of the distinct lines that an earlier, different line matches with one edit."""
+def candidates(docs: DataFrame, distinct: DataFrame, min_words: int) -> DataFrame:
+    """seq, h1, h2, words and n of the distinct lines that share half of their words with another; seq follows their places."""
     live = distinct.where(F.col("n") >= min_words)
     halves = live.select("h1", "h2", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("half")
     chosen = halves.join(shared, "half", "left_semi").select("h1", "h2").distinct()
-    first = live.join(chosen, ["h1", "h2"], "left_semi").select("h1", "h2", "first")
-    # the words are read again where the line stands first
-    want = first.select("h1", "h2", F.col("first.row_id").alias("row_id"), F.col("first.line_no").alias("line_no"))
-    words = line_rows(docs).select("row_id", "line_no", "words", "n")
-    cand = want.join(words, ["row_id", "line_no"]).join(first.select("h1", "h2", "first"), ["h1", "h2"]).select("h1", "h2", "first", "words", "n")
-    cand = materialize(cand, "candidates")
-    keys = materialize(cand.select("h1", "h2", "first", F.explode(variant_keys(F.col("words"), F.col("n"))).alias("v")).select("h1", "h2", "first", "v.key", "v.role"), "variants")
+    want = live.join(chosen, ["h1", "h2"], "left_semi").select("h1", "h2", "first")
+    # the words are read again where each line stands first: one row a document, with the lines wanted of it
+    by_row = want.groupBy(F.col("first.row_id").alias("row_id")).agg(F.collect_list(F.struct("first.line_no", "h1", "h2", "first")).alias("want"))
+    low = docs.join(by_row, "row_id").select("want", F.lower("text").alias("low"))
+    lines = low.select("want", F.split(normal(F.col("low")), "\n").alias("lines"))
+    picked = lines.select(F.explode(F.transform("want", lambda w: F.struct(w["h1"].alias("h1"), w["h2"].alias("h2"), w["first"].alias("first"), F.get("lines", w["line_no"]).alias("norm")))).alias("w")).select("w.*")
+    # ranges are in order and ids grow within and over partitions, so the id is an order that fits in eight bytes
+    ordered = picked.repartitionByRange("first").sortWithinPartitions("first").select(F.monotonically_increasing_id().alias("seq"), "h1", "h2", F.split("norm", " ").alias("words"))
+    return materialize(ordered.withColumn("n", F.size("words")), "candidates")
+
+
+def near_lines(docs: DataFrame, distinct: DataFrame, min_words: int) -> DataFrame:
+    """(h1, h2) of the distinct lines that an earlier, different line matches with one edit."""
+    cand = candidates(docs, distinct, min_words)
+    keys = materialize(cand.select("seq", F.explode(variant_keys(F.col("words"), F.col("n"))).alias("v")).select("seq", "v.key", F.col("v.role").cast("byte").alias("role")), "variants")
     # per key the earliest line, of all and of the whole lines; variants that close a hole only match whole lines, and back
-    least = keys.groupBy("key").agg(
-        F.count(F.lit(1)).alias("c"),
-        F.min(F.when(F.col("role") == 2, F.col("first"))).alias("hole"),
-        F.min(F.when(F.col("role") == 1, F.col("first"))).alias("closed"),
-        F.min(F.when(F.col("role") == 0, F.col("first"))).alias("whole"),
-    )
+    of = lambda role: F.min(F.when(F.col("role") == role, F.col("seq")))
+    least = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c"), of(2).alias("hole"), of(1).alias("closed"), of(0).alias("whole"))
     least = materialize(least.where("c > 1").drop("c"), "earliest")
     partner = F.when(F.col("role") == 2, F.col("hole")).when(F.col("role") == 1, F.col("whole")).otherwise(F.col("closed"))
-    pairs = keys.join(least, "key").withColumn("partner", partner).where("partner < first").select("h1", "h2", "partner").distinct()
-    own = cand.select("h1", "h2", F.col("words").alias("a"))
-    other = cand.select(F.col("first").alias("partner"), F.col("words").alias("b"))
-    return pairs.join(own, ["h1", "h2"]).join(other, "partner").where(one_edit(F.col("a"), F.col("b"))).select("h1", "h2").distinct()
+    pairs = keys.join(least, "key").withColumn("partner", partner).where("partner < seq").select("seq", "partner").distinct()
+    own = cand.select("seq", "h1", "h2", F.col("words").alias("a"))
+    other = cand.select(F.col("seq").alias("partner"), F.col("words").alias("b"))
+    return pairs.join(own, "seq").join(other, "partner").where(one_edit(F.col("a"), F.col("b"))).select("h1", "h2").distinct()
 
 
 def removed_lines(docs: DataFrame, min_words: int) -> DataFrame:
     """row_id and the numbers of its removed lines; ``docs`` has row_id, doc_id and text."""
     lines = line_hashes(line_rows(docs))
-    hashed = lines.select("h1", "h2", "n", place("doc_id", "row_id", "line_no").alias("at"), F.when(F.col("n") >= min_words, half_keys(F.col("words"), F.col("n"))).alias("halves"))
+    hashed = lines.select("h1", "h2", "n", place("doc_id", "row_id", "line_no").alias("at"), F.when(F.col("n") >= min_words, half_keys(F.col("norm"), F.col("n"))).alias("halves"))
     distinct = materialize(hashed.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("halves").alias("halves")), "lines")
     near = near_lines(docs, distinct, min_words).withColumn("near", F.lit(True))
     # only lines that have something to remove are looked for again
