@@ -33,7 +33,7 @@ from grainmill.llm.bytesops import _VALUE, blocks, mix, powers, raw
 from grainmill.llm.shared import materialize, shuffle_partitions
 
 GRAM = 24
-CHUNK = 512
+CHUNK = 4096
 PORTION = "portion long, ids binary, data binary, offsets binary"
 FACT = "portion long, kind int, total long, at binary, status binary, ah long, sh long, bits binary, late array<int>"
 _POS = np.uint64((1 << 28) - 1)
@@ -70,9 +70,11 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
         return z, z, z.astype(np.uint64), z.astype(np.uint64)
     gram = min(GRAM, length)
     h = Hasher(data)
-    at = np.arange(n - gram + 1)
-    key = h(at, at + gram)
-    low = sliding_min((key & ~_POS) | at.astype(np.uint64), length - gram + 1)
+    grams = n - gram + 1
+    key = (h.total[gram:] - h.total[:grams]) * h.inv[:grams]
+    key += np.uint64(gram)
+    key = mix(key)
+    low = sliding_min((key & ~_POS) | np.arange(grams, dtype=np.uint64), length - gram + 1)
     anchor = (low & _POS).astype(np.int64)
     inside = np.zeros(n - length + 1, bool)
     for i, j in zip(offsets[:-1], offsets[1:], strict=True):
@@ -91,8 +93,12 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
     return first, last, key[anchor[first]], mix(h(first, last + length) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def suffix_order(segments: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Characters (bytes + 1; 0 ends a segment), suffix array and its inverse of all segments; ends sort by segment."""
+def suffix_order(segments: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Characters (0 ends a segment), suffix array by the first ``depth`` characters at least, and the rank of every suffix.
+
+    Suffixes that agree so far share the rank of the first of them; segment ends sort by segment. Each round sorts by three
+    ranks at a time, so the compared length triples.
+    """
     m = len(segments)
     sizes = np.array([len(s) + 1 for s in segments])
     n = int(sizes.sum())
@@ -100,35 +106,56 @@ def suffix_order(segments: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np
     text = np.zeros(n, np.int64)
     keep = np.ones(n, bool)
     keep[ends] = False
-    text[keep] = np.concatenate(segments).astype(np.int64) + 1
+    whole = np.concatenate(segments)
+    code = np.zeros(256, np.int64)
+    present = np.flatnonzero(np.bincount(whole, minlength=256))
+    code[present] = np.arange(1, len(present) + 1)
+    text[keep] = code[whole]
     owner = np.repeat(np.arange(m), sizes)
     end = ends[owner]
     at = np.arange(n)
+    bits = int(len(present)).bit_length()
+    h = 63 // bits
+    left = end - at
+    padded = np.concatenate([text, np.zeros(h, np.int64)])
     key = np.zeros(n, np.int64)
-    for t in range(7):
-        j = at + t
-        key = (key << 9) | np.where(j <= end, text[np.minimum(j, n - 1)], 0)
-    h = 7
+    for t in range(h):
+        key = (key << bits) | np.where(left >= t, padded[t : t + n], 0)
+    base = n + m + 1
+    rank = np.empty(n, np.int64)
+
+    def behind(distance: int) -> np.ndarray:
+        out = owner.copy()
+        inside = np.flatnonzero(left >= distance)
+        out[inside] = rank[inside + distance] + m
+        return out
+
     while True:
         order = np.argsort(key)
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
-        if rank[order[-1]] == n - 1:
+        by = key[order]
+        starts = np.concatenate([[0], np.flatnonzero(by[1:] != by[:-1]) + 1])
+        rank[order] = np.repeat(starts, np.diff(np.append(starts, n)))
+        if h >= depth or len(starts) == n:
             return text, order, rank
-        j = at + h
-        key = rank * (n + m + 1) + np.where(j <= end, rank[np.minimum(j, n - 1)] + m, owner)
-        h *= 2
+        if base**3 < 1 << 63:
+            key, h = (rank * base + behind(h)) * base + behind(2 * h), 3 * h
+        else:
+            key, h = rank * base + behind(h), 2 * h
 
 
 def repeated_starts(segments: list[np.ndarray], length: int) -> list[np.ndarray]:
     """For every segment, which of its windows of ``length`` bytes start at another place of the segments too."""
-    text, order, rank = suffix_order(segments)
+    text, order, rank = suffix_order(segments, length + 1)
     n = len(text)
-    before = np.where(order > 0, text[order - 1], 0)  # the Burrows-Wheeler transform; 0 where a segment starts
-    last_seen = np.full(n, -1)
-    by = np.argsort(before.astype(np.uint16), kind="stable")
-    same = before[by[1:]] == before[by[:-1]]
+    before = np.where(order > 0, text[order - 1], 0).astype(np.uint16)  # the Burrows-Wheeler transform; 0 where a segment starts
+    by = np.argsort(before, kind="stable").astype(np.int32)
+    # where the same character stood last; a segment start counts as seen nowhere, which leaves it out below
+    last_seen = np.full(n, -1, np.int32)
+    grouped = before[by]
+    same = (grouped[1:] == grouped[:-1]) & (grouped[1:] > 0)
     last_seen[by[1:][same]] = by[:-1][same]
+    # backward extension of the suffix at each place of the order
+    back = rank[order - 1].astype(np.int32)
     known = np.zeros(n + 1, bool)
     known[[0, n]] = True
     head = text[order]
@@ -140,14 +167,17 @@ def repeated_starts(segments: list[np.ndarray], length: int) -> list[np.ndarray]
         bounds = np.flatnonzero(known)
         stop = bounds[np.searchsorted(bounds, new, side="right")]
         size = stop - new
+        single = size == 1
         # members of the interval that starts at each new boundary, if the boundary parts them from their last equal character
-        i = np.repeat(new - np.cumsum(size) + size, size) + np.arange(size.sum())
-        q = np.repeat(new, size)
-        i = i[(last_seen[i] >= 0) & (last_seen[i] < q) & (before[i] > 0)]
-        p = rank[order[i] - 1]
+        wide, w = new[~single], size[~single]
+        i = np.concatenate([new[single], np.repeat(wide - np.cumsum(w) + w, w) + np.arange(w.sum())])
+        q = np.concatenate([new[single], np.repeat(wide, w)])
+        seen = last_seen[i]
+        p = back[i[(seen >= 0) & (seen < q)]]
         p = p[~known[p]]
         known[p] = True
-        new = np.unique(p)
+        p.sort()
+        new = p[np.concatenate([[True], p[1:] != p[:-1]])] if len(p) else p
     repeated = np.zeros(n, bool)
     repeated[order] = ~known[:-1] | ~known[1:]
     out, at = [], 0
@@ -318,7 +348,7 @@ def judged_segments(contested: DataFrame, length: int, bucket_bytes: int) -> Dat
     return judged.where("kind = 0").select("ah", "sh", "bits").join(late, ["ah", "sh"], "left")
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, bucket_bytes: int = 2 << 20, with_kept: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, bucket_bytes: int = 1 << 20, with_kept: bool = False) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, the ``kept`` bytes."""
     status = materialize(anchor_status(docs, length), "anchors")
     contested = materialize(contested_segments(docs, status, length), "contested")
