@@ -4,7 +4,8 @@ A suffix array of the corpus would be one unsplittable structure, so equal strin
 anchor of a window of ``length`` bytes is its smallest hashed 24-byte gram (leftmost on ties), a function of the window alone,
 and neighbouring windows of one anchor form a segment of about 1.4 times ``length`` bytes. Equal windows have equal anchors.
 
-1. Anchors are counted over the corpus: each portion of about 2 MB sends every distinct anchor once with its count and the
+1. Documents are cut into portions of about 2 MB, which are written once and read by every step. Anchors are counted over the
+   corpus: each portion sends every distinct anchor once with its count and the
    smallest and largest hash of its segments. An anchor that occurs once can't repeat. An anchor whose segments are all equal
    repeats as a whole. The others are contested.
 2. The distinct contested segments are dealt by anchor into buckets of a few MB; an anchor with very many of them is dealt in
@@ -24,13 +25,14 @@ with the input; an empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from grainmill.llm.bytesops import _VALUE, blocks, mix, powers, raw
-from grainmill.llm.shared import materialize, shuffle_partitions
+from grainmill.llm.shared import materialize, shuffle_partitions, work_dir
 
 GRAM = 24
 CHUNK = 4096
@@ -207,6 +209,18 @@ def portions(docs: DataFrame) -> DataFrame:
     return src.mapInArrow(run, PORTION)
 
 
+def stored_portions(docs: DataFrame) -> DataFrame:
+    """The portions, cut once and written: where Arrow batches end depends on the columns read and the size of the rows.
+
+    A row group takes a few portions only, as writers and readers hold one in memory.
+    """
+    path = f"{work_dir(docs.sparkSession).rstrip('/')}/portions-{uuid.uuid4().hex}"
+    cut = portions(docs)
+    few = {"parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false"}
+    cut.write.options(**few).parquet(path)
+    return docs.sparkSession.read.schema(cut.schema).parquet(path)
+
+
 def _open(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(row["data"], np.uint8), np.frombuffer(row["offsets"], np.int64)
 
@@ -214,24 +228,26 @@ def _open(row: dict) -> tuple[np.ndarray, np.ndarray]:
 def _status(table: pa.Table, u: np.ndarray) -> np.ndarray:
     """Of every distinct anchor: 0 occurs once, 1 its segments are all equal, 2 contested."""
     status = np.zeros(len(u), np.uint8)
-    for r in table.to_pylist():
-        if r["kind"] == 0:
-            if r["total"] != len(u):
-                raise ValueError("the documents changed between two reads; materialise the input first")
+    facts = [r for r in table.to_pylist() if r["kind"] == 0]
+    if len(u) and not facts:
+        raise ValueError("a portion has anchors but no facts")
+    for r in facts:
+        if r["total"] != len(u):
+            raise ValueError("facts of another portion")
+        if r["at"]:
             status[np.frombuffer(r["at"], np.uint32)] = np.frombuffer(r["status"], np.uint8)
     return status
 
 
-def anchor_status(docs: DataFrame, length: int) -> DataFrame:
-    """For every portion the anchors that occur more than once in the corpus."""
-    parts = shuffle_partitions(docs.sparkSession)
-    src = docs.select(F.monotonically_increasing_id().alias("row_id"), "text")
+def anchor_status(texts: DataFrame, length: int) -> DataFrame:
+    """For every portion the anchors that occur more than once in the corpus; one row at least if it has anchors at all."""
+    parts = shuffle_partitions(texts.sparkSession)
 
     def count(batches):
         for batch in batches:
-            data, offsets = raw(batch.column(1))
-            for i, j in blocks(offsets):
-                _, _, ah, sh = runs(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length)
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                _, _, ah, sh = runs(*_open(row), length)
                 order = np.lexsort((sh, ah))
                 u, first, c = np.unique(ah[order], return_index=True, return_counts=True)
                 low, high = sh[order][first], sh[order][first + c - 1]
@@ -241,7 +257,7 @@ def anchor_status(docs: DataFrame, length: int) -> DataFrame:
                 span = [slice(cuts[p], cuts[p + 1]) for p in keep]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(keep, pa.int32()), pa.array([batch.column(0)[i].as_py()] * len(keep), pa.int64()), pa.array([int(cuts[p]) for p in keep], pa.int64()), pa.array([len(u)] * len(keep), pa.int64()),
+                        pa.array(keep, pa.int32()), pa.array([row["portion"]] * len(keep), pa.int64()), pa.array([int(cuts[p]) for p in keep], pa.int64()), pa.array([len(u)] * len(keep), pa.int64()),
                         *(pa.array([x[s].tobytes() for s in span], pa.binary()) for x in (u, low, high, np.minimum(c, 2).astype(np.uint8))),
                     ],
                     ["part", "portion", "base", "total", "ah", "low", "high", "n"],
@@ -266,7 +282,7 @@ def anchor_status(docs: DataFrame, length: int) -> DataFrame:
         for i, r in enumerate(rows):
             s = slice(cuts[i], cuts[i + 1])
             hit = np.flatnonzero(status[s])
-            if len(hit):
+            if len(hit) or r["base"] == 0:
                 for x, v in zip(out, (r["portion"], r["total"], at[s][hit].astype(np.uint32).tobytes(), status[s][hit].tobytes()), strict=True):
                     x.append(v)
         del owner
@@ -276,17 +292,21 @@ def anchor_status(docs: DataFrame, length: int) -> DataFrame:
             names=["portion", "kind", "total", "at", "status", "ah", "sh", "bits", "late"],
         )
 
-    counted = src.mapInArrow(count, "part int, portion long, base long, total long, ah binary, low binary, high binary, n binary")
+    counted = texts.mapInArrow(count, "part int, portion long, base long, total long, ah binary, low binary, high binary, n binary")
     return counted.groupBy("part").applyInArrow(judge, FACT)
 
 
-def contested_segments(docs: DataFrame, status: DataFrame, length: int) -> DataFrame:
+def contested_segments(texts: DataFrame, status: DataFrame, length: int) -> DataFrame:
     """The distinct contested segments of every portion: portion, anchor and segment hash, copies, bytes."""
 
     def pick(texts: pa.Table, facts: pa.Table) -> pa.Table:
         out = [[], [], [], [], []]
-        for row in texts.to_pylist() if facts.num_rows else []:
+        if not texts.num_rows:
+            raise ValueError("facts without their portion")
+        for row in texts.to_pylist():
             data, offsets = _open(row)
+            if facts.num_rows and not any(facts["status"].to_pylist()):
+                continue
             first, last, ah, sh = runs(data, offsets, length)
             u, back = np.unique(ah, return_inverse=True)
             i = np.flatnonzero(_status(facts, u)[back] == 2)
@@ -302,7 +322,7 @@ def contested_segments(docs: DataFrame, status: DataFrame, length: int) -> DataF
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         return pa.table([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["portion", "ah", "sh", "copies", "segment"])
 
-    return portions(docs).groupBy("portion").cogroup(status.groupBy("portion")).applyInArrow(pick, "portion long, ah long, sh long, copies long, segment binary")
+    return texts.groupBy("portion").cogroup(status.groupBy("portion")).applyInArrow(pick, "portion long, ah long, sh long, copies long, segment binary")
 
 
 def judged_segments(contested: DataFrame, length: int, bucket_bytes: int) -> DataFrame:
@@ -350,19 +370,22 @@ def judged_segments(contested: DataFrame, length: int, bucket_bytes: int) -> Dat
 
 def remove_repeats(docs: DataFrame, length: int = 200, bucket_bytes: int = 1 << 20, with_kept: bool = False) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, the ``kept`` bytes."""
-    status = materialize(anchor_status(docs, length), "anchors")
-    contested = materialize(contested_segments(docs, status, length), "contested")
+    stored = stored_portions(docs)
+    status = materialize(anchor_status(stored, length), "anchors")
+    contested = materialize(contested_segments(stored, status, length), "contested")
     verdicts = contested.select("portion", "ah", "sh").join(judged_segments(contested, length, bucket_bytes), ["ah", "sh"])
     null = lambda t: F.lit(None).cast(t)
     facts = status.unionByName(verdicts.select("portion", F.lit(1).alias("kind"), null("long").alias("total"), null("binary").alias("at"), null("binary").alias("status"), "ah", "sh", "bits", "late"))
 
     def finish(texts: pa.Table, facts: pa.Table) -> pa.Table:
         out = [[] for _ in range(6)]
+        if not texts.num_rows:
+            raise ValueError("facts without their portion")
         for row in texts.to_pylist():
             data, offsets = _open(row)
             ids = pa.ipc.open_stream(row["ids"]).read_all().column(0).to_pylist()
             gone = np.zeros(len(data), bool)
-            if facts.num_rows:
+            if not facts.num_rows or any(facts["at"].to_pylist()):
                 first, last, ah, sh = runs(data, offsets, length)
                 u, back = np.unique(ah, return_inverse=True)
                 state = _status(facts, u)[back]
@@ -390,5 +413,5 @@ def remove_repeats(docs: DataFrame, length: int = 200, bucket_bytes: int = 1 <<
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
         return pa.table([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    done = portions(docs).groupBy("portion").cogroup(facts.groupBy("portion")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    done = stored.groupBy("portion").cogroup(facts.groupBy("portion")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return done if with_kept else done.drop("kept")

@@ -57,3 +57,24 @@ def test_interval_expansion():
         count = Counter(bytes(s[i : i + n]) for s in segments for i in range(len(s) - n + 1))
         for s, hit in zip(segments, repeated_starts(segments, n), strict=True):
             assert [count[bytes(s[i : i + n])] > 1 for i in range(len(s) - n + 1)] == hit.tolist()
+
+
+def test_batches_bounded_by_bytes(spark):
+    texts = corpus(random.Random(9), 300)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "4000")
+    try:
+        assert run(spark, texts, 40) == brute(texts, 40)
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_portion_without_facts_is_an_error(spark):
+    docs = spark.createDataFrame([(1, "some words " * 50)], "doc_id long, text string")
+    stored = suffix_dedup.stored_portions(docs)
+    status = suffix_dedup.anchor_status(stored, 40)
+    assert status.count()
+    for a, b in ((stored, status.limit(0)), (stored.limit(0), status)):
+        with pytest.raises(Exception, match="facts"):
+            suffix_dedup.contested_segments(a, b, 40).collect()
