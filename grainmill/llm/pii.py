@@ -1,7 +1,8 @@
 """Format-preserving pseudonyms for personal data by keyed Feistel permutations, in DataFrame functions only.
 
 E-mail addresses, telephone numbers, payment cards (Luhn), social security numbers, IPv4 addresses, calendar dates and long
-hexadecimal keys are found by one regular expression and validated. A valid value is brought to a canonical form (digits
+hexadecimal keys are found by one regular expression and validated; the cards in it are those windows of a digit run, longest
+first, that pass their check. A valid value is brought to a canonical form (digits
 without separators, lower-case letters), permuted within its own format by a ten-round alternating Feistel network whose
 round function is SHA-256 under the key, and written back with the separators and letter case that it had. A card keeps a
 right check digit and a date or security number stays valid (by cycle walking), so the map is one-to-one on the valid values
@@ -29,11 +30,13 @@ PATTERNS = {
     "date": r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4})(?![0-9]|[/.-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
 ANY = "|".join(PATTERNS.values())
-#: no match holds neither two neighbouring digits, nor two digits around a separator, nor an @
-MAYBE = r"@|[0-9]{2}|[0-9][ ./-][0-9]"
+#: the digit runs of 13 to 19 digits that begin and end at borders of digit groups, longest first; each place gives one of a size
+WINDOWS = [r"(?<![0-9])(?=([0-9](?:[ -]?[0-9]){%d}(?![0-9])))" % (n - 1) for n in range(19, 12, -1)]
+RUN = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12}"
+#: no match holds neither two neighbouring digits, nor two digits around a separator, nor an @, nor a long hexadecimal run
+MAYBE = r"@|[0-9]{2}|[0-9][ ./-][0-9]|[0-9a-f]{32}|[0-9A-F]{32}"
 
 
 def characters(x: Column) -> Column:
@@ -109,10 +112,33 @@ def kind_of(x: Column) -> Column:
         .when(x.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), F.when(valid_ssn(d), F.lit("ssn")))
         .when(x.rlike(r"^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4})$"), F.when(as_day(x).isNotNull(), F.lit("date")))
         .when(x.rlike(r"^[+(]") | x.rlike(r"^[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$"), "phone")
-        .otherwise(F.when(luhn_digit(F.substr(d, F.lit(1), F.length(d) - 1)) == F.right(d, F.lit(1)), F.lit("card")))
+        .otherwise(F.when(valid_card(d), F.lit("card")))
     )
 
 
+def valid_card(d: Column) -> Column:
+    return luhn_digit(F.substr(d, F.lit(1), F.length(d) - 1)) == F.right(d, F.lit(1))
+
+
+def either(cards: Column) -> Column:
+    """The pattern of any of these cards between borders of digit groups."""
+    return F.concat(F.lit("(?<![0-9])(?:"), F.array_join(cards, "|"), F.lit(")(?![0-9])"))
+
+
+def cards_of(t: Column) -> Column:
+    """The valid cards of a text as they are written, longest first; what a longer one takes is not looked at again.
+
+    The number beside a card (expiry, CVV, a leading number) may stand in its digit run, so every window of the run is tried.
+    """
+    start = F.struct(t.alias("left"), F.array().cast("array<string>").alias("cards"))
+
+    def step(s: Column, p: Column) -> Column:
+        found = F.filter(F.array_distinct(F.regexp_extract_all(s["left"], p, F.lit(1))), lambda x: valid_card(digits(x)))
+        return _once(found, lambda v: F.when(F.size(v) == 0, s).otherwise(F.struct(F.regexp_replace(s["left"], either(v), F.lit("#")).alias("left"), F.concat(s["cards"], v).alias("cards"))))
+
+    return F.aggregate(F.array(*map(F.lit, WINDOWS)), start, step, lambda s: s["cards"])
+
+
 def write_back(form: Column, new: Column) -> Column:
     """``new`` in the place of the letters and digits of ``form``, with its separators and capitals."""
     state = F.struct(F.lit("").alias("out"), F.lit(1).alias("k"))
@@ -176,12 +202,14 @@ def _date_form(x: Column, day: Column) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text`` replaced, and ``n_pii`` (replaced values) and ``kinds`` (their kinds in order)."""
     t = F.col(text)
-    found = F.when(t.rlike(MAYBE), F.transform(F.regexp_extract_all(t, F.lit(ANY), F.lit(0)), lambda x: F.struct(kind_of(x).alias("kind"), x.alias("x"))))
-    hits = docs.withColumn("_hits", found).withColumn("_valid", F.filter(F.transform("_hits", lambda h: h["kind"]), lambda k: k.isNotNull()))
-    gaps = F.split(t, ANY, -1)
+    cards = F.when(t.rlike(RUN), cards_of(t))
+    any_of = F.coalesce(_once(cards, lambda c: F.when(F.size(c) > 0, F.concat(F.lit(ANY + "|"), either(c)))), F.lit(ANY))
+    found = F.when(t.rlike(MAYBE), F.transform(F.regexp_extract_all(t, F.col("_any"), F.lit(0)), lambda x: F.struct(kind_of(x).alias("kind"), x.alias("x"))))
+    hits = docs.withColumn("_any", any_of).withColumn("_hits", found).withColumn("_valid", F.filter(F.transform("_hits", lambda h: h["kind"]), lambda k: k.isNotNull()))
+    gaps = F.split(t, F.col("_any"), -1)
     new = F.transform("_hits", lambda h: F.when(h["kind"].isNull(), h["x"]).otherwise(pseudonym(h["kind"], h["x"], key)))
     joined = F.array_join(F.zip_with(gaps, new, lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
     n = F.coalesce(F.size("_valid"), F.lit(0))
     out = hits.withColumn("n_pii", F.when(F.col("_valid").isNull(), 0).otherwise(n).cast("long"))
     out = out.withColumn("kinds", F.coalesce("_valid", F.array().cast("array<string>")))
-    return out.withColumn(text, F.when(F.col("n_pii") > 0, joined).otherwise(t)).drop("_hits", "_valid")
+    return out.withColumn(text, F.when(F.col("n_pii") > 0, joined).otherwise(t)).drop("_any", "_hits", "_valid")

@@ -54,3 +54,22 @@ def test_every_planted_value_goes(spark):
     values = [f"{rng.choice('abc')}n.{i:02d}@mail{i % 7}.example.com" for i in range(20)] + [f"+1 ({rng.randint(100, 999)}) 555-{rng.randint(0, 9999):04d}" for _ in range(20)] + [".".join(str(rng.randint(1, 255)) for _ in range(4)) for _ in range(20)]
     out = run(spark, [f"Word {v}### more" for v in values])
     assert all(n == 1 and v not in t and t.startswith("Word ") and t.endswith("### more") for v, (t, n, _) in zip(values, out, strict=True))
+
+
+def test_card_beside_other_digits(spark):
+    card = "4111 1111 1111 1111"
+    texts = [card, f"{card} 12/25", f"{card} 123", "4111-1111-1111-1111 09", f"id 12 {card}", f"12 34 56 78 {card} 99 2024 1", f"{card} 12/12/2025", f"{card} 10.20.30.40", f"{card} {card}", "1234 555-123-4567"]
+    out = run(spark, texts)
+    new = out[0][0]
+    assert luhn(new.replace(" ", "")) and new != card
+    same = [x.replace(card, new) for x in texts]
+    same[3] = texts[3].replace(card.replace(" ", "-"), new.replace(" ", "-"))
+    assert [t for t, _, _ in out[:6]] == same[:6] and out[8][0] == same[8]
+    assert [k for _, _, k in out] == [["card"]] * 6 + [["card", "date"], ["card", "ip"], ["card", "card"], ["phone"]]
+    assert all(t.startswith(new) and t != x for (t, _, _), x in zip(out[6:8], same[6:8], strict=True))
+
+
+def test_key_without_neighbouring_digits(spark):
+    text = "a1b2c3d4e5f6a7b8c9d0e1f2a3b4c5d6"
+    (out, n, kinds), = run(spark, [text])
+    assert out != text and (n, kinds) == (1, ["key"])
