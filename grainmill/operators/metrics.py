@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from grainmill.functions.scalars import safe_div
 
@@ -78,3 +78,35 @@ def bootstrap_sql(table: str, key: str, value: str, replicates: int, seed: str)
         steps.append(f"case when u >= {total!r} then 1 else 0 end")
         p /= k + 1
     return f"(select rep, sum(w * x) / sum(w) mean from (select rep, x, {' + '.join(steps)} w from (select rep, cast({value} as double) x, cast(cast('0x' || substr(sha256('{seed}:' || {key} || ':' || rep), 1, 12) as ubigint) as double) / {float(16**12)!r} u from {table}, (select unnest(range({replicates})) rep))) group by rep)"
+
+
+def poisson_table(counts: DataFrame) -> DataFrame:
+    """For every row of x and n the distribution of Poisson(n): x, k and the probability p of at most k.
+
+    What lies outside the table is below 1e-17, less than a step of a 48-bit hash. Probabilities are sums of logarithms from
+    the first k on, taken relative to the largest, so no count is too large.
+    """
+    spread = F.lit(9.5) * F.sqrt("n") + 40
+    low, high = F.greatest(F.lit(0), F.floor(F.col("n") - spread)).cast("long"), F.ceil(F.col("n") + spread).cast("long")
+    up = Window.partitionBy("x").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    k = counts.withColumn("low", low).withColumn("k", F.explode(F.sequence(low, high)))
+    logs = k.withColumn("l", F.sum(F.when(F.col("k") > F.col("low"), F.log(F.col("n") / F.col("k"))).otherwise(0.0)).over(up))
+    p = logs.withColumn("p", F.exp(F.col("l") - F.max("l").over(Window.partitionBy("x"))))
+    return p.select("x", "k", (F.sum("p").over(up) / F.sum("p").over(Window.partitionBy("x"))).alias("p"))
+
+
+def bootstrap_counts(df: DataFrame, value: Column, replicates: int, seed: str) -> DataFrame:
+    """Poisson bootstrap of the mean of a value with few distinct cases: n equal rows together weigh Poisson(n) in a replicate.
+
+    That is the sum of their Poisson(1) weights, so the replicates cost the distinct values and not the rows. Weights have no
+    cap. A replicate that weighs nothing has no mean.
+    """
+    counts = df.select(value.cast("double").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("n")).where("x is not null")
+    u = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("x").cast("string"), F.lit(":"), F.col("rep").cast("string")).cast("binary"), 256), 1, 12), 16, 10).cast("double") / float(16**12)
+    draws = counts.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).select("x", "rep", F.lit(None).cast("long").alias("k"), u.alias("p"))
+    table = poisson_table(counts).select("x", F.lit(None).cast("int").alias("rep"), "k", "p")
+    # from the top down, the last step of the distribution above a draw is the smallest k whose probability exceeds it
+    down = Window.partitionBy("x").orderBy(F.desc("p"), F.col("k").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    w = F.coalesce(F.last("k", ignorenulls=True).over(down), F.max("k").over(Window.partitionBy("x")))
+    rows = draws.unionByName(table).withColumn("w", w).where("rep is not null")
+    return rows.groupBy("rep").agg(F.try_divide(F.sum(F.col("w") * F.col("x")), F.sum("w")).alias("mean"))

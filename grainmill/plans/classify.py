@@ -197,6 +197,23 @@ def paired_boot(spark, sf):
     return s.select(F.round(lo, 9).alias("lo"), F.round(hi, 9).alias("hi"), ((lo > 0) | (hi < 0)).alias("excludes_zero"))
 
 
+@query("bootstrap_ci_500")
+def bootstrap_ci_500(spark, sf):
+    """The interval of 500 replicates, weights without a cap."""
+    b = M.bootstrap_counts(predictions(spark, sf), F.col("gold") == F.col("pred"), 500, "boot")
+    return b.agg(F.round(F.percentile("mean", 0.025), 9).alias("lo"), F.round(F.percentile("mean", 0.975), 9).alias("hi"), F.count(F.lit(1)).alias("n"))
+
+
+@query("paired_boot_20000")
+def paired_boot_20000(spark, sf):
+    """Order statistics of 20,000 replicate differences."""
+    n = 20_000
+    b = M.bootstrap_counts(_pair(spark, sf), F.col("a") - F.col("b"), n, "pair")
+    s = b.agg(F.array_sort(F.collect_list("mean")).alias("m"))  # one value a replicate
+    lo, hi = F.get("m", F.lit(int(0.025 * n))), F.get("m", F.lit(int(0.975 * n)))
+    return s.select(F.round(lo, 9).alias("lo"), F.round(hi, 9).alias("hi"), ((lo > 0) | (hi < 0)).alias("excludes_zero"))
+
+
 @query("class_median", "select label, round(median(cast(list_aggregate(embedding, 'max') as double)), 6) median_peak from embeddings group by 1")
 def class_median(spark, sf):
     return table(spark, sf, "embeddings").groupBy("label").agg(F.round(F.median(F.array_max("embedding").cast("double")), 6).alias("median_peak"))

@@ -1,5 +1,8 @@
 """Literals of small cases: rules whose results are fixed by definition."""
 
+import math
+import os
+
 from pyspark.sql import functions as F
 
 from grainmill.functions import scalars as S
@@ -102,3 +105,31 @@ def test_files(spark, tmp_path):
     png = bytes.fromhex("89504E470D0A1A0A0000000D49484452") + (640).to_bytes(4, "big") + (480).to_bytes(4, "big")
     w, h = files.png_size(F.lit(png))
     assert (value(spark, w), value(spark, h)) == (640, 480)
+
+
+def test_bootstrap_by_counts(spark):
+    for n in (1, 20, 3000):
+        table = M.poisson_table(spark.createDataFrame([(0.0, n)], "x double, n long")).orderBy("k").collect()
+        p, total, have = math.exp(-n) if n < 700 else None, 0.0, {r["k"]: r["p"] for r in table}
+        assert abs(table[-1]["p"] - 1) < 1e-12
+        for k in range(max(have) if p else 0):
+            total, p = total + p, p * n / (k + 1)
+            assert abs(have[k] - total) < 1e-12 if k in have else total < 1e-15
+    assert len(have) > 500 and abs(have[3000] - 0.50486) < 1e-4
+    rows = spark.range(1000).select((F.col("id") % 4 == 0).cast("int").alias("x"))
+    m = sorted(r["mean"] for r in M.bootstrap_counts(rows, F.col("x"), 2000, "s").collect())
+    sd = math.sqrt(sum((x - 0.25) ** 2 for x in m) / len(m))
+    assert len(m) == 2000 and abs(sum(m) / len(m) - 0.25) < 0.002 and abs(sd - math.sqrt(0.25 * 0.75 / 1000)) < 0.001
+    # one row: the weight goes beyond the eight steps of the plain form only if it has no cap, and is 0 in a share of 1 / e
+    one = [r["mean"] for r in M.bootstrap_counts(rows.limit(1), F.col("x"), 2000, "s").collect()]
+    assert abs(one.count(None) / 2000 - math.exp(-1)) < 0.04
+
+
+def test_bootstrap_queries_take_all_replicates(spark):
+    from grainmill.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    if os.path.isdir(sf):
+        assert registry.queries()["bootstrap_ci_500"](spark, sf).first()["n"] == 500
+        r = registry.queries()["paired_boot_20000"](spark, sf).first()
+        assert r["lo"] < r["hi"] and r["excludes_zero"] == (r["lo"] > 0 or r["hi"] < 0)
