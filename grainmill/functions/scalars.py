@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # fixed values: label vocabulary and its aliases
 LABELS = ["Center", "Donut", "Edge_Loc", "Edge_Ring", "Loc", "Near_full", "Random", "Scratch", "none"]
@@ -83,3 +83,42 @@ def numeral(x: Column) -> Column:
 
 def safe_div(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
+
+
+def renderings(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Every way a number may be written: ``key``, ``form`` (rounded, truncated, mantissa), ``d`` (1 to 6 decimals) and ``s``.
+
+    Rounding is that of the exact binary value, half to even, which no built-in expression has; truncation is that of the
+    twelve-decimal form. Numbers under 0.01 have the mantissa of their seven-digit form too. Null and non-finite values have none.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        import math
+
+        import pyarrow as pa
+
+        for batch in batches:
+            out = [[], [], [], []]
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if v is None or not math.isfinite(v):
+                    continue
+                long_form = f"{v:.12f}"
+                cut = long_form.index(".") + 1
+                forms = [("rounded", d, f"{v:.{d}f}") for d in range(1, 7)] + [("truncated", d, long_form[: cut + d]) for d in range(1, 7)]
+                if v and abs(v) < 1e-2:
+                    mantissa = float(f"{v:.6e}".split("e")[0])
+                    forms += [("mantissa", d, f"{mantissa:.{d}f}") for d in range(1, 7)]
+                for form, d, s in forms:
+                    for x, y in zip(out, (k, form, d, s), strict=True):
+                        x.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(0).type), pa.array(out[1], pa.string()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.string())], [key, "form", "d", "s"])
+
+    return df.select(key, F.col(value).cast("double").alias(value)).mapInArrow(run, f"{key} {kind}, form string, d int, s string")
+
+
+def decimal_tokens(text: Column) -> Column:
+    """Signed decimals of 3 to 6 fraction digits, line by line, citations (arXiv numbers, dotted versions) removed."""
+    lines = F.split(text, r"\R|[\x1c-\x1e]")
+    clean = lambda line: F.regexp_replace(line, r"(?iU)arxiv[:\s]*\S+|\b\d+\.\d+\.\d+\b", " ")
+    return F.flatten(F.transform(lines, lambda line: F.regexp_extract_all(clean(line), F.lit(r"(?U)(?<![.\d])-?\d+\.\d{3,6}"), F.lit(0))))

@@ -190,6 +190,17 @@ def regex_tokens(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\d{3,}"), F.lit(0))).alias("token"))
 
 
+@query("number_renderings_all")
+def number_renderings_all(spark, sf):
+    """Rounded, truncated and mantissa forms of every event's value, at 1 to 6 decimals."""
+    return S.renderings(table(spark, sf, "events"), "event_id", "value")
+
+
+@query("decimal_tokens")
+def decimal_tokens(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.explode(S.decimal_tokens(F.col("text"))).alias("token"))
+
+
 @query("tag_parse", "select s_suppkey, s_suppkey % 5 g, s_suppkey % 3 + 1 m from supplier")
 def tag_parse(spark, sf):
     """G and learning-rate parts of a run tag."""

@@ -133,3 +133,18 @@ def test_bootstrap_queries_take_all_replicates(spark):
         assert registry.queries()["bootstrap_ci_500"](spark, sf).first()["n"] == 500
         r = registry.queries()["paired_boot_20000"](spark, sf).first()
         assert r["lo"] < r["hi"] and r["excludes_zero"] == (r["lo"] > 0 or r["hi"] < 0)
+
+
+def test_number_renderings(spark):
+    df = spark.createDataFrame([(1, 0.21428571428571427), (2, 2.83196e-26), (3, 0.125), (4, -2.675), (5, None), (6, float("nan")), (7, 0.0)], "id long, v double")
+    got = {(r["id"], r["form"], r["d"]): r["s"] for r in S.renderings(df, "id", "v").collect()}
+    assert len(got) == 5 * 12 + 6 and {k[0] for k in got if k[1] == "mantissa"} == {2}
+    assert (got[1, "rounded", 6], got[1, "truncated", 6], got[1, "rounded", 1]) == ("0.214286", "0.214285", "0.2")
+    assert (got[2, "rounded", 4], got[2, "mantissa", 5]) == ("0.0000", "2.83196")
+    assert (got[3, "rounded", 2], got[4, "rounded", 2], got[4, "truncated", 2]) == ("0.12", "-2.67", "-2.67")
+
+
+def test_decimal_tokens(spark):
+    text = "delta -0.1071 and 0.25, 12345; 3.1415926535 in arXiv: 2401.12345 v 1.2.3456\narxiv:\n0.5000 .5.1234"
+    assert value(spark, S.decimal_tokens(F.lit(text))) == ["-0.1071", "3.141592", "0.5000"]
+    assert value(spark, S.decimal_tokens(F.lit(None).cast("string"))) is None
