@@ -5,11 +5,12 @@ anchor of a window of ``length`` bytes is its smallest hashed 24-byte gram (left
 and neighbouring windows of one anchor form a segment of about 1.4 times ``length`` bytes. Equal windows have equal anchors.
 
 1. Documents are cut into portions of about 2 MB, which are written once and read by every step. Anchors are counted over the
-   corpus: each portion sends every distinct anchor once with its count and the
-   smallest and largest hash of its segments. An anchor that occurs once can't repeat. An anchor whose segments are all equal
-   repeats as a whole. The others are contested.
-2. The distinct contested segments are dealt by anchor into buckets of a few MB; an anchor with very many of them is dealt in
-   chunks. For each bucket a task sorts the suffixes of its segments, takes the Burrows-Wheeler transform, and derives common
+   corpus: each portion sends every distinct anchor once with its count and the smallest and largest hash of its segments.
+   Anchors are dealt by a fresh hash (a minimum of hashes is itself no even number), to as many parts as the portions ask for.
+   An anchor that occurs once can't repeat. An anchor whose segments are all equal repeats as a whole. The others are contested.
+2. Every window holds its anchor's gram and as many bytes as half a window has on its left or on its right. Contested segments
+   that share neither side with another segment of their anchor are settled: nothing in them repeats. The distinct ones of
+   the rest are dealt by anchor into buckets of a few MB; an anchor with very many of them is dealt in chunks. For each bucket a task sorts the suffixes of its segments, takes the Burrows-Wheeler transform, and derives common
    prefixes by increasing value: from every boundary of common prefix v, backward extension by the characters of the interval
    that starts there gives the boundaries of v + 1, breadth first, up to ``length``. Boundaries never reached separate
    suffixes that share ``length`` bytes or more: those are the repeated windows.
@@ -36,6 +37,7 @@ from grainmill.llm.shared import materialize, shuffle_partitions, work_dir
 
 GRAM = 24
 CHUNK = 4096
+PORTION_BYTES, PART_BYTES = 2 << 20, 48 << 20  # a part gets the anchors of so many bytes of text
 PORTION = "portion long, ids binary, data binary, offsets binary"
 FACT = "portion long, kind int, total long, at binary, status binary, ah long, sh long, bits binary, late array<int>"
 _POS = np.uint64((1 << 28) - 1)
@@ -64,35 +66,53 @@ def sliding_min(key: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], fore[w - 1 : n])
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First and last start of every run of windows of one anchor, anchor hash and segment hash."""
-    n = len(data)
-    if n < length:
-        z = np.zeros(0, np.int64)
-        return z, z, z.astype(np.uint64), z.astype(np.uint64)
-    gram = min(GRAM, length)
-    h = Hasher(data)
-    grams = n - gram + 1
-    key = (h.total[gram:] - h.total[:grams]) * h.inv[:grams]
-    key += np.uint64(gram)
-    key = mix(key)
-    low = sliding_min((key & ~_POS) | np.arange(grams, dtype=np.uint64), length - gram + 1)
-    anchor = (low & _POS).astype(np.int64)
-    inside = np.zeros(n - length + 1, bool)
-    for i, j in zip(offsets[:-1], offsets[1:], strict=True):
-        if j - i >= length:
-            inside[i : j - length + 1] = True
-    new = np.empty(len(anchor), bool)
-    new[0], new[1:] = True, (anchor[1:] != anchor[:-1]) | ~inside[:-1]
-    cuts = offsets[(offsets > 0) & (offsets < len(new))]
-    new[cuts] = True
-    first = np.flatnonzero(new & inside)
-    # a run ends before the next run, the next document or the last window of its own document
-    stop = np.flatnonzero(new | ~inside)
-    nxt = np.searchsorted(stop, first, side="right")
-    last = np.where(nxt < len(stop), stop[np.minimum(nxt, len(stop) - 1)], len(new)) - 1
-    place = anchor[first] - first
-    return first, last, key[anchor[first]], mix(h(first, last + length) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+class Runs:
+    """Runs of windows of one anchor: first and last start, anchor hash (evenly spread) and segment hash."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int):
+        self.length, self.gram = length, min(GRAM, length)
+        self.first = self.last = self.anchor = np.zeros(0, np.int64)
+        self.ah = self.sh = np.zeros(0, np.uint64)
+        if len(data) >= length:
+            self._find(data, offsets)
+
+    def _find(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        n, length, gram = len(data), self.length, self.gram
+        self.hasher = h = Hasher(data)
+        grams = n - gram + 1
+        key = (h.total[gram:] - h.total[:grams]) * h.inv[:grams]
+        key += np.uint64(gram)
+        key = mix(key)
+        low = sliding_min((key & ~_POS) | np.arange(grams, dtype=np.uint64), length - gram + 1)
+        anchor = (low & _POS).astype(np.int64)
+        inside = np.zeros(n - length + 1, bool)
+        for i, j in zip(offsets[:-1], offsets[1:], strict=True):
+            if j - i >= length:
+                inside[i : j - length + 1] = True
+        new = np.empty(len(anchor), bool)
+        new[0], new[1:] = True, (anchor[1:] != anchor[:-1]) | ~inside[:-1]
+        cuts = offsets[(offsets > 0) & (offsets < len(new))]
+        new[cuts] = True
+        self.first = first = np.flatnonzero(new & inside)
+        # a run ends before the next run, the next document or the last window of its own document
+        stop = np.flatnonzero(new | ~inside)
+        nxt = np.searchsorted(stop, first, side="right")
+        self.last = last = np.where(nxt < len(stop), stop[np.minimum(nxt, len(stop) - 1)], len(new)) - 1
+        self.anchor = anchor[first]
+        place = self.anchor - first
+        # a minimum of hashes crowds near zero, so it is mixed once more
+        self.ah = mix(key[self.anchor] ^ np.uint64(0x2545F4914F6CDD1D))
+        self.sh = mix(h(first, last + length) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def sides(self, i: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """Hashes of the gram of each run with half a window to its left, and to its right; null if the segment ends before."""
+        half = (self.length - self.gram) // 2
+        at, first, end = self.anchor[i], self.first[i], self.last[i] + self.length
+        left, right = at - half, at + self.gram + half
+        out = []
+        for a, b, ok in ((left, at + self.gram, left >= first), (at, right, right <= end)):
+            out.append(pa.array(self.hasher(np.where(ok, a, at), np.where(ok, b, at)).view(np.int64), mask=~ok))
+        return out[0], out[1]
 
 
 def suffix_order(segments: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -241,17 +261,18 @@ def _status(table: pa.Table, u: np.ndarray) -> np.ndarray:
 
 def anchor_status(texts: DataFrame, length: int) -> DataFrame:
     """For every portion the anchors that occur more than once in the corpus; one row at least if it has anchors at all."""
-    parts = shuffle_partitions(texts.sparkSession)
+    parts = max(shuffle_partitions(texts.sparkSession), -(-texts.count() * PORTION_BYTES // PART_BYTES))
 
     def count(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                _, _, ah, sh = runs(*_open(row), length)
+                found = Runs(*_open(row), length)
+                ah, sh = found.ah, found.sh
                 order = np.lexsort((sh, ah))
                 u, first, c = np.unique(ah[order], return_index=True, return_counts=True)
                 low, high = sh[order][first], sh[order][first + c - 1]
-                owner = ((u >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)
+                owner = ((u >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
                 cuts = np.searchsorted(owner, np.arange(parts + 1))
                 keep = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
                 span = [slice(cuts[p], cuts[p + 1]) for p in keep]
@@ -297,17 +318,20 @@ def anchor_status(texts: DataFrame, length: int) -> DataFrame:
 
 
 def contested_segments(texts: DataFrame, status: DataFrame, length: int) -> DataFrame:
-    """The distinct contested segments of every portion: portion, anchor and segment hash, copies, bytes."""
+    """The distinct contested segments of every portion: portion, anchor and segment hash, copies, side hashes, bytes."""
+
+    kept = pa.schema([(c, pa.int64()) for c in ("portion", "ah", "sh", "copies", "left", "right")] + [("segment", pa.binary())])
 
     def pick(texts: pa.Table, facts: pa.Table) -> pa.Table:
-        out = [[], [], [], [], []]
+        out = []
         if not texts.num_rows:
             raise ValueError("facts without their portion")
         for row in texts.to_pylist():
             data, offsets = _open(row)
             if facts.num_rows and not any(facts["status"].to_pylist()):
                 continue
-            first, last, ah, sh = runs(data, offsets, length)
+            found = Runs(data, offsets, length)
+            ah, sh = found.ah, found.sh
             u, back = np.unique(ah, return_inverse=True)
             i = np.flatnonzero(_status(facts, u)[back] == 2)
             order = i[np.lexsort((sh[i], ah[i]))]
@@ -316,18 +340,28 @@ def contested_segments(texts: DataFrame, status: DataFrame, length: int) -> Data
             new = np.concatenate([[True], (ah[order][1:] != ah[order][:-1]) | (sh[order][1:] != sh[order][:-1])])
             starts = np.flatnonzero(new)
             copies = np.diff(np.append(starts, len(order)))
-            for k, c in zip(order[starts], copies, strict=True):
-                for x, v in zip(out, (row["portion"], ah[k].view(np.int64), sh[k].view(np.int64), int(c), data[first[k] : last[k] + length].tobytes()), strict=True):
-                    x.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.table([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["portion", "ah", "sh", "copies", "segment"])
+            i = order[starts]
+            bytes_of = pa.array([data[a:b].tobytes() for a, b in zip(found.first[i], found.last[i] + length, strict=True)], pa.binary())
+            columns = [np.full(len(i), row["portion"]), ah[i].view(np.int64), sh[i].view(np.int64), copies]
+            out.append(pa.table([*map(pa.array, columns), *found.sides(i), bytes_of], schema=kept))
+        return pa.concat_tables(out) if out else kept.empty_table()
+
+    return texts.groupBy("portion").cogroup(status.groupBy("portion")).applyInArrow(pick, "portion long, ah long, sh long, copies long, left long, right long, segment binary")
+
 
-    return texts.groupBy("portion").cogroup(status.groupBy("portion")).applyInArrow(pick, "portion long, ah long, sh long, copies long, segment binary")
+def shared_sides(contested: DataFrame) -> DataFrame:
+    """The contested segments that share a side with another segment, or a copy, of their anchor; no others hold a repeat."""
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("h")), F.struct(F.lit(1).alias("side"), F.col("right").alias("h"))))
+    rows = contested.select("ah", "sh", "copies", sides.alias("s")).where("s.h IS NOT NULL").select("ah", "sh", "copies", F.xxhash64("ah", "s").alias("key"))
+    shared = rows.groupBy("key").agg(F.sum("copies").alias("c")).where("c > 1").select("key")
+    # a hash of anchor and side stands for a segment here: more of them pass than must, none too few
+    live = rows.join(shared, "key", "left_semi").select("ah", "sh").distinct()
+    return contested.join(live, ["ah", "sh"], "left_semi")
 
 
 def judged_segments(contested: DataFrame, length: int, bucket_bytes: int) -> DataFrame:
     """ah, sh, bits (repeated windows of the segment, packed) and late (starts of windows that repeat in another chunk)."""
-    distinct = materialize(contested.groupBy("ah", "sh").agg(F.sum("copies").alias("copies"), F.first("segment").alias("segment")), "segments")
+    distinct = materialize(shared_sides(contested).groupBy("ah", "sh").agg(F.sum("copies").alias("copies"), F.first("segment").alias("segment")), "segments")
     total = distinct.agg(F.sum(F.length("segment"))).first()[0] or 0
     many = distinct.groupBy("ah").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > CHUNK)
     chunks = F.ceil(F.coalesce("c", F.lit(1)) / CHUNK)
@@ -386,7 +420,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, bucket_bytes: int = 1 <<
             ids = pa.ipc.open_stream(row["ids"]).read_all().column(0).to_pylist()
             gone = np.zeros(len(data), bool)
             if not facts.num_rows or any(facts["at"].to_pylist()):
-                first, last, ah, sh = runs(data, offsets, length)
+                found = Runs(data, offsets, length)
+                first, last, ah, sh = found.first, found.last, found.ah, found.sh
                 u, back = np.unique(ah, return_inverse=True)
                 state = _status(facts, u)[back]
                 edge = np.zeros(len(data) + 1, np.int64)
@@ -396,6 +431,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, bucket_bytes: int = 1 <<
                 verdict = {(r["ah"], r["sh"]): (r["bits"], r["late"]) for r in facts.to_pylist() if r["kind"] == 1}
                 i = np.flatnonzero(state == 2)
                 for k, a, s in zip(i, ah[i].view(np.int64).tolist(), sh[i].view(np.int64).tolist(), strict=True):
+                    if (a, s) not in verdict:  # shares no side with another segment
+                        continue
                     bits, late = verdict[a, s]
                     hit = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(last[k] - first[k] + 1)).astype(bool)
                     if late:
