@@ -2,19 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; only where that is unset (tests on one machine) a new local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="grainmill-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+from grainmill.session import shared_dir as work_dir
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -22,7 +14,50 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete the folders of materialised tables that nothing reads any more."""
+    for df in stored:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as make it differ from every column of ``df``, upper or lower case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+HOT_SHARE = 1000
+
+
+def hot_keys(counts: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """The keys that hold more than a thousandth of ``total`` rows, so fewer than a thousand, and the salts to split each into."""
+    return F.broadcast(counts.where(F.col(n) * HOT_SHARE > total).select(*keys, (F.floor(F.col(n) * HOT_SHARE / max(total, 1)) + 1).cast("int").alias("_salts")))
+
+
+def join_salted(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame, scatter: Column, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small``, which is unique on ``keys``: a hot key's rows are dealt to its salts by ``scatter``, its one row is copied to them.
+
+    All salts together are two thousand copies at most, whatever the size of the tables.
+    """
+    salts = F.coalesce("_salts", F.lit(1))
+    left = big.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(F.lit("salt"), scatter), salts).cast("int")).drop("_salts")
+    right = small.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def join_counted(big: DataFrame, small: DataFrame, key: str, scatter: Column) -> DataFrame:
+    """``join_salted`` for a materialised ``big`` whose keys are counted first."""
+    hot = hot_keys(big.groupBy(key).agg(F.count(F.lit(1)).alias("_n")), [key], "_n", big.count())
+    return join_salted(big, small, [key], hot, scatter)
 
 
 def revive(kind: type, state: dict | None):
@@ -55,7 +90,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_low, "u")
         nxt = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m"))).distinct()
-        cur = materialize(nxt, "cc")
+        last, cur = cur, materialize(nxt, "cc")
+        discard(last)
         now = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == before:
             break

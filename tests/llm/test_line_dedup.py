@@ -32,8 +32,8 @@ def brute(rows, min_words=5):
 
 def run(spark, rows):
     df = spark.createDataFrame([(d, t, i, None) for i, (d, t) in enumerate(rows)], SCHEMA).coalesce(1)
-    out = dedup_lines(df.withColumnRenamed("row_id", "tag"))
-    return [r["text"] for r in sorted(out.collect(), key=lambda r: r["tag"])]
+    out = dedup_lines(df)
+    return [r["text"] for r in sorted(out.collect(), key=lambda r: r["row_id"])]
 
 
 def test_matches_brute_force(spark):
@@ -67,3 +67,38 @@ def test_edges(spark):
 def brute_spaces(rows):
     """The no-break space belongs to a word here, unlike in str.split."""
     return [None if t is None else t.replace("\x00", " ") for t in brute([(d, t and t.replace(" ", "\x00")) for d, t in rows])]
+
+
+def test_clashing_columns_are_kept(spark):
+    rows = [(2, "a b c d e\nx", 7, 8, 9), (1, "a b c d f", 17, 18, 19)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row_id long, removed long, want long")
+    out = sorted(dedup_lines(df).collect(), key=lambda r: r["doc_id"])
+    assert [(r["doc_id"], r["text"], r["row_id"], r["removed"], r["want"], r["n_removed"]) for r in out] == [(1, "a b c d f", 17, 18, 19, 0), (2, "x", 7, 8, 9, 1)]
+
+
+def test_a_very_long_line_is_matched(spark):
+    words = [f"w{i}" for i in range(20_000)]
+    other = [*words[:15_000], "new", *words[15_000:]]
+    third = [*words[:3], "other", *words[4:]]
+    far = [*words[:3], "other", "too", *words[5:]]
+    rows = [(i, " ".join(w)) for i, w in enumerate((words, other, third, far, words[1:]))]
+    assert run(spark, rows) == [rows[0][1], "", "", "", ""]
+    assert run(spark, [rows[0], rows[3]]) == [rows[0][1], rows[3][1]]
+
+
+def test_one_line_in_most_rows_and_one_template(spark):
+    rows = [(i, f"the same line of all documents\nnumber {i} of a very common template\nown {i} words {i * 7} here {i * 3} and") for i in range(400)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_sql_form(spark):
+    import duckdb
+
+    from grainmill.llm.oracles import OP10
+    from grainmill.llm.queries import op10_line_dedup
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}/documents.parquet'")
+    want = sorted(con.execute(f"select doc_id, text, n_lines, n_removed from ({OP10})").fetchall())
+    assert sorted(tuple(r) for r in op10_line_dedup(spark, folder).select("doc_id", "text", "n_lines", "n_removed").collect()) == want
