@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# fixed values: label vocabulary and its aliases
+# fixed values: label vocabulary, and a name that is no spelling of it
 LABELS = ["Center", "Donut", "Edge_Loc", "Edge_Ring", "Loc", "Near_full", "Random", "Scratch", "none"]
+OTHER_NAMES = {"normal": "none"}
 UNLABELLED = ["", "nan", "unknown", "[]", "null"]
 # fixed values: zone limits and numerals
 CENTER_LIMIT, MIDDLE_LIMIT = 0.35, 0.72
@@ -16,10 +17,44 @@ def lookup(pairs: dict) -> Column:
     return F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv))
 
 
-def normalize_label(x: Column, labels: list[str] = LABELS) -> Column:
-    """Trimmed, spaces and hyphens unified, any case, to the vocabulary; unlabelled and unknown text is null."""
-    plain = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"^\s+|\s+$", ""), r"[\s-]+", "_"), r"[\[\]'\"]", ""))
-    return F.when(plain.isin(UNLABELLED), F.lit(None)).otherwise(F.try_element_at(lookup({v.lower(): v for v in labels}), plain))
+def normalize_label(x: Column, labels: list[str] = LABELS, others: dict[str, str] = OTHER_NAMES, keep_unknown: bool = False) -> Column:
+    """Any spelling of a label (case, brackets, words joined by space, hyphen, underscore or nothing) as the vocabulary has it.
+
+    Unlabelled text is null. Unknown text is null too, or with ``keep_unknown`` itself, with underscores for hyphens.
+    """
+    text = F.regexp_replace(F.regexp_replace(x, r"[\[\]'\"]", ""), r"^\s+|\s+$", "")
+    plain = F.regexp_replace(F.lower(text), r"[\s_-]+", "")
+    known = F.try_element_at(lookup({v.lower().replace("_", "").replace("-", ""): v for v in labels} | {k: v for k, v in others.items() if v in labels}), plain)
+    rest = F.regexp_replace(text, "-", "_") if keep_unknown else F.lit(None)
+    return F.when(plain.isin([v for v in UNLABELLED if v not in {w.lower() for w in labels}]), F.lit(None)).otherwise(F.coalesce(known, rest))
+
+
+def predicted_label(x: Column, labels: list[str] = LABELS) -> Column:
+    """The label that an answer names, INVALID for anything else."""
+    return F.coalesce(normalize_label(x, labels), F.lit("INVALID"))
+
+
+def six_digits(p: Column) -> Column:
+    """A small number with six significant digits as text, so that 2.8e-26 does not become 0."""
+    return F.format_string("%.5e", p)
+
+
+def version_key(x: Column) -> Column:
+    """A text that sorts as versions do: every run of digits padded to 18 places."""
+    return F.array_join(F.transform(F.regexp_extract_all(x, F.lit(r"[0-9]+|[^0-9]+"), F.lit(0)), lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, 18, "0")).otherwise(p)), "")
+
+
+def table_cells(line: Column) -> Column:
+    """The cells of a Markdown table row, trimmed."""
+    bare = F.regexp_replace(trim_all(line), r"^\|+|\|+$", "")
+    return F.transform(F.split(bare, r"\|"), trim_all)
+
+
+def run_key(header: Column) -> Column:
+    """Algorithm, group size and learning rate that a column header names, however it is punctuated; null for other headers."""
+    pattern = r"^([A-Za-z]+)\s*\(\s*G=(\d+)\s*[,)]?\s*lr\s*([0-9.eE+-]+)\s*\)?$"
+    part = lambda i: F.regexp_extract(trim_all(header), pattern, i)
+    return F.when(part(1) != "", F.concat_ws("|", part(1), part(2).cast("int").cast("string"), part(3)))
 
 
 def circular_distance(a: Column, b: Column, n: int = 12) -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
-def validate(rules: list[tuple[str, Column, int, bool]], passing: int = 60) -> tuple[Column, Column, Column]:
+def validate(rules: list[tuple[str, Column, int | Column, bool]], passing: int = 60) -> tuple[Column, Column, Column]:
     """Score, issues and verdict from penalty rules (name, broken?, penalty, hard?). A null test is not broken.
 
     The score starts at 100 and stays in 0..100; an annotation passes from ``passing`` on unless a hard rule is broken.
@@ -21,6 +21,44 @@ def validate(rules: list[tuple[str, Column, int, bool]], passing: int = 60) -> t
     return score, issues, (score >= passing) & ~hard
 
 
+# fixed values: what an annotation must hold, its zones, shapes by class and words that guess at causes
+REQUIRED_FIELDS = ["caption_en", "caption_zh", "clock_direction", "continuity", "defect_type", "density", "radial_zone", "shape", "size_r", "uncertain"]
+ZONES = ["center", "middle", "edge", "full", "none"]
+
+
+def annotation_rules(
+    fields: Column, gold: Column, predicted: Column, zone: Column, measured_zone: Column, shape: Column, clock: Column, measured_clock: Column, size: Column, captions: Column, uncertain: Column,
+    shapes: dict[str, list[str]], causes: list[str], full: str = "Near_full", nothing: str = "none",
+) -> list[tuple[str, Column, int | Column, bool]]:
+    """The rules of a present annotation, for :func:`validate`. ``fields``: names of the fields that it has."""
+    gone = F.size(F.array_except(F.array(*map(F.lit, REQUIRED_FIELDS)), fields))
+    wanted = F.when(gold == nothing, "none").otherwise(measured_zone)
+    known = F.coalesce(zone.isin(ZONES), F.lit(False))
+    right = (zone == wanted) | ((gold == full) & (zone == "full"))
+    fits = F.lit(False)
+    for label, some in shapes.items():
+        fits = fits | ((gold == label) & F.coalesce(shape.isin(some), F.lit(False)))
+    asked = measured_clock.isNotNull() & clock.isNotNull() & ~clock.isin("all", "none")
+    hour, radius = clock.try_cast("int"), size.try_cast("double")
+    away = F.least(F.pmod(hour - measured_clock, F.lit(12)), F.pmod(measured_clock - hour, F.lit(12)))
+    cause = F.lit(False)
+    for word in causes:
+        cause = cause | F.lower(captions).contains(word.lower())
+    return [
+        ("missing_fields", gone > 0, F.least(F.lit(40), 5 * gone), True),
+        ("type_mismatch", ~predicted.eqNullSafe(gold), 50, True),
+        ("invalid_radial_zone", ~known, 20, False),
+        ("radial_mismatch", known & wanted.isNotNull() & ~right, 15, False),
+        ("shape_suspicious", ~fits, 15, False),
+        ("clock_mismatch", asked & (away > 1), 15, False),
+        ("invalid_clock", asked & hour.isNull(), 15, False),
+        ("invalid_size_r", size.isNotNull() & ~F.coalesce(radius.between(0, 2.5), F.lit(False)), 15, False),
+        ("empty_caption", F.coalesce(F.trim(captions), F.lit("")) == "", 35, False),
+        ("root_cause_hallucination", cause, 25, False),
+        ("teacher_uncertain", F.coalesce(uncertain, F.lit(False)), 20, False),
+    ]
+
+
 def disagreement(fields: dict[str, tuple[Column, Column]]) -> Column:
     """Names of the fields in which two annotations differ, null-safe."""
     return F.array_compact(F.array(*(F.when(~a.eqNullSafe(b), F.lit(name)) for name, (a, b) in fields.items())))
@@ -56,3 +94,8 @@ def reward_clock(answer: Column, gold: Column, n: int = 12) -> Column:
     """1 without a gold position, else within one step."""
     d = F.least(F.pmod(answer - gold, F.lit(n)), F.pmod(gold - answer, F.lit(n)))
     return F.when(gold.isNull(), 1.0).otherwise(F.coalesce((d <= 1).cast("double"), F.lit(0.0)))
+
+
+def finished(runs: DataFrame) -> DataFrame:
+    """Runs that completed and logged every step that was asked for."""
+    return runs.where((F.col("outcome") == "completed") & (F.col("steps_logged") == F.col("max_steps")))

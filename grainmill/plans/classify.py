@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from grainmill.functions.hashing import stable_bucket
 from grainmill.functions.scalars import circular_distance, safe_div
+from grainmill.functions.scalars import six_digits
 from grainmill.operators import metrics as M
 from grainmill.plans.registry import query
 from grainmill.plans.tables import CLASSES, CLOCKS, MANIFEST, PREDS, bucket_sql, class_list_sql, clocks, dist_sql, manifest, predictions, predictions_sql
@@ -174,7 +175,18 @@ def mcnemar(spark, sf):
     return d.groupBy("gold").agg(F.count_if((F.col("a") == 1) & (F.col("b") == 0)).alias("n10"), F.count_if((F.col("a") == 0) & (F.col("b") == 1)).alias("n01"))
 
 
-@query("mcnemar_p")
+_P = "case when n = 0 then 1.0 else least(1.0, 2 * list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))) end"
+_CELLS = _PAIR + ", c as (select {key} cell, count(*) filter (a.gold = a.pred and b.gold <> b.pred) n10, count(*) filter (a.gold <> a.pred and b.gold = b.pred) n01 from a join b using (id, gold) group by 1), d as (select *, n10 + n01 n, least(n10, n01) k from c)"
+
+
+@query("mcnemar_by_class", _CELLS.format(key="gold") + f" select cell, n10, n01, printf('%.5e', {_P}) p from d")
+def mcnemar_by_class(spark, sf):
+    """Exact p-values of the discordant counts of every class, with six significant digits."""
+    d = _pair(spark, sf).groupBy(F.col("gold").alias("cell")).agg(F.count_if((F.col("a") == 1) & (F.col("b") == 0)).alias("n10"), F.count_if((F.col("a") == 0) & (F.col("b") == 1)).alias("n01"))
+    return d.select("cell", "n10", "n01", six_digits(M.mcnemar(F.col("n01"), F.col("n10"))).alias("p"))
+
+
+@query("mcnemar_p", _CELLS.format(key="id % 50") + f" select cell, n10, n01, round({_P}, 9) p from d")
 def mcnemar_p(spark, sf):
     """Exact p-values of the discordant counts of every lot residue."""
     d = _pair(spark, sf).groupBy((F.col("id") % 50).alias("cell")).agg(F.count_if((F.col("a") == 1) & (F.col("b") == 0)).alias("n10"), F.count_if((F.col("a") == 0) & (F.col("b") == 1)).alias("n01"))
@@ -197,6 +209,13 @@ def paired_boot(spark, sf):
     return s.select(F.round(lo, 9).alias("lo"), F.round(hi, 9).alias("hi"), ((lo > 0) | (hi < 0)).alias("excludes_zero"))
 
 
+@query("bootstrap_macro_f1")
+def bootstrap_macro_f1(spark, sf):
+    """Percentile interval of macro-F1 over 500 replicates."""
+    b = M.bootstrap_metric(predictions(spark, sf), M.macro_f1_of(CLASSES), 500, "macro")
+    return b.agg(F.round(F.percentile("value", 0.025), 9).alias("lo"), F.round(F.percentile("value", 0.975), 9).alias("hi"), F.count(F.lit(1)).alias("n"))
+
+
 @query("bootstrap_ci_500")
 def bootstrap_ci_500(spark, sf):
     """The interval of 500 replicates, weights without a cap."""

@@ -83,10 +83,10 @@ def anisotropy(spark, sf):
     return G.anisotropy(geometry(spark, sf)).select("g", F.round("ratio", 6).alias("ratio"))
 
 
-@query("centroid_stats", f"with {GEOMETRY} select g, round(avg(x), 6) cx, round(avg(y), 6) cy, round(avg(r), 6) mean_r, round(stddev_pop(r), 6) sd_r, round(max(x) - min(x), 6) span_x, round(max(y) - min(y), 6) span_y, round(max(r), 6) extent from geo group by 1")
+@query("centroid_stats", f"with {GEOMETRY} select g, round(avg(x), 6) + 0.0 cx, round(avg(y), 6) + 0.0 cy, round(avg(r), 6) mean_r, round(stddev_pop(r), 6) sd_r, round(max(x) - min(x), 6) span_x, round(max(y) - min(y), 6) span_y, round(max(r), 6) extent from geo group by 1")
 def centroid_stats(spark, sf):
     x, y, r = (F.col(c) for c in "xyr")
-    return geometry(spark, sf).groupBy("g").agg(F.round(F.avg(x), 6).alias("cx"), F.round(F.avg(y), 6).alias("cy"), F.round(F.avg(r), 6).alias("mean_r"), F.round(F.stddev_pop(r), 6).alias("sd_r"), F.round(F.max(x) - F.min(x), 6).alias("span_x"), F.round(F.max(y) - F.min(y), 6).alias("span_y"), F.round(F.max(r), 6).alias("extent"))
+    return geometry(spark, sf).groupBy("g").agg((F.round(F.avg(x), 6) + 0.0).alias("cx"), (F.round(F.avg(y), 6) + 0.0).alias("cy"), F.round(F.avg(r), 6).alias("mean_r"), F.round(F.stddev_pop(r), 6).alias("sd_r"), F.round(F.max(x) - F.min(x), 6).alias("span_x"), F.round(F.max(y) - F.min(y), 6).alias("span_y"), F.round(F.max(r), 6).alias("extent"))
 
 
 @query("zone_redefine", f"with {GEOMETRY}, a as (select g, avg(r) mean_r, median(r) median_r, max(r) max_r from geo group by 1) select g, case when mean_r < 0.35 then 'center' when mean_r < 0.72 then 'middle' else 'edge' end by_mean, case when median_r < 0.35 then 'center' when median_r < 0.72 then 'middle' else 'edge' end by_median, case when max_r < 0.35 then 'center' when max_r < 0.72 then 'middle' else 'edge' end by_max from a")

@@ -26,9 +26,9 @@ def write_sheet(df: DataFrame, path: str) -> None:
 
 
 def read_reports(spark: SparkSession, glob: str, suffix: str) -> DataFrame:
-    """One row a report file: its tag (name without suffix) and its JSON text."""
+    """One row a report file: its path, its tag (name without suffix) and its JSON text."""
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    return spark.read.option("wholetext", True).text(glob).select(F.regexp_replace(name, f"{suffix}$", "").alias("tag"), F.col("value").alias("json"))
+    return spark.read.option("wholetext", True).text(glob).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace(name, f"{suffix}$", "").alias("tag"), F.col("value").alias("json"))
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:

@@ -148,3 +148,40 @@ def test_decimal_tokens(spark):
     text = "delta -0.1071 and 0.25, 12345; 3.1415926535 in arXiv: 2401.12345 v 1.2.3456\narxiv:\n0.5000 .5.1234"
     assert value(spark, S.decimal_tokens(F.lit(text))) == ["-0.1071", "3.141592", "0.5000"]
     assert value(spark, S.decimal_tokens(F.lit(None).cast("string"))) is None
+
+
+def test_mcnemar_equals_exact_fractions(spark):
+    from fractions import Fraction
+    from math import comb
+
+    from grainmill.operators.metrics import mcnemar
+
+    pairs = [(0, 0), (0, 1), (3, 3), (1, 9), (500, 800), (815, 503), (5000, 8000), (6000, 6100), (0, 3000), (7, 4000)]
+    got = spark.createDataFrame(pairs, "a long, b long").select("a", "b", mcnemar(F.col("a"), F.col("b")).alias("p")).collect()
+    for r in got:
+        n, k = r["a"] + r["b"], min(r["a"], r["b"])
+        term, total = comb(n, k), 0
+        for i in range(k, -1, -1):
+            total += term
+            term = term * i // (n - i + 1)
+        want = float(min(Fraction(1), Fraction(2 * total, 2**n)))
+        assert abs(r["p"] - want) <= 1e-9 * want
+
+
+def test_bootstrap_of_any_metric(spark):
+    from grainmill.operators.metrics import bootstrap_metric, macro_f1_of
+
+    rows = [("a", "a")] * 400 + [("a", "b")] * 100 + [("b", "b")] * 300 + [("b", None)] * 50
+    df = spark.createDataFrame(rows, "gold string, pred string")
+    got = sorted(r["value"] for r in bootstrap_metric(df, macro_f1_of(["a", "b"]), 400, "x").collect())
+    point = (2 * 400 / (500 + 400) + 2 * 300 / (350 + 400)) / 2
+    assert len(got) == 400 and abs(sum(got) / 400 - point) < 0.01 and 0.01 < got[389] - got[10] < 0.08
+
+
+def test_spellings_of_labels(spark):
+    from grainmill.functions.scalars import normalize_label, predicted_label
+
+    cases = {"edgeloc": "Edge_Loc", "nearfull": "Near_full", "edgering": "Edge_Ring", "normal": "none", "none": "none", "Edge-Ring": "Edge_Ring", "[['Donut']]": "Donut", "[]": None, "": None, "nan": None, None: None}
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()], "x string, want string")
+    for r in df.select("*", normalize_label(F.col("x")).alias("got"), predicted_label(F.col("x")).alias("said"), normalize_label(F.lit("Odd-One"), keep_unknown=True).alias("kept")).collect():
+        assert r["got"] == r["want"] and r["said"] == (r["want"] or "INVALID") and r["kept"] == "Odd_One"

@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
 
 def canonical(rows, names):
     order = sorted(range(len(names)), key=lambda i: names[i])
-    plain = lambda v: None if v is None or (isinstance(v, float) and math.isnan(v)) else (str(v) if isinstance(v, (bool, str)) else round(float(v), 6))
+    plain = lambda v: None if v is None or (isinstance(v, float) and math.isnan(v)) else (str(v) if isinstance(v, (bool, str)) else round(float(v), 6) + 0.0)
     return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
 
 
