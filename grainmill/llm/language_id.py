@@ -4,7 +4,8 @@ Subwords are byte n-grams of the lower-cased text with everything but letters re
 mean of its subword embeddings and a linear softmax reads the language from it. As that layer is linear, prediction adds up
 one row of class scores per subword (embedding times weights, multiplied out once), over the whole text.
 
-Training takes at most about ``sample_rows`` labelled rows, chosen evenly over the languages by a hash of the id; a fifth of
+Training takes at most about ``sample_rows`` different labelled rows, chosen evenly over all languages (more than 4096 of them are an
+error) by a hash of the row; a fifth of
 them is held back to fit a temperature (so that the score is a calibrated probability) and a rejection threshold, the score
 below which calibration rows were more often wrong than ``1 - target_precision`` allows. The model has a fixed size.
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from grainmill.llm.bytesops import blocks, raw
 
@@ -127,19 +129,20 @@ def train(texts: list[str], langs: list[str], dim: int = 16, epochs: int = 5, ra
     return model
 
 
-def sample_labelled(docs: DataFrame, sample_rows: int) -> tuple[list[str], list[str]]:
-    """About ``sample_rows`` labelled rows, equally many of each language where there are enough, chosen by id hash."""
+def sample_labelled(docs: DataFrame, sample_rows: int, most_labels: int = 4096) -> tuple[list[str], list[str]]:
+    """About ``sample_rows`` different labelled rows, equally many of each language where there are enough, chosen by their hash."""
     labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count")).limit(256).collect()}
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(most_labels + 1).collect()}
     if not counts:
         return [], []
+    if len(counts) > most_labels:
+        raise ValueError(f"more than {most_labels} languages")
     each = max(1, sample_rows // len(counts))
-    rate: Column = F.lit(0.0)
-    for lang, n in counts.items():
-        rate = F.when(F.col("lang") == lang, F.lit(min(1.0, each / n))).otherwise(rate)
-    dice = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    rows = labelled.where(dice < rate).select("text", "lang", F.xxhash64("doc_id", "text").alias("o")).limit(2 * sample_rows + 256).collect()
-    rows.sort(key=lambda r: (r["o"], r["text"]))
+    rates = F.create_map(*(F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, each / n))))
+    row = F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string"), "text", "lang")
+    chosen = labelled.select("text", "lang", row.alias("o")).where(F.pmod("o", F.lit(1 << 30)) / float(1 << 30) < rates[F.col("lang")])
+    # a row that repeats very often counts once
+    rows = chosen.dropDuplicates(["o"]).orderBy("o").limit(2 * sample_rows + len(counts)).collect()
     return [r["text"] for r in rows], [r["lang"] for r in rows]
 
 
@@ -165,7 +168,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             extra = [pa.array(list(pred), pa.string()), pa.array(score, pa.float64()), pa.array(list(map(bool, ok)), pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *extra], [*names, "lang_pred", "score", "accepted"])
 
-    schema = docs.schema.add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
+    schema = StructType(list(docs.schema.fields)).add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
     return docs.withColumn("_lower", lower).mapInArrow(run, schema)
 
 
