@@ -21,13 +21,15 @@ texts are scanned whole, in bounded blocks of rows; no items or no documents giv
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from grainmill.llm.bytesops import blocks, mix, raw, word_hashes
-from grainmill.llm.shared import materialize, revive
+from grainmill.llm.shared import fresh, materialize, revive
 
 K1, B = 1.2, 0.75
 BLOCK = 8
@@ -180,33 +182,47 @@ class Band:
         return out
 
 
-def build(items: DataFrame, threshold: float, slack: float, shard_bytes: int) -> list[list[Band]]:
-    """The index in shards; each is a list of bands."""
+def build(items: DataFrame, threshold: float, slack: float, shard_bytes: int) -> tuple[int, Callable[[int], list[Band]]]:
+    """The number of shards of the index, and a function that builds one of them: a list of bands."""
     terms = materialize(item_terms(items), "items")
     stats = terms.agg(F.count(F.lit(1)), F.avg("words"), F.sum("words")).first()
     if not stats[0]:
-        return []
+        return 0, lambda _: []
     n_shards = int(-(-stats[2] * 40 // shard_bytes))
     df = materialize(terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term_df")
-    out = []
-    for shard in range(n_shards):
-        part = terms.where(F.pmod(F.xxhash64("item_row"), F.lit(n_shards)) == shard)
+
+    def shard(k: int) -> list[Band]:
+        part = terms.where(F.pmod(F.xxhash64("item_row"), F.lit(n_shards)) == k)
         counts = {r["term"]: r["df"] for r in part.select(F.explode("terms").alias("term")).distinct().join(df, "term").collect()}
         bands: dict[int, list] = {}
         for r in part.collect():
             bands.setdefault(int(np.ceil(np.log2(max(r["words"], 32)))), []).append(r)
-        out.append([Band(rows, 1 << band, counts, stats[0], stats[1], threshold, slack) for band, rows in sorted(bands.items())])
-    return out
+        return [Band(rows, 1 << band, counts, stats[0], stats[1], threshold, slack) for band, rows in sorted(bands.items())]
+
+    return n_shards, shard
+
 
+def with_hits(docs: DataFrame, items: DataFrame, threshold: float = 0.5, slack: float = 0.3, overlap: float = 0.8, shard_bytes: int = 16 << 20) -> DataFrame:
+    """``docs`` with ``hits``: the test items that it holds, with their passage, BM25 score and overlaps.
 
-def with_hits(docs: DataFrame, items: DataFrame, threshold: float = 0.5, slack: float = 0.3, overlap: float = 0.8, shard_bytes: int = 64 << 20) -> DataFrame:
-    """``docs`` with ``hits``: the test items that it holds, with their passage, BM25 score and overlaps."""
+    The driver holds one shard at a time. Where there are several, each one's hits are written before the next is built.
+    """
     spark = docs.sparkSession
-    out = docs.withColumn("hits", F.array().cast(HIT))
-    for shard in build(items, threshold, slack, shard_bytes):
-        search = searcher(spark.sparkContext.broadcast([vars(band) for band in shard]), threshold, overlap)
-        out = out.withColumn("hits", F.concat("hits", search("text")))
-    return out
+    docs = docs.drop("hits")
+    n_shards, shard = build(items, threshold, slack, shard_bytes)
+    if n_shards <= 1:
+        found = searcher(spark.sparkContext.broadcast([vars(band) for band in shard(0)]), threshold, overlap)("text") if n_shards else F.array().cast(HIT)
+        return docs.withColumn("hits", found)
+    row = fresh(docs, "row_id")
+    docs = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    parts = []
+    for k in range(n_shards):
+        index = spark.sparkContext.broadcast([vars(band) for band in shard(k)])
+        parts.append(materialize(docs.select(row, searcher(index, threshold, overlap)("text").alias("hits")).where(F.size("hits") > 0), "hits"))
+        index.destroy()
+    each = reduce(DataFrame.unionByName, parts)
+    merged = each.groupBy(row).agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))  # at most one list a shard
+    return docs.join(merged, row, "left").withColumn("hits", F.coalesce("hits", F.array().cast(HIT))).drop(row)
 
 
 def searcher(shared, threshold: float, overlap: float):
@@ -230,4 +246,9 @@ def searcher(shared, threshold: float, overlap: float):
 
 def decontaminate(docs: DataFrame, items: DataFrame, **parameters) -> DataFrame:
     """``docs`` without the documents that hold a test item."""
-    return with_hits(docs, items, **parameters).where(F.size("hits") == 0).drop("hits")
+    kept, own = docs, None
+    if "hits" in {c.lower() for c in docs.columns}:
+        own = next(c for c in docs.columns if c.lower() == "hits")
+        kept = docs.withColumnRenamed(own, fresh(docs, "hits"))
+    out = with_hits(kept, items, **parameters).where(F.size("hits") == 0).drop("hits")
+    return out if own is None else out.withColumnRenamed(fresh(docs, "hits"), own)

@@ -2,8 +2,9 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from grainmill.llm.decontamination import K1, B, split_item, with_hits
+from grainmill.llm.decontamination import K1, B, decontaminate, split_item, with_hits
 
 
 def words(t):
@@ -68,3 +69,13 @@ def test_matches_brute_force(spark):
         assert got == brute(docs, items)
     assert with_hits(df.limit(0), it).collect() == []
     assert all(r["hits"] == [] for r in with_hits(df, it.limit(0)).collect())
+
+
+def test_many_shards_find_the_same_and_columns_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").withColumn("row_id", F.col("doc_id") * 2)
+    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    found = lambda **k: sorted((r["doc_id"], r["row_id"], sorted(h["item_id"] for h in r["hits"])) for r in with_hits(docs, items, **k).collect())
+    one, many = found(), found(shard_bytes=20_000)
+    assert one == many and any(h for _, _, h in one)
+    kept = decontaminate(docs.withColumn("hits", F.lit(7)), items)
+    assert kept.columns == ["doc_id", "text", "row_id", "hits"] and {r["hits"] for r in kept.collect()} == {7}
