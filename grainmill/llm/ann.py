@@ -3,9 +3,11 @@
 On a bounded sample (``sample_rows`` vectors by row hash) the exact k-nearest-neighbour graph is cut into balanced partitions: seeds
 far apart grow by capacity-bound assignment, then refinement sweeps move each vector to the partition where most of its
 neighbours are while no partition exceeds its share by more than ``imbalance``. A softmax classifier over the vectors and
-their squares, fitted by Adam, learns the partitions. Every row of the table is indexed in its most probable partition; a
-query goes to its most probable partitions, as many as give ``target_recall`` of the exact neighbours on held-out sample
-queries, plus one. What they hold is reranked by exact distance in double precision.
+their squares, fitted by Adam, learns the partitions. A table of more than ``fan`` times ``part_rows`` rows gets a second level: each
+partition's own bounded sample is cut and learned by a task of its own, so there are up to ``fan`` squared partitions. Every row
+of the table is indexed in one partition. A query goes to the partitions of largest joint probability, as many as give
+``target_recall`` of the exact neighbours on held-out sample queries and hold k rows whichever they are. What they hold is
+reranked by exact distance in double precision.
 
 Partitions are dealt by (partition, salt) with at most about ``block_rows`` rows each, queries are copied to the salts of their
 partitions and cut into blocks as well, every pair of blocks returns its k best per query, and a second small shuffle merges
@@ -14,14 +16,15 @@ those. No partition, however large, is one task.
 Cases: vectors that are null, empty, all zero, or hold null or non-finite components take no part, as rows or as queries;
 vectors of another length than most are left out too, as no distance to them is defined; repeated rows are candidates like
 others; ties go to the smaller vec_id; fewer than k candidates give as many ranks; a null vec_id is a candidate but no query;
-small tables (up to ``small_rows``) have one partition and are exact; further columns are ignored.
+small tables are partitioned and routed like others, into two partitions at least where there are two different vectors;
+further columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from grainmill.llm.shared import materialize, revive
 
@@ -103,11 +106,37 @@ class Router:
         z = (x - self.mean) / self.std
         return np.concatenate([z, z * z - 1, np.ones((len(x), 1))], axis=1)
 
-    def logits(self, x: np.ndarray) -> np.ndarray:
-        return self.inputs(x) @ self.w
+    def log_probabilities(self, x: np.ndarray) -> np.ndarray:
+        s = self.inputs(x) @ self.w
+        s -= s.max(axis=1, keepdims=True)
+        return s - np.log(np.exp(s).sum(axis=1, keepdims=True))
 
-    def best(self, x: np.ndarray, m: int) -> np.ndarray:
-        return np.argsort(-self.logits(x), axis=1, kind="stable")[:, :m]
+
+class Tree:
+    """A router and, where the table asks for it, one below each of its partitions. Leaf numbers count through all levels."""
+
+    def __init__(self, top: dict, below: dict[int, dict], width: int):
+        self.top, self.below, self.width = top, below, width
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        """The partition of every row: the most probable one, level by level."""
+        part = revive(Router, self.top).log_probabilities(x).argmax(axis=1)
+        out = part * self.width
+        for p in np.unique(part):
+            if int(p) in self.below:
+                at = np.flatnonzero(part == p)
+                out[at] += revive(Router, self.below[int(p)]).log_probabilities(x[at]).argmax(axis=1)
+        return out
+
+    def best(self, x: np.ndarray, leaves: np.ndarray, m: int) -> np.ndarray:
+        """The ``m`` most probable of ``leaves`` for every row, most probable first."""
+        top = revive(Router, self.top).log_probabilities(x)
+        joint = np.full((len(x), top.shape[1] * self.width), -np.inf)
+        joint[:, :: self.width] = top
+        for p, state in self.below.items():
+            own = revive(Router, state).log_probabilities(x)
+            joint[:, p * self.width : p * self.width + own.shape[1]] = top[:, [p]] + own
+        return leaves[np.argsort(-joint[:, leaves], axis=1, kind="stable")[:, :m]]
 
 
 def fit_router(x: np.ndarray, part: np.ndarray, parts: int, steps: int = 200, rate: float = 0.05) -> Router:
@@ -123,34 +152,75 @@ def fit_router(x: np.ndarray, part: np.ndarray, parts: int, steps: int = 200, ra
     return r
 
 
-def fit(rows: DataFrame, n: int, k: int, sample_rows: int, part_rows: int, small_rows: int, target_recall: float) -> tuple[Router | None, int, int]:
-    """Router, number of partitions and number of partitions that a query visits."""
-    parts = int(min(64, max(1, n // part_rows)))
-    if n <= small_rows or parts < 2:
-        return None, 1, 1
-    dice = F.pmod(F.xxhash64(F.lit("ann"), "row_id"), F.lit(1 << 30))
-    share = min(1 << 30, int((1 << 30) * 1.05 * sample_rows / n) + 1)
-    got = rows.where(dice < share).select("v", F.xxhash64(F.lit("order"), "row_id").alias("o")).limit(2 * sample_rows).collect()
-    x = np.unique(np.array([r["v"] for r in got]), axis=0)
+def learn(x: np.ndarray, parts: int, k: int) -> Router:
+    """Cut the neighbour graph of a sample and learn the partitions."""
+    x = np.unique(x, axis=0)
     x = x[np.random.default_rng(3).permutation(len(x))]
-    if len(x) < 50 * parts:
-        return None, 1, 1
-    held = x[: min(400, len(x) // 10)]
-    base = x[len(held) :]
-    graph = nearest(base, base, min(k + 1, len(base)))
-    part = balanced_partition(base, graph, parts)
-    router = fit_router(base, part, parts)
-    own = router.best(base, 1)[:, 0]
-    truth = nearest(held, base, k)
-    ranked = router.best(held, parts)
-    place = np.argsort(ranked, axis=1)
-    needed = place[np.arange(len(held))[:, None], own[truth]]
-    recall = [(needed < m).mean() for m in range(1, parts + 1)]
-    visits = next(m for m in range(1, parts + 1) if recall[m - 1] >= min(target_recall, recall[-1]))
-    return router, parts, min(parts, visits + 1)
-
-
-def search(vectors: DataFrame, is_query, k: int = 10, sample_rows: int = 8000, part_rows: int = 2000, small_rows: int = 4000, target_recall: float = 0.97, block_rows: int = 8192, query_rows: int = 16_384) -> DataFrame:
+    parts = max(1, min(parts, len(x)))
+    graph = nearest(x, x, min(k + 1, len(x)))
+    return fit_router(x, balanced_partition(x, graph, parts), parts)
+
+
+def sampled(rows: DataFrame, share: Column, seed: str) -> DataFrame:
+    """Rows by a hash of their number; ``share``: of each row, 0 to 1."""
+    return rows.where(F.pmod(F.xxhash64(F.lit(seed), "row_id"), F.lit(1 << 30)) < share * float(1 << 30))
+
+
+def fit(rows: DataFrame, n: int, k: int, sample_rows: int, part_rows: int, fan: int) -> tuple[Tree, np.ndarray]:
+    """The tree of routers, and the sample that it was learned from."""
+    got = sampled(rows, F.lit(min(1.0, 1.05 * sample_rows / n)), "ann").select("v", F.xxhash64(F.lit("order"), "row_id").alias("o")).limit(2 * sample_rows).toArrow().sort_by("o")
+    x = vectors_of(got.column("v"))
+    wanted = max(2, -(-n // part_rows))
+    top = learn(x, min(wanted, fan), k)
+    width = min(fan, -(-wanted // fan)) if wanted > fan else 1
+    tree = Tree(vars(top), {}, width)
+    if width == 1:
+        return tree, x
+    shared = rows.sparkSession.sparkContext.broadcast(vars(tree))
+
+    def place(batches):
+        for batch in batches:
+            part = revive(Tree, shared.value).leaf(vectors_of(batch.column(1))) // width
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32))], ["row_id", "v", "part"])
+
+    def below(table: pa.Table) -> pa.Table:
+        r = learn(vectors_of(table.column("v")), width, k)
+        parts = pa.array([table.column("part")[0].as_py()], pa.int32())
+        return pa.table([parts, *(pa.array([z.ravel()], pa.list_(pa.float64())) for z in (r.w, r.mean, r.std))], names=["part", "w", "mean", "std"])
+
+    # one sample for all second-level models, bounded for each of them by the balance of the first level
+    own = sampled(rows, F.lit(min(1.0, fan * sample_rows / 2 / n)), "below").select("row_id", "v").mapInArrow(place, "row_id long, v array<double>, part int")
+    models = own.groupBy("part").applyInArrow(below, "part int, w array<double>, mean array<double>, std array<double>")
+    for m in models.toArrow().to_pylist():  # at most ``fan`` rows
+        mean = np.array(m["mean"])
+        tree.below[m["part"]] = vars(Router(np.array(m["w"]).reshape(2 * len(mean) + 1, -1), mean, np.array(m["std"])))
+    return tree, x
+
+
+def visits(tree: Tree, x: np.ndarray, sizes: dict[int, int], k: int, target_recall: float) -> int:
+    """How many partitions a query visits: for the recall of held-out neighbours, and so that any as many hold k others."""
+    leaves = np.array(sorted(sizes))
+    x = np.unique(x, axis=0)
+    x = x[np.random.default_rng(5).permutation(len(x))]
+    held = x[: max(1, min(400, len(x) // 5))]
+    truth = nearest(held, x, min(k + 1, len(x)))
+    own = tree.leaf(x)
+    place = np.argsort(np.argsort(leaves)[np.searchsorted(leaves, tree.best(held, leaves, len(leaves)))], axis=1)
+    at = np.minimum(np.searchsorted(leaves, own[truth]), len(leaves) - 1)
+    needed = place[np.arange(len(held))[:, None], at]
+    others = (x[truth] != held[:, None]).any(axis=2)
+    recall = [(needed < m)[others].mean() if others.any() else 1.0 for m in range(1, len(leaves) + 1)]
+    enough = int(np.searchsorted(np.cumsum(sorted(sizes.values())), min(k + 1, sum(sizes.values())))) + 1
+    return max(enough, next((m for m, r in enumerate(recall, 1) if r >= target_recall), len(leaves)))
+
+
+def vectors_of(column) -> np.ndarray:
+    """A list column of equal lengths as a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+
+
+def search(vectors: DataFrame, is_query, k: int = 10, sample_rows: int = 8000, part_rows: int = 1000, fan: int = 64, target_recall: float = 0.95, block_rows: int = 8192, query_rows: int = 16_384) -> DataFrame:
     """The k nearest rows found of every query row: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     rows = materialize(valid_rows(vectors), "vectors")
@@ -158,36 +228,33 @@ def search(vectors: DataFrame, is_query, k: int = 10, sample_rows: int = 8000, p
     if not lengths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows, n = rows.where(F.size("v") == lengths[0]["d"]), lengths[0]["count"]
-    router, parts, visits = fit(rows, n, k, sample_rows, part_rows, small_rows, target_recall)
-    shared = spark.sparkContext.broadcast(None if router is None else vars(router))
-
-    def route(m: int):
-        def run(batches):
-            known = revive(Router, shared.value)
-            for batch in batches:
-                v = batch.column(batch.num_columns - 1)
-                size = len(v)
-                if known is None or size == 0:
-                    best = np.zeros((size, 1), np.int32)
-                else:
-                    best = known.best(v.flatten().to_numpy(zero_copy_only=False).reshape(size, -1), m)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(best.astype(np.int32)), pa.list_(pa.int32()))], [*batch.schema.names, "parts"])
-
-        return run
-
-    names = "row_id long, vec_id long, v array<double>, parts array<int>"
-    indexed = materialize(rows.mapInArrow(route(1), names).withColumn("part", F.col("parts")[0]).drop("parts"), "indexed")
-    sizes = {r["part"]: r["count"] for r in indexed.groupBy("part").count().collect()}  # at most 64 rows
+    tree, sample = fit(rows, n, k, sample_rows, part_rows, fan)
+    shared = spark.sparkContext.broadcast(vars(tree))
+
+    def index(batches):
+        for batch in batches:
+            leaf = revive(Tree, shared.value).leaf(vectors_of(batch.column(2))) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf.astype(np.int32))], [*batch.schema.names, "part"])
+
+    indexed = materialize(rows.mapInArrow(index, "row_id long, vec_id long, v array<double>, part int"), "indexed")
+    sizes = {r["part"]: r["count"] for r in indexed.groupBy("part").count().collect()}  # at most fan * fan rows
+    leaves, m = np.array(sorted(sizes)), visits(tree, sample, sizes, k, target_recall)
+
+    def route(batches):
+        for batch in batches:
+            best = revive(Tree, shared.value).best(vectors_of(batch.column(2)), leaves, m) if batch.num_rows else np.zeros((0, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(best.astype(np.int32)), pa.list_(pa.int32()))], [*batch.schema.names, "parts"])
+
     salts = {p: max(1, -(-c // block_rows)) for p, c in sizes.items()}
-    lookup = F.create_map(*(F.lit(x) for p in sorted(salts) for x in (p, salts[p])))
-    data = indexed.withColumn("salt", F.pmod(F.xxhash64("row_id"), lookup[F.col("part")]))
-    queries = rows.where(is_query).mapInArrow(route(visits), names).select("row_id", "vec_id", "v", F.explode("parts").alias("part"))
-    queries = queries.where(F.col("part").isin(sorted(salts))).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), lookup[F.col("part")].cast("bigint") - 1)))
+    queries = rows.where(is_query).mapInArrow(route, "row_id long, vec_id long, v array<double>, parts array<int>").select("row_id", "vec_id", "v", F.explode("parts").alias("part"))
     # a partition that very many queries visit has them in several blocks, and its rows are copied once for each
-    visited = {r["part"]: r["count"] for r in queries.groupBy("part").count().collect()}  # at most 64 rows
-    chunks = F.create_map(*(F.lit(x) for p in sorted(salts) for x in (p, max(1, -(-visited.get(p, 0) // (salts[p] * query_rows))))))
-    data = data.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks[F.col("part")] - 1)))
-    queries = queries.withColumn("chunk", F.pmod(F.xxhash64(F.lit("q"), "row_id"), chunks[F.col("part")]).cast("int"))
+    visited = {r["part"]: r["count"] for r in queries.groupBy("part").count().collect()}  # at most fan * fan rows
+    cuts = [(p, salts[p], max(1, -(-visited.get(p, 0) // (salts[p] * query_rows)))) for p in sorted(salts)]
+    cuts = F.broadcast(spark.createDataFrame(cuts, "part int, salts int, chunks int"))
+    data = indexed.join(cuts, "part").withColumn("salt", F.pmod(F.xxhash64("row_id"), F.col("salts")).cast("int"))
+    data = data.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    queries = queries.join(cuts, "part").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    queries = queries.withColumn("chunk", F.pmod(F.xxhash64(F.lit("q"), "row_id"), F.col("chunks")).cast("int")).drop("salts", "chunks")
 
     def rerank(queries: pa.Table, data: pa.Table) -> pa.Table:
         found = ([], [], [], [], [])

@@ -1,7 +1,9 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from grainmill.llm.ann import balanced_partition, nearest, search
+from grainmill.llm import ann
+from grainmill.llm.ann import balanced_partition, nearest, search, visits
 
 SCHEMA = "vec_id long, embedding array<float>, part int"
 
@@ -24,7 +26,7 @@ def run(spark, rows, k=10, **parameters):
     return {q: [t[i] for i in sorted(t)] for q, t in out.items()}
 
 
-def test_small_tables_are_exact(spark):
+def test_all_candidates_where_few_and_ties_to_smaller_ids(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(350)]
     rows += [(400 + i, rows[0][1]) for i in range(25)] + [(500, None), (501, []), (600, [0.0] * 8), (700, [float("nan")] * 8), (800, [1.0, None] * 4), (900, [float("inf")] * 8), (None, rows[7][1])]
@@ -41,12 +43,30 @@ def test_edges(spark):
     assert run(spark, [(0, [1.0, 2.0]), (1, [1.0, 3.0])]) == {0: [(1.0, 1)]}
 
 
-def test_recall_of_learned_partitions(spark):
+def exact_registered(spark, folder):
+    from grainmill.llm.queries import op7_ann
+
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
+    got = {}
+    for r in op7_ann(spark, folder).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    want = brute(rows, 10)
+    return sum(len(set(got[q]) & {i for _, i in w[0]}) for q, w in want.items()) / sum(len(w[0]) for w in want.values())
+
+
+def test_recall_of_the_registered_query(spark):
+    assert exact_registered(spark, "/root/testdata/sf0.1") >= 0.9
+
+
+@pytest.mark.parametrize("fan", [64, 4])
+def test_recall_of_learned_partitions(spark, fan, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ann, "visits", lambda tree, x, sizes, *a: seen.append((visits(tree, x, sizes, *a), len(sizes))) or seen[-1][0])
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(30, 16))
     x = centres[rng.integers(30, size=6000)] + 0.4 * rng.normal(size=(6000, 16))
     rows = [(i, v) for i, v in enumerate(x.astype(np.float32).tolist())] + [(10_000 + i, x[5].astype(np.float32).tolist()) for i in range(600)]
-    got = run(spark, rows, sample_rows=3000, part_rows=500, small_rows=100, block_rows=300)
+    got = run(spark, rows, sample_rows=3000, part_rows=500, fan=fan, block_rows=300)
     data = np.array([v for _, v in rows])
     hits = total = 0
     for q in range(0, 6000, 100):
@@ -57,6 +77,7 @@ def test_recall_of_learned_partitions(spark):
         hits += sum(s <= limit + 1e-9 for s, _ in got[q])
         total += 10
     assert hits / total >= 0.9
+    assert seen[0][0] * 3 <= seen[0][1]  # clustered vectors need few of the partitions
 
 
 def test_partition_is_balanced():
