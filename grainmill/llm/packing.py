@@ -1,7 +1,7 @@
 """Packing of documents into fixed-length token windows by multiway Karmarkar-Karp differencing.
 
-Every document is tokenised where it is read. Its ids, an end id last, are cut into full windows, which need no partner,
-and a tail, which is cut into pieces of at most ``piece`` ids. Tail pieces are dealt by document hash into blocks of about
+Every document is tokenised where it is read. Its ids, an end id last, are cut into full windows, which need no partner and
+are sequences as they are, and a tail, which is cut into pieces of at most ``piece`` ids. Tail pieces are dealt by document hash into blocks of about
 ``block_tokens`` ids, and each block is packed on its own: differencing always merges the two partial partitions with the
 largest spread, heaviest slots of one against lightest slots of the other, and the number of windows rises by one whenever
 a window would exceed the capacity. A block has a bounded number of ids whatever the size of the corpus, so no task grows
@@ -15,60 +15,74 @@ table gives no rows; very long texts give more full windows; further columns are
 from __future__ import annotations
 
 import heapq
-import json
+import os
+import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from grainmill.llm.bytesops import blocks
 from grainmill.llm.shared import materialize
 
 PIECE_SCHEMA = "row_id long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"
 
 
 class Encoder:
-    """Byte-level BPE of whole texts, special strings read as ordinary text.
+    """Ids of whole texts by ``tokenizers``, special strings read as ordinary text.
 
-    The vocabulary of the ``tokenizers`` file is handed to ``tiktoken``, which merges by the same ranks several times faster;
-    the first texts of every task are encoded by both, and on any difference the task goes on with ``tokenizers``.
+    A byte-level tokenizer splits texts before it merges, and no split part goes on past a space that follows something else.
+    So a text is cut there, each distinct chunk is encoded by ``tokenizers`` once, and its ids are looked up from then on. New
+    chunks are encoded together, a line each: a line end between two of them is a token of its own.
+    Texts with other white space than ASCII's, and other kinds of tokenizers, are encoded whole.
     """
 
-    def __init__(self, path: str, compare: int = 8):
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
-        self.fast = self._fast(path)
-        self.compare = compare
-
-    @staticmethod
-    def _fast(path: str):
-        import tiktoken
-
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        kind = spec.get("pre_tokenizer") or {}
-        if spec["model"]["type"] != "BPE" or kind.get("type") != "ByteLevel" or kind.get("add_prefix_space") or spec.get("normalizer"):
-            return None
-        # the printable stand-ins of bytes in such files: printable Latin-1 for itself, the others from U+0100 on
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-        special = {t["content"] for t in spec.get("added_tokens", [])}
-        ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        return tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-    def encode(self, text: str) -> list[int]:
-        """The ids of one text."""
-        if self.fast is None or self.compare > 0:
-            ids = self.slow.encode(text, add_special_tokens=False).ids
-            if self.fast is not None:
-                self.compare -= 1
-                if self.fast.encode_ordinary(text) != ids:
-                    self.fast = None
-            return ids
-        return self.fast.encode_ordinary(text)
+    CHUNK = re.compile(r" ?[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])|[ \t\n\r\f\v]+")
+    OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+
+    def __init__(self, path: str, most: int = 100_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks in parallel already
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = True
+        kind = self.whole.pre_tokenizer
+        self.by_chunk = isinstance(kind, pre_tokenizers.ByteLevel) and not kind.add_prefix_space and self.whole.normalizer is None
+        self.line_end = self._encode(["\n"])[0]
+        self.by_chunk = self.by_chunk and len(self.line_end) == 1
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.most = most
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of every text."""
+        parted = [self.CHUNK.findall(t) if self.by_chunk and not self.OTHER_SPACE.search(t) else None for t in texts]
+        if len(self.known) > self.most:
+            self.known.clear()
+        # the chunks of a block of texts are always at hand; those of earlier ones may be forgotten, which keeps a worker small
+        self._learn({c for chunks in parted if chunks is not None for c in chunks if c not in self.known})
+        find = self.known.__getitem__
+        return [np.array(self._encode([t])[0], "<u4") if c is None else np.fromiter(chain.from_iterable(map(find, c)), "<u4") for t, c in zip(texts, parted, strict=True)]
+
+    def _learn(self, chunks: set[str]) -> None:
+        blank = [c for c in chunks if c.isspace()]
+        self.known.update(zip(blank, self._encode(blank), strict=True))
+        words = list(chunks.difference(blank))
+        for i in range(0, len(words), 5_000):
+            some = words[i : i + 5_000]
+            ids = np.array(self._encode(["\n".join(some) + "\n"])[0], np.int64)
+            ends = np.flatnonzero(ids == self.line_end[0])
+            if len(ends) != len(some):
+                raise ValueError("a chunk holds a line end")
+            flat, start = ids.tolist(), 0
+            for c, end in zip(some, ends.tolist(), strict=True):
+                self.known[c] = tuple(flat[start:end])
+                start = end + 1
 
 
 def _cut(total: int, window: int, piece: int) -> list[tuple[int, int]]:
@@ -91,57 +105,80 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, window: int = 1024, pi
     def run(batches):
         enc = Encoder(tokenizer_path)
         for batch in batches:
-            names = {k: [] for k in ("row_id", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
-            rows, ids, texts = (batch.column(i).to_pylist() for i in range(3))
-            for r, d, t in zip(rows, ids, texts, strict=True):
-                tokens = np.array([*enc.encode(t or ""), end_id], "<u4")
-                buf = tokens.tobytes()
-                for start, length in _cut(len(tokens), window, piece):
-                    names["row_id"].append(r)
-                    names["doc_id"].append(d)
-                    names["start"].append(start)
-                    names["length"].append(length)
-                    names["ids_crc32"].append(zlib.crc32(buf[4 * start : 4 * (start + length)]))
-                    names["doc_tokens"].append(len(tokens))
-                    names["ids"].append(tokens[start : start + length].astype(np.int32) if with_ids else None)
-            kinds = [pa.int64()] * 6 + [pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(names.values(), kinds, strict=True)], list(names))
+            offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False))])
+            for i, j in blocks(offsets, 1 << 19):
+                names = {k: [] for k in ("row_id", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
+                rows, ids, texts = (batch.column(c).slice(i, j - i).to_pylist() for c in range(3))
+                for r, d, body in zip(rows, ids, enc.encode([t or "" for t in texts]), strict=True):
+                    tokens = np.append(body, np.array([end_id], "<u4"))
+                    buf = tokens.tobytes()
+                    for start, length in _cut(len(tokens), window, piece):
+                        names["row_id"].append(r)
+                        names["doc_id"].append(d)
+                        names["start"].append(start)
+                        names["length"].append(length)
+                        names["ids_crc32"].append(zlib.crc32(buf[4 * start : 4 * (start + length)]))
+                        names["doc_tokens"].append(len(tokens))
+                        names["ids"].append(tokens[start : start + length].astype(np.int32) if with_ids else None)
+                kinds = [pa.int64()] * 6 + [pa.list_(pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(names.values(), kinds, strict=True)], list(names))
 
     src = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     return src.mapInArrow(run, PIECE_SCHEMA)
 
 
 def difference(sizes: np.ndarray, k: int) -> np.ndarray:
-    """The part (0..k-1) of every size under k-way largest differencing."""
+    """The part (0..k-1) of every size under k-way largest differencing.
+
+    A partial partition with an empty slot keeps the spread of its largest slot, so it goes on being merged with the next
+    largest size until it is full or a full partition of larger spread comes in between. That stretch is done in one step.
+    """
     n = len(sizes)
     if k <= 1 or n == 0:
         return np.zeros(n, np.int64)
     left, right = np.full(n + n * k, -1, np.int64), np.full(n + n * k, -1, np.int64)
-    used, heap = n, []
-    for i in range(n):
+    order = np.argsort(-sizes, kind="stable")
+    ranked = sizes[order]
+    used, heap, tick, at = n, [], 0, 0  # heap: partitions without an empty slot, or several of them
+
+    def push(sums: np.ndarray, nodes: np.ndarray) -> None:
+        nonlocal tick
+        by = np.argsort(-sums, kind="stable")
+        sums, nodes = sums[by], nodes[by]
+        sums = sums - sums[-1]
+        heapq.heappush(heap, (-int(sums[0]), tick, sums, nodes))
+        tick += 1
+
+    def take() -> tuple[np.ndarray, np.ndarray]:
+        nonlocal at
+        if at == n or (heap and -heap[0][0] >= ranked[at]):
+            _, _, sums, nodes = heapq.heappop(heap)
+            return sums, nodes
+        limit = -heap[0][0] if heap else -1
+        end = min(n, at + k, at + int(np.searchsorted(-ranked[at:], -limit, side="left")))
         sums, nodes = np.zeros(k, np.int64), np.full(k, -1, np.int64)
-        sums[0], nodes[0] = sizes[i], i
-        heap.append((-int(sizes[i]), i, sums, nodes))
-    heapq.heapify(heap)
-    tick = n
-    while len(heap) > 1:
-        _, _, s1, n1 = heapq.heappop(heap)
-        _, _, s2, n2 = heapq.heappop(heap)
+        sums[: end - at], nodes[: end - at] = ranked[at:end], order[at:end]
+        at = end
+        return sums, nodes
+
+    while at < n or len(heap) > 1:
+        s1, n1 = take()
+        if n1[-1] >= 0 and s1[-1] > 0 and (at < n or heap):  # a full partition of its own
+            push(s1, n1)
+            continue
+        if at == n and not heap:
+            push(s1, n1)
+            break
+        s2, n2 = take()
         s2, n2 = s2[::-1], n2[::-1]
-        sums = s1 + s2
         nodes = np.where(n1 < 0, n2, n1)
         both = np.flatnonzero((n1 >= 0) & (n2 >= 0))
         if len(both):
             new = np.arange(used, used + len(both))
             left[new], right[new] = n1[both], n2[both]
-            nodes = nodes.copy()
             nodes[both] = new
             used += len(both)
-        order = np.argsort(-sums, kind="stable")
-        sums, nodes = sums[order], nodes[order]
-        sums = sums - sums[-1] if sums[-1] else sums
-        heapq.heappush(heap, (-int(sums[0]), tick, sums, nodes))
-        tick += 1
+        push(s1 + s2, nodes)
     part = np.full(used, -1, np.int64)
     for p, node in enumerate(heap[0][3]):
         if node >= 0:
@@ -165,26 +202,25 @@ def pack_sizes(sizes: np.ndarray, window: int) -> np.ndarray:
 def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, piece: int = 256, block_tokens: int = 262_144, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """All pieces of all documents with the window (``sequence_id``) and the offset in it that hold them."""
     pieces = materialize(tokenize_pieces(docs, tokenizer_path, window, piece, end_id, with_ids), "pieces")
-    total = pieces.agg(F.sum(F.when(F.col("length") < window, F.col("length")))).first()[0] or 0
+    tails = pieces.where(F.col("length") < window)
+    total = tails.agg(F.sum("length")).first()[0] or 0
     n_blocks = max(1, round(total / block_tokens))
 
     def place(key, pdf):
         pdf = pdf.sort_values(["row_id", "start"], ignore_index=True)
         size = pdf["length"].to_numpy()
-        tail = size < window
-        seq = np.empty(len(pdf), np.int64)
-        seq[tail] = pack_sizes(size[tail], window) if tail.any() else 0
-        used = int(seq[tail].max()) + 1 if tail.any() else 0
-        seq[~tail] = used + np.arange((~tail).sum())
+        seq = pack_sizes(size, window)
         order = np.argsort(seq, kind="stable")
         ends = np.cumsum(size[order])
         starts = ends - size[order]
         first = np.concatenate([[True], np.diff(seq[order]) > 0])
         offset = np.empty(len(pdf), np.int64)
         offset[order] = starts - np.maximum.accumulate(np.where(first, starts, 0))
-        pdf["sequence_id"] = (int(key[0]) << 32) + seq
+        pdf["sequence_id"] = (((int(key[0]) << 32) + seq) << 1) + 1
         pdf["offset"] = offset
         return pdf.drop(columns="block")
 
-    out = pieces.withColumn("block", F.pmod(F.xxhash64("row_id"), F.lit(n_blocks)))
-    return out.groupBy("block").applyInPandas(place, PIECE_SCHEMA + ", sequence_id long, offset long")
+    # full windows have even numbers, windows of tails odd ones
+    full = pieces.where(F.col("length") == window).withColumn("sequence_id", F.monotonically_increasing_id() * 2).withColumn("offset", F.lit(0).cast("long"))
+    dealt = tails.withColumn("block", F.pmod(F.xxhash64("row_id"), F.lit(n_blocks)))
+    return full.unionByName(dealt.groupBy("block").applyInPandas(place, PIECE_SCHEMA + ", sequence_id long, offset long"))

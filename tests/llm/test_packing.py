@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -10,10 +11,35 @@ TEXTS = ["", None, "plain words", "  two  spaces\n\nlines\t tab ", "É l'été,
 
 
 def test_same_ids_as_the_tokenizer():
-    e = Encoder(P, compare=0)
-    assert e.fast is not None
-    for t in TEXTS:
-        assert e.encode(t or "") == e.slow.encode(t or "", add_special_tokens=False).ids
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(P)
+    plain.encode_special_tokens = True
+    e, rng = Encoder(P, most=50), random.Random(3)
+    assert e.by_chunk
+    letters = " \n\t'sdtrevml09.,!\x1c\x85\xa0\u2003\u3000é日\U0001f600\u0300\u200b\ufeff"
+    texts = [t or "" for t in TEXTS] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(5000)]
+    for i in range(0, len(texts), 500):
+        got = e.encode(texts[i : i + 500])
+        assert [x.tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts[i : i + 500]]
+
+
+def slow_difference(sizes, k):
+    """Largest differencing as it is told: merge the two partial partitions of largest spread until one is left."""
+    heap = [[size] + [0] * (k - 1) for size in sizes]
+    while len(heap) > 1:
+        heap.sort(key=lambda x: x[0] - x[-1])
+        a, b = heap.pop(), heap.pop()
+        heap.append(sorted((x + y for x, y in zip(a, reversed(b), strict=True)), reverse=True))
+    return sorted(heap[0])
+
+
+def test_differencing_equals_the_plain_form():
+    rng = np.random.default_rng(4)
+    for n, k, high in ((40, 7, 100_000), (200, 25, 10**7), (9, 20, 1000), (60, 3, 10**6)):
+        sizes = rng.choice(high, n, replace=False) + 1
+        part = difference(sizes, k)
+        assert sorted(np.bincount(part, weights=sizes, minlength=k).astype(int).tolist()) == slow_difference(sizes.tolist(), k)
 
 
 def test_round_trip(spark):
@@ -27,7 +53,7 @@ def test_round_trip(spark):
         by_seq.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
     for i, t in enumerate(TEXTS * 3):
         got = [x for _, ids, _ in sorted(by_doc[i]) for x in ids]
-        assert got == [*e.encode(t or ""), 0] and by_doc[i][0][2] == len(got)
+        assert got == [*e.encode([t or ""])[0], 0] and by_doc[i][0][2] == len(got)
     for pieces in by_seq.values():
         end = 0
         for offset, length in sorted(pieces):
