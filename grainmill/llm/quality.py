@@ -1,18 +1,22 @@
 """Quality classifier with hierarchical empirical Bayes: document evidence under host and path-level site posteriors.
 
 Two logistic models (good quality, toxic) over the presence of hashed words and the shares of character classes are fitted on
-at most ``sample_rows`` labelled documents, chosen by id hash, and calibrated on a fifth of them. They give every document the
-log-odds of being good: quality 1 and not toxic. Grouped sums of these probabilities give each host and each path below it a
-posterior mean; a site of few documents is shrunk toward its parent by a strength that is estimated from the variance between
-sites (analysis of variance), so a sparse path leans on its host and a sparse host on the global mean. A document's own
-probability is left out of its sites' sums. Its score replaces the global prior of its evidence by that of its path.
+at most ``sample_rows`` labelled documents, chosen by id hash, and calibrated on a fifth of them. Texts are turned into features
+where they are read; the driver gets the few words that go with a label more than chance allows, and of each labelled document
+those of its words and its shape. The models give every document the log-odds of being good: quality 1 and not toxic.
 
-Sums are pre-aggregated before the shuffle, so one source with a third of all rows is one row a task. The site table is
-broadcast if it has at most ``broadcast_sites`` rows and joined by shuffle otherwise; texts are never shuffled by a broadcast.
+Grouped sums of these probabilities give each host and each path below it a posterior mean; a site of few documents is shrunk
+toward its parent by a strength that is estimated from the variance between sites (analysis of variance), so a sparse path
+leans on its host and a sparse host on the global mean. A document's own probability is left out of its sites' sums. Its score
+replaces the global prior of its evidence by that of its path.
+
+Evidence is computed once and written with the columns that are kept. Sums are pre-aggregated before the shuffle, so one source
+with a third of all rows is one row a task. The site table is broadcast if it has at most ``broadcast_sites`` rows; beyond that
+it is joined by shuffle, with the sites of more than a thousandth of all rows salted.
 
 Cases: null and empty text have the evidence of a text without words; null hosts and paths are sites of their own; without
-usable labels every document is kept; repeated rows count as documents and get equal scores but for the
-left-out part; an empty table gives no rows; further columns are kept, and columns named like results are replaced.
+usable labels every document is kept; repeated rows count as documents and get equal scores; ids labelled twice count as
+toxic if one label says so and as good if all do; an empty table gives no rows; further columns are kept, and columns named like results are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from grainmill.llm.bytesops import blocks, raw, word_hashes
-from grainmill.llm.shared import materialize, revive
+from grainmill.llm.shared import fresh, hot_keys, join_salted, materialize, revive
 
 BITS = 18
 _WORD = np.full(256, 32, np.uint8)
@@ -80,30 +84,22 @@ class Model:
         return np.concatenate(out)
 
 
-def fit(texts: pa.Array, labels: np.ndarray, steps: int = 250, rate: float = 0.05, least: int = 5, least_z: float = 4.5) -> Model | None:
-    """Both heads by full-batch Adam over the words that are no chance companions of a label. labels: quality and toxic."""
-    if not len(texts):
+def chosen_words(seen: np.ndarray, hits: np.ndarray, share: np.ndarray, least: int, least_z: float) -> np.ndarray:
+    """Which words go with a label more than chance allows; the mass of rare words would only be learned by heart.
+
+    seen: documents with each word; hits: those of them with each label; share: of each label in all documents.
+    """
+    spread = np.sqrt(seen[:, None] * share * (1 - share) + 1e-9)
+    return (seen >= least) & (np.abs(hits - seen[:, None] * share) >= least_z * spread).any(axis=1)
+
+
+def fit(ids: np.ndarray, rows: np.ndarray, x: np.ndarray, labels: np.ndarray, held: np.ndarray, steps: int = 250, rate: float = 0.05) -> Model | None:
+    """Both heads by full-batch Adam. ids, rows: chosen words and their documents; x: shapes; labels: quality and toxic; held: for calibration."""
+    n = len(x)
+    if not n:
         return None
-    data, offsets = raw(texts)
-    parts = [features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in blocks(offsets, 1 << 20)]
-    starts = np.cumsum([0, *(len(p[2]) for p in parts)])
-    del data
-    ids = np.concatenate([p[0] for p in parts])
-    rows = np.concatenate([p[1] + s for p, s in zip(parts, starts[:-1], strict=True)])
-    x = np.concatenate([p[2] for p in parts])
-    del parts
     mean, std = x.mean(axis=0), x.std(axis=0) + 1e-6
-    n = len(x)
-    held = np.arange(n) % 5 == 4 if n >= 50 else np.zeros(n, bool)
     weight = (~held).astype(float)
-    # words that go with a label more than chance allows; the mass of rare words would only be learned by heart
-    seen = np.bincount(ids, weights=weight[rows], minlength=1 << BITS)
-    known = np.zeros(1 << BITS, bool)
-    for c in range(2):
-        share = min(max((labels[:, c] * weight).sum() / weight.sum(), 1e-6), 1 - 1e-6)
-        hits = np.bincount(ids, weights=(weight * labels[:, c])[rows], minlength=1 << BITS)
-        known |= (seen >= least) & (np.abs(hits - seen * share) >= least_z * np.sqrt(seen * share * (1 - share) + 1e-9))
-    ids, rows = ids[known[ids]], rows[known[ids]]
     # dense ids keep the gradient small
     used, dense = np.unique(ids, return_inverse=True)
     xs = np.clip((x - mean) / std, -6, 6)
@@ -119,9 +115,9 @@ def fit(texts: pa.Array, labels: np.ndarray, steps: int = 250, rate: float = 0.0
             a[:] = 0.9 * a + 0.1 * d
             b[:] = 0.99 * b + 0.01 * d * d
             p -= rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-8)
-    words = np.zeros((1 << BITS, 2))
+    words = np.zeros((1 << BITS, 2), np.float32)
     words[used] = theta[0]
-    model = Model(words.astype(np.float32), theta[1], theta[2], mean, std, np.ones(2))
+    model = Model(words, theta[1], theta[2], mean, std, np.ones(2))
     if held.any():
         z = model.logits(ids, rows, x)[held]
         for c in range(2):
@@ -130,14 +126,60 @@ def fit(texts: pa.Array, labels: np.ndarray, steps: int = 250, rate: float = 0.0
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> tuple[pa.Array, np.ndarray]:
-    """Texts and labels of at most ``sample_rows`` labelled ids, chosen by hash. Their list has a proven bound and is broadcast."""
-    known = labels.where("quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+def labelled_features(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
+    """doc_id, labels, words and shape of at most ``sample_rows`` labelled ids, chosen by hash. Their list has a proven bound and is broadcast."""
+    known = labels.where("quality IS NOT NULL AND toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"), F.first("toxic").alias("toxic"))
-    got = rows.toArrow().sort_by("doc_id")
-    labels = np.stack([got.column(c).to_numpy().astype(float) for c in ("quality", "toxic")], axis=1)
-    return got.column("text").combine_chunks(), labels
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = raw(batch.column(3))
+            for i, j in blocks(offsets, 1 << 20):
+                ids, row, x = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=j - i))]).astype(np.int32)
+                words = pa.ListArray.from_arrays(pa.array(at), pa.array(ids.astype(np.int32)))
+                shape = pa.array(list(x), pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(3)), words, shape], ["doc_id", "quality", "toxic", "words", "shape"])
+
+    src = rows.select(F.col("doc_id").cast("long"), F.col("quality").cast("double"), F.col("toxic").cast("double"), "text")
+    seen = src.mapInArrow(run, "doc_id long, quality double, toxic double, words array<int>, shape array<double>")
+    # of the texts of one id the same is taken whatever their order
+    least = F.struct(F.col("shape"), F.col("words"), F.col("quality"), F.col("toxic"))
+    return materialize(seen.groupBy("doc_id").agg(F.min(least).alias("r")).select("doc_id", "r.*"), "labelled")
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int, least: int = 5, least_z: float = 4.5) -> Model | None:
+    """The model of the labelled documents. The driver gets counts of hashed words, at most 2^18 rows, and the features chosen by them."""
+    sample = labelled_features(docs, labels, sample_rows).withColumn("held", F.pmod(F.xxhash64(F.lit("held"), "doc_id"), F.lit(5)) == 4)
+    own = sample.where("NOT held")
+    total = own.agg(F.count(F.lit(1)), F.avg("quality"), F.avg("toxic")).first()
+    if total[0] < 40:
+        sample, own = sample.withColumn("held", F.lit(False)), sample
+        total = own.agg(F.count(F.lit(1)), F.avg("quality"), F.avg("toxic")).first()
+    if not total[0]:
+        return None
+    counts = own.select(F.explode("words").alias("word"), "quality", "toxic").groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("quality").alias("q"), F.sum("toxic").alias("t"))
+    got = counts.where(F.col("n") >= least).toArrow()
+    word, seen, q, t = (got.column(c).to_numpy() for c in ("word", "n", "q", "t"))
+    share = np.clip(np.array(total[1:], float), 1e-6, 1 - 1e-6)
+    words = word[chosen_words(seen.astype(float), np.stack([q, t], axis=1), share, least, least_z)]
+
+    def only_chosen(batches):
+        for batch in batches:
+            lists = batch.column(5)
+            flat, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            keep = np.isin(flat, words)
+            at = np.concatenate([[0], np.cumsum(np.bincount(owner[keep], minlength=len(lists)))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.ListArray.from_arrays(pa.array(at), pa.array(flat[keep]))], batch.schema.names)
+
+    columns = "doc_id long, quality double, toxic double, held boolean, shape array<double>, words array<int>"
+    rows = sample.select("doc_id", "quality", "toxic", "held", "shape", "words").mapInArrow(only_chosen, columns).toArrow().sort_by("doc_id")
+    x = rows.column("shape").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+    lists = rows.column("words").combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    labels = np.stack([rows.column(c).to_numpy() for c in ("quality", "toxic")], axis=1)
+    return fit(lists.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(rows.num_rows), sizes), x, labels, rows.column("held").to_numpy(zero_copy_only=False))
 
 
 def with_evidence(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -185,18 +227,28 @@ def site_table(scored: DataFrame) -> tuple[DataFrame, float, float, float]:
     return materialize(paths.join(hosts, "host").drop("q", "host_q"), "site_sums"), mean, k_host, k_path
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, sample_rows: int = 8_000, keep_from: float = 0.9, broadcast_sites: int = 100_000) -> DataFrame:
-    """``docs`` with ``evidence``, ``host_posterior``, ``path_posterior``, ``score`` and ``keep``."""
-    model = fit(*labelled_sample(docs, labels, sample_rows))
+RESULTS = ("evidence", "host_posterior", "path_posterior", "score", "keep")
+
+
+def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, sample_rows: int = 12_000, keep_from: float = 0.9, broadcast_sites: int = 100_000, columns: list[str] | None = None) -> DataFrame:
+    """``docs`` (those ``columns`` of it, all without) with ``evidence``, ``host_posterior``, ``path_posterior``, ``score`` and ``keep``."""
+    model = learn(docs, labels, sample_rows)
+    columns = [c for c in columns or docs.columns if c not in RESULTS]
     site = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("none"))
-    marked = with_evidence(docs.drop("evidence", "host_posterior", "path_posterior", "score", "keep").withColumn("_host", site(host)).withColumn("_path", site(path)), model)
-    sums, mean, k_host, k_path = site_table(marked.select(F.col("_host").alias("host"), F.col("_path").alias("path"), "evidence"))
-    sums = sums.select(*(F.col(c).alias(f"_{c}") for c in sums.columns))
+    inner = {c: fresh(docs, c) for c in ("_host", "_path", "_n", "_s", "_host_n", "_host_s")}
+    wide = docs.withColumn(inner["_host"], site(host)).withColumn(inner["_path"], site(path)).drop(*RESULTS)
+    marked = materialize(with_evidence(wide, model).select(*columns, inner["_host"], inner["_path"], "evidence"), "evidence")
+    sums, mean, k_host, k_path = site_table(marked.select(F.col(inner["_host"]).alias("host"), F.col(inner["_path"]).alias("path"), "evidence"))
+    sums = sums.select(*(F.col(c).alias(inner[f"_{c}"]) for c in sums.columns))
+    keys = [inner["_host"], inner["_path"]]
     if sums.limit(broadcast_sites + 1).count() <= broadcast_sites:
-        sums = F.broadcast(sums)
+        out = marked.join(F.broadcast(sums), keys)
+    else:
+        hot = hot_keys(sums.withColumn("_copies", F.col(inner["_n"])), keys, "_copies", marked.count())
+        out = join_salted(marked, sums, keys, hot, F.struct("evidence", F.monotonically_increasing_id()))
+    n, own, host_n, host_s = (F.col(inner[c]) for c in ("_n", "_s", "_host_n", "_host_s"))
     p = probability(F.col("evidence"))
-    out = marked.join(sums, ["_host", "_path"])
-    out = out.withColumn("host_posterior", (k_host * mean + F.col("_host_s") - p) / (k_host + F.col("_host_n") - 1))
-    out = out.withColumn("path_posterior", (k_path * F.col("host_posterior") + F.col("_s") - p) / (k_path + F.col("_n") - 1))
+    out = out.withColumn("host_posterior", (k_host * mean + host_s - p) / (k_host + host_n - 1))
+    out = out.withColumn("path_posterior", (k_path * F.col("host_posterior") + own - p) / (k_path + n - 1))
     out = out.withColumn("score", probability(F.col("evidence") + logit(F.col("path_posterior")) - logit(F.lit(mean))))
-    return out.withColumn("keep", F.lit(True) if model is None else F.col("score") >= keep_from).drop("_host", "_path", "_n", "_s", "_host_n", "_host_s")
+    return out.withColumn("keep", F.lit(True) if model is None else F.col("score") >= keep_from).drop(*inner.values())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from grainmill.llm.oracles import ORACLE
@@ -56,17 +58,17 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", (F.size("hits") > 0).alias("contaminated"), items.alias("item_ids"), best.alias("best_score"))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """The source is the host; as documents carry no path, the language section of a source stands for it."""
     from grainmill.llm.quality import classify
 
-    return classify(docs, labels, F.col("source"), F.col("lang"))
+    return classify(docs, labels, F.col("source"), F.col("lang"), columns=columns)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence, site posteriors, score and decision of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return quality_scores(docs, table(spark, sf_dir, "labels")).drop("text", "lang", "source")
+    return quality_scores(docs, table(spark, sf_dir, "labels"), ["doc_id"])
 
 
 DRILL = 97, 5
@@ -95,15 +97,16 @@ def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-PII_KEY = "pseudonym key of the registered query"
-
-
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with personal data replaced by format-preserving pseudonyms."""
+    """All documents with personal data replaced by format-preserving pseudonyms.
+
+    The key is ``spark.grainmill.pii.key``. Without it every call draws its own: equal values are linked within the result, and
+    nobody can invert it.
+    """
     from grainmill.llm.pii import pseudonymise
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymise(docs, spark.conf.get("spark.grainmill.pii.key", PII_KEY))
+    return pseudonymise(docs, spark.conf.get("spark.grainmill.pii.key", None) or secrets.token_hex(32))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
