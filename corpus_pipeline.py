@@ -13,7 +13,7 @@ from grainmill.llm.line_dedup import dedup_lines
 from grainmill.llm.ngram_join import components
 from grainmill.llm.packing import pack
 from grainmill.llm.queries import quality_scores, tokenizer_path
-from grainmill.llm.shared import materialize
+from grainmill.llm.shared import fresh, materialize
 from grainmill.session import table
 
 
@@ -30,12 +30,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: that of the smallest id, the first row of it if ids repeat."""
-    rows = components(docs, k=5, threshold=80)
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("row "), F.col("row_id").cast("string")))
+    row = fresh(docs, "row_id")
+    docs = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    rows = components(docs, k=5, threshold=80, row=row)
+    alone = F.concat(F.lit("row "), F.col("row_id").cast("string"))
+    group = F.when(F.col("n_shingles") == 0, alone).otherwise(F.coalesce(F.col("component_id").cast("string"), alone))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")
-    linked = rows.withColumn("group", F.when(F.col("n_shingles") == 0, F.concat(F.lit("row "), F.col("row_id").cast("string"))).otherwise(group))
-    stays = materialize(linked.groupBy("group").agg(F.min_by("row_id", order).alias("row_id")).select("row_id"), "representatives")
-    return docs.withColumn("row_id", F.monotonically_increasing_id()).join(stays, "row_id", "left_semi").select(docs.columns)
+    stays = materialize(rows.withColumn("group", group).groupBy("group").agg(F.min_by("row_id", order).alias(row)).select(row), "representatives")
+    return docs.join(stays, row, "left_semi").drop(row)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,10 @@ are kept, which is all that an intersection needs.
 3. *Link through pivots.* In each prefix bucket the items are verified against two pivots, and components are formed.
 4. *Settle the rest.* Only group pairs of one bucket that still lie in different components are filtered by size and
    position, expanded to members and verified. Large groups of near copies are one component by then, so their pairs are
-   never listed, and no link is lost.
+   never listed, and no link is lost. A pair with several common prefix shingles is listed where the first of them stands:
+   each row carries the ``SEEN`` shingles that begin its prefix, and a pair that shares an earlier one is left to that.
+
+A digest or component of many documents is split into salts where documents take its component.
 
 Cases: null, empty or blank texts have an empty set and are linked with nothing; fewer words than ``k`` make one shingle
 of the whole sequence; repeated rows are separate rows with one component; a null ``doc_id`` never is a component's
@@ -26,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from grainmill.llm.bytesops import blocks, mix, raw, shingle_sets
-from grainmill.llm.shared import connected_components, materialize, shuffle_partitions
+from grainmill.llm.shared import connected_components, discard, hot_keys, join_salted, materialize, shuffle_partitions
 
 _FLUSH = 1_000_000
+PART_BYTES = 16 << 20  # a range of hashes gets the shingles of about so many bytes of text
+SEEN = 32
 COUNTS = "part int, batch long, base long, total long, tokens binary, counts binary"
 SHARED = "batch long, kind int, total long, at binary, tokens binary, freq binary, docs binary"
 PROFILE = "row_id long, doc_id long, n long, hi long, lo long, lone long, prefix array<bigint>, tokens array<bigint>"
@@ -51,7 +56,7 @@ def _batches(source, k: int):
     for batch in source:
         data, offsets = raw(batch.column(2))
         rows, ids, sets, sizes, held, first = batch.column(0), batch.column(1), [], [], 0, 0
-        for i, j in blocks(offsets):
+        for i, j in blocks(offsets, 1 << 20):
             s, at = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
             sets.append(s)
             sizes.append(np.diff(at))
@@ -64,13 +69,14 @@ def _batches(source, k: int):
 def profile(docs: DataFrame, k: int, threshold: int) -> DataFrame:
     """One row per document: set size, digest and, unless the document is settled, its prefix and its shared shingles."""
     spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
-    src = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(shuffle_partitions(spark), -(-volume // PART_BYTES))
+    src = docs.select("row_id", F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def count(source):
         for batch, _, _, tokens, _ in _batches(source, k):
             u, c = np.unique(tokens, return_counts=True)
-            owner = ((u >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)
+            owner = ((u >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             cuts = np.searchsorted(owner, np.arange(parts + 1))
             keep = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
             yield pa.RecordBatch.from_arrays(
@@ -168,21 +174,27 @@ def profile(docs: DataFrame, k: int, threshold: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, items: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) of items whose sets overlap enough. Shingles of one document only can't be in an intersection."""
+    """The pairs (a, b) of items whose sets overlap enough, written. Shingles of one document only can't be in an intersection."""
+    pairs = materialize(pairs, "pairs")
+    total = pairs.count()
     left = items.select(F.col("item").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = items.select(F.col("item").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= threshold * (F.col("na") + F.col("nb") - both)).select("a", "b")
+    hot = {c: hot_keys(pairs.groupBy(c).agg(F.count(F.lit(1)).alias("c")), [c], "c", total) for c in "ab"}
+    met = join_salted(join_salted(pairs, left, ["a"], hot["a"], F.col("b")), right, ["b"], hot["b"], F.col("a"))
+    out = materialize(met.where(100 * both >= threshold * (F.col("na") + F.col("nb") - both)).select("a", "b"), "links")
+    discard(pairs)
+    return out
 
 
-def link(prof: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """Items (one per distinct set) with their documents' digest, and components of the items that have links."""
+def link(prof: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """Components of the items (one per distinct set) that have links: node, comp."""
     live = prof.where(F.col("tokens").isNotNull())
-    classes = live.groupBy("hi", "lo", "n").agg(F.min("row_id").alias("item"))
-    items = live.join(classes.select("item"), live.row_id == F.col("item"), "left_semi").select(F.col("row_id").alias("item"), "n", "lone", "hi", "lo", "prefix", "tokens", F.xxhash64("n", "lone", "prefix").alias("gid"))
+    items = live.join(classes.select("item"), live.row_id == F.col("item"), "left_semi").select(F.col("row_id").alias("item"), "n", "lone", "prefix", "tokens", F.xxhash64("n", "lone", "prefix").alias("gid"))
     items = materialize(items, "items")
     groups = items.groupBy("gid").agg(F.min("item").alias("leader"), F.count("*").alias("members"))
-    heads = items.join(groups.drop("gid"), F.col("item") == F.col("leader")).select("gid", "leader", "members", "n", "lone", F.posexplode("prefix").alias("pos", "token"))
+    heads = items.join(groups.drop("gid"), F.col("item") == F.col("leader")).select("gid", "leader", "members", "n", "lone", F.slice("prefix", 1, SEEN).alias("head"), F.posexplode("prefix").alias("pos", "token"))
+    heads = heads.withColumn("head", F.slice("head", F.lit(1), F.col("pos")))
     used = heads.groupBy("token").agg(F.sum("members").alias("c")).where("c > 1").select("token")
     rows = materialize(heads.join(used, "token", "left_semi").withColumn("band", F.floor(F.log("n") / float(np.log(100 / threshold)) * 2)), "prefixes")
     # pivots: of each bucket and size band the leader with the fewest shingles of its own, to which most others are close,
@@ -192,43 +204,57 @@ def link(prof: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     near = rows.join(pivots, ["token", "band"]).select("leader", F.explode(F.array("lo.leader", "hi.leader")).alias("pivot"))
     inner = items.join(groups.where("members > 1"), "gid").select("item", "leader")
     pairs = near.union(inner.select("item", "leader")).where("leader <> pivot").select(F.least("leader", "pivot").alias("a"), F.greatest("leader", "pivot").alias("b")).distinct()
-    first = materialize(_verified(pairs, items, threshold), "links")
+    first = _verified(pairs, items, threshold)
     comp = connected_components(first)
     placed = items.join(comp, F.col("item") == F.col("node"), "left").select("item", "gid", F.coalesce("comp", "item").alias("comp"))
     placed = materialize(placed, "placed")
     # what is left: pairs of one bucket in different components
     cells = placed.select("gid", "comp").distinct()
-    spread = rows.select("token", "pos", "gid", "n", "lone").join(cells, "gid")
+    spread = rows.select("token", "pos", "gid", "n", "lone", "head").join(cells, "gid")
     # pairs of components, by the bounds of what they have in the bucket: sizes, shared shingles, place of the token
-    box = spread.groupBy("token", "comp").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max(F.col("n") - F.col("lone")).alias("r"), F.min(F.col("pos") + F.col("lone")).alias("p"))
+    box = spread.groupBy("token", "comp").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max(F.col("n") - F.col("lone")).alias("r"), F.min(F.col("pos") + F.col("lone")).alias("p"), F.when(F.count(F.lit(1)) == 1, F.any_value("head")).alias("head"), F.max(F.col("n") - F.col("lone") - F.col("pos") - 1).alias("rest"), F.max("pos").alias("q"))
     least = f"ceil({threshold}L * (x.n0 + y.n0) / {100 + threshold}.0D - 1e-9)"
-    able = f"100 * x.n1 >= {threshold} * y.n0 AND 100 * y.n1 >= {threshold} * x.n0 AND least(x.r, y.r) >= {least} AND x.p <= x.n1 - {least} AND y.p <= y.n1 - {least}"
+    # where both know all that stands before the token, they have nothing of it in common
+    ahead = f"if(x.head IS NOT NULL AND y.head IS NOT NULL AND x.q <= {SEEN} AND y.q <= {SEEN}, 0, least(x.q, y.q))"
+    able = f"100 * x.n1 >= {threshold} * y.n0 AND 100 * y.n1 >= {threshold} * x.n0 AND least(x.r, y.r) >= {least} AND 1 + least(x.rest, y.rest) + {ahead} >= {least} AND x.p <= x.n1 - {least} AND y.p <= y.n1 - {least} AND NOT coalesce(arrays_overlap(x.head, y.head), false)"
     cross = box.alias("x").join(box.alias("y"), F.expr(f"x.token = y.token AND x.comp < y.comp AND {able}")).select(F.col("x.token").alias("token"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb"))
-    a = spread.select("token", *(F.col(c).alias(f"{c}_a") for c in ("pos", "gid", "n", "lone")), F.col("comp").alias("ca"))
-    b = spread.select("token", *(F.col(c).alias(f"{c}_b") for c in ("pos", "gid", "n", "lone")), F.col("comp").alias("cb"))
+    a = spread.select("token", *(F.col(c).alias(f"{c}_a") for c in ("pos", "gid", "n", "lone", "head")), F.col("comp").alias("ca"))
+    b = spread.select("token", *(F.col(c).alias(f"{c}_b") for c in ("pos", "gid", "n", "lone", "head")), F.col("comp").alias("cb"))
     need = F.expr(f"ceil({threshold}L * (n_a + n_b) / {100 + threshold}.0D - 1e-9)")
-    best = F.least("pos_a", "pos_b") + 1 + F.least(F.expr("n_a - lone_a - pos_a - 1"), F.expr("n_b - lone_b - pos_b - 1"))
+    known = (F.col("pos_a") <= SEEN) & (F.col("pos_b") <= SEEN)
+    best = F.when(known, 0).otherwise(F.least("pos_a", "pos_b")) + 1 + F.least(F.expr("n_a - lone_a - pos_a - 1"), F.expr("n_b - lone_b - pos_b - 1"))
     # the token must stand in the prefix that this very pair of sizes asks for
     early = (F.expr("pos_a + lone_a") <= F.col("n_a") - need) & (F.expr("pos_b + lone_b") <= F.col("n_b") - need)
     sized = (100 * F.col("n_a") >= threshold * F.col("n_b")) & (100 * F.col("n_b") >= threshold * F.col("n_a"))
-    cand = cross.join(a, ["token", "ca"]).join(b, ["token", "cb"]).where(sized & (best >= need) & early).select("gid_a", "ca", "gid_b", "cb").distinct()
+    cand = cross.join(a, ["token", "ca"]).join(b, ["token", "cb"]).where(sized & (best >= need) & early & ~F.arrays_overlap("head_a", "head_b")).select("gid_a", "ca", "gid_b", "cb").distinct()
     m1 = placed.select(F.col("gid").alias("gid_a"), F.col("comp").alias("ca"), F.col("item").alias("a"))
     m2 = placed.select(F.col("gid").alias("gid_b"), F.col("comp").alias("cb"), F.col("item").alias("b"))
     second = cand.join(m1, ["gid_a", "ca"]).join(m2, ["gid_b", "cb"]).select("a", "b").distinct()
-    links = first.unionByName(materialize(_verified(second, items, threshold), "links"))
-    return items, connected_components(links)
-
-
-def components(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
-    """One row per document: ``row_id``, ``doc_id``, ``n_shingles``, ``component_id`` (smallest linked document id)."""
-    prof = materialize(profile(docs, k, threshold), "profiles")
-    items, comp = link(prof, threshold)
-    root = items.join(comp, F.col("item") == F.col("node")).select("hi", "lo", "n", "comp")
-    small = prof.where("n > 0 AND tokens IS NOT NULL")
-    # every document of an item's digest takes its component; items without links stay alone with their copies
-    item = items.select("hi", "lo", "n", "item").join(root, ["hi", "lo", "n"], "left").select("hi", "lo", "n", F.coalesce("comp", "item").alias("comp"))
-    placed = small.select("row_id", "doc_id", "n", "hi", "lo").join(item, ["hi", "lo", "n"]).select("row_id", "doc_id", "n", "comp")
-    low = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    linked = placed.join(low, "comp").select("row_id", "doc_id", F.col("n").alias("n_shingles"), "component_id")
+    links = first.unionByName(_verified(second, items, threshold))
+    out = materialize(connected_components(links), "components")
+    discard(items, rows, placed)
+    return out
+
+
+def components(docs: DataFrame, k: int = 5, threshold: int = 80, row: str | None = None) -> DataFrame:
+    """One row per document: ``row_id``, ``doc_id``, ``n_shingles``, ``component_id`` (smallest linked document id).
+
+    ``row``: a column of stored, unique row numbers; without it rows are numbered here as they are read.
+    """
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    prof = materialize(profile(docs.select(number.alias("row_id"), "doc_id", "text"), k, threshold), "profiles")
+    small = prof.where("n > 0 AND tokens IS NOT NULL").select("row_id", "doc_id", "n", "hi", "lo")
+    classes = small.groupBy("hi", "lo", "n").agg(F.min("row_id").alias("item"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
+    classes = materialize(classes, "classes")
+    comp = link(prof, classes, threshold)
+    # items without links stay alone with their copies
+    own = classes.join(comp, F.col("item") == F.col("node"), "left").select("hi", "lo", "n", "copies", "least_id", F.coalesce("comp", "item").alias("comp"))
+    own = materialize(own, "class_components")
+    low = own.groupBy("comp").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("c"))
+    hot = hot_keys(low, ["comp"], "c", own.count())
+    owned = join_salted(own, low.drop("c"), ["comp"], hot, F.struct("hi", "lo")).select("hi", "lo", "n", "copies", "component_id")
+    hot = hot_keys(own, ["hi", "lo", "n"], "copies", own.agg(F.sum("copies")).first()[0] or 0)
+    placed = join_salted(small, owned.drop("copies"), ["hi", "lo", "n"], hot, F.col("row_id"))
+    linked = placed.select("row_id", "doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = prof.where("n = 0 OR tokens IS NULL").select("row_id", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.union(alone)
