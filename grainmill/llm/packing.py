@@ -18,7 +18,6 @@ import heapq
 import os
 import re
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +42,7 @@ class Encoder:
     CHUNK = re.compile(r" ?[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])|[ \t\n\r\f\v]+")
     OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 
-    def __init__(self, path: str, most: int = 100_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks in parallel already
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -53,7 +52,7 @@ class Encoder:
         self.by_chunk = isinstance(kind, pre_tokenizers.ByteLevel) and not kind.add_prefix_space and self.whole.normalizer is None
         self.line_end = self._encode(["\n"])[0]
         self.by_chunk = self.by_chunk and len(self.line_end) == 1
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # ids as bytes, which are small and join fast
         self.most = most
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
@@ -67,21 +66,21 @@ class Encoder:
         # the chunks of a block of texts are always at hand; those of earlier ones may be forgotten, which keeps a worker small
         self._learn({c for chunks in parted if chunks is not None for c in chunks if c not in self.known})
         find = self.known.__getitem__
-        return [np.array(self._encode([t])[0], "<u4") if c is None else np.fromiter(chain.from_iterable(map(find, c)), "<u4") for t, c in zip(texts, parted, strict=True)]
+        return [np.array(self._encode([t])[0], "<u4") if c is None else np.frombuffer(b"".join(map(find, c)), "<u4") for t, c in zip(texts, parted, strict=True)]
 
     def _learn(self, chunks: set[str]) -> None:
         blank = [c for c in chunks if c.isspace()]
-        self.known.update(zip(blank, self._encode(blank), strict=True))
+        self.known.update((c, np.array(ids, "<u4").tobytes()) for c, ids in zip(blank, self._encode(blank), strict=True))
         words = list(chunks.difference(blank))
         for i in range(0, len(words), 5_000):
             some = words[i : i + 5_000]
-            ids = np.array(self._encode(["\n".join(some) + "\n"])[0], np.int64)
+            ids = np.array(self._encode(["\n".join(some) + "\n"])[0], "<u4")
             ends = np.flatnonzero(ids == self.line_end[0])
             if len(ends) != len(some):
                 raise ValueError("a chunk holds a line end")
-            flat, start = ids.tolist(), 0
+            flat, start = ids.tobytes(), 0
             for c, end in zip(some, ends.tolist(), strict=True):
-                self.known[c] = tuple(flat[start:end])
+                self.known[c] = flat[4 * start : 4 * end]
                 start = end + 1
 
 
