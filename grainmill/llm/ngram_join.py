@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from grainmill.llm.bytesops import blocks, mix, raw, shingle_sets
 from grainmill.llm.shared import connected_components, discard, hot_keys, join_salted, materialize, shuffle_partitions
 
-_FLUSH = 1_000_000
+_FLUSH = 500_000
 PART_BYTES = 16 << 20  # a range of hashes gets the shingles of about so many bytes of text
 SEEN = 32
 COUNTS = "part int, batch long, base long, total long, tokens binary, counts binary"
@@ -56,7 +56,7 @@ def _batches(source, k: int):
     for batch in source:
         data, offsets = raw(batch.column(2))
         rows, ids, sets, sizes, held, first = batch.column(0), batch.column(1), [], [], 0, 0
-        for i, j in blocks(offsets, 1 << 20):
+        for i, j in blocks(offsets, 1 << 19):
             s, at = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
             sets.append(s)
             sizes.append(np.diff(at))
