@@ -33,13 +33,14 @@ PIECE_SCHEMA = "row_id long, doc_id long, start long, length long, ids_crc32 lon
 class Encoder:
     """Ids of whole texts by ``tokenizers``, special strings read as ordinary text.
 
-    A byte-level tokenizer splits texts before it merges, and no split part goes on past a space that follows something else.
-    So a text is cut there, each distinct chunk is encoded by ``tokenizers`` once, and its ids are looked up from then on. New
+    A byte-level tokenizer splits texts before it merges, and no split part goes on past a space that follows something else,
+    nor from a letter or digit to a mark like a full stop. So a text is cut there, each distinct chunk is encoded by ``tokenizers`` once, and its ids are looked up from then on. New
     chunks are encoded together, a line each: a line end between two of them is a token of its own.
     Texts with other white space than ASCII's, and other kinds of tokenizers, are encoded whole.
     """
 
-    CHUNK = re.compile(r" ?[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])|[ \t\n\r\f\v]+")
+    #: a plain word before closing marks, any other word with its marks (or the marks), white space as the tokenizer splits it
+    CHUNK = re.compile(r" ?[A-Za-z0-9]++(?=[.,;:!?]++(?![^ \t\n\r\f\v]))| ?[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])|[ \t\n\r\f\v]+")
     OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 
     def __init__(self, path: str, most: int = 300_000):
