@@ -9,7 +9,8 @@ are kept, which is all that an intersection needs.
    range that owns them; a range adds up frequencies and sends those above one back to the batches that hold the shingle.
    A shingle of a third of all documents costs one entry a batch.
 2. *Collapse.* Documents with equal sets (128-bit digest) become one item; items with equal prefixes and size one group.
-3. *Link through pivots.* In each prefix bucket the items are verified against two pivots, and components are formed.
+3. *Link through pivots.* In each prefix bucket the items are verified against two pivots, and components are formed. Then
+   each bucket that holds several components draws a further pivot from the most frequent one for the items of the others.
 4. *Settle the rest.* Only group pairs of one bucket that still lie in different components are filtered by size and
    position, expanded to members and verified. Large groups of near copies are one component by then, so their pairs are
    never listed, and no link is lost. A pair with several common prefix shingles is listed where the first of them stands:
@@ -187,6 +188,12 @@ def _verified(pairs: DataFrame, items: DataFrame, threshold: int) -> DataFrame:
     return out
 
 
+def _place(items: DataFrame, links: DataFrame) -> DataFrame:
+    """The component of every item, written: item, gid, comp."""
+    comp = connected_components(links)
+    return materialize(items.join(comp, F.col("item") == F.col("node"), "left").select("item", "gid", F.coalesce("comp", "item").alias("comp")), "placed")
+
+
 def link(prof: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     """Components of the items (one per distinct set) that have links: node, comp."""
     live = prof.where(F.col("tokens").isNotNull())
@@ -205,9 +212,19 @@ def link(prof: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     inner = items.join(groups.where("members > 1"), "gid").select("item", "leader")
     pairs = near.union(inner.select("item", "leader")).where("leader <> pivot").select(F.least("leader", "pivot").alias("a"), F.greatest("leader", "pivot").alias("b")).distinct()
     first = _verified(pairs, items, threshold)
-    comp = connected_components(first)
-    placed = items.join(comp, F.col("item") == F.col("node"), "left").select("item", "gid", F.coalesce("comp", "item").alias("comp"))
-    placed = materialize(placed, "placed")
+    links, placed = first, _place(items, first)
+    # each bucket that holds several components draws one more pivot from the most frequent one, for the others; members of a
+    # group that are apart stand for themselves here
+    apart = placed.groupBy("gid", "comp").agg(F.min("item").alias("one"))
+    led = rows.join(apart, "gid").select("token", "band", "one", "comp", "n", (F.col("n") - F.col("lone")).alias("r"))
+    drawn = F.max(F.struct(F.xxhash64("token", "one").alias("h"), "one", "comp", "n", "r")).alias("pivot")
+    each = led.groupBy("token", "band", "comp").agg(drawn, F.count(F.lit(1)).alias("c"))
+    pivots = each.groupBy("token", "band").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("pivot"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
+    near = led.join(pivots, ["token", "band"]).where(f"comp <> pivot.comp AND least(r, pivot.r) >= ceil({threshold}L * (n + pivot.n) / {100 + threshold}.0D - 1e-9)")
+    more = _verified(near.select(F.least("one", "pivot.one").alias("a"), F.greatest("one", "pivot.one").alias("b")).distinct(), items, threshold)
+    links, last = links.unionByName(more), placed
+    placed = _place(items, links)
+    discard(last)
     # what is left: pairs of one bucket in different components
     cells = placed.select("gid", "comp").distinct()
     spread = rows.select("token", "pos", "gid", "n", "lone", "head").join(cells, "gid")
@@ -217,7 +234,7 @@ def link(prof: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     # where both know all that stands before the token, they have nothing of it in common
     ahead = f"if(x.head IS NOT NULL AND y.head IS NOT NULL AND x.q <= {SEEN} AND y.q <= {SEEN}, 0, least(x.q, y.q))"
     able = f"100 * x.n1 >= {threshold} * y.n0 AND 100 * y.n1 >= {threshold} * x.n0 AND least(x.r, y.r) >= {least} AND 1 + least(x.rest, y.rest) + {ahead} >= {least} AND x.p <= x.n1 - {least} AND y.p <= y.n1 - {least} AND NOT coalesce(arrays_overlap(x.head, y.head), false)"
-    cross = box.alias("x").join(box.alias("y"), F.expr(f"x.token = y.token AND x.comp < y.comp AND {able}")).select(F.col("x.token").alias("token"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb"))
+    cross = box.alias("x").join(box.alias("y"), F.expr(f"x.token = y.token AND x.comp < y.comp AND {able}")).select(F.col("x.token").alias("token"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb"), *(F.col(f"y.{c}").alias(f"y_{c}") for c in ("n0", "n1", "r", "rest", "q", "head")))
     a = spread.select("token", *(F.col(c).alias(f"{c}_a") for c in ("pos", "gid", "n", "lone", "head")), F.col("comp").alias("ca"))
     b = spread.select("token", *(F.col(c).alias(f"{c}_b") for c in ("pos", "gid", "n", "lone", "head")), F.col("comp").alias("cb"))
     need = F.expr(f"ceil({threshold}L * (n_a + n_b) / {100 + threshold}.0D - 1e-9)")
@@ -226,11 +243,16 @@ def link(prof: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     # the token must stand in the prefix that this very pair of sizes asks for
     early = (F.expr("pos_a + lone_a") <= F.col("n_a") - need) & (F.expr("pos_b + lone_b") <= F.col("n_b") - need)
     sized = (100 * F.col("n_a") >= threshold * F.col("n_b")) & (100 * F.col("n_b") >= threshold * F.col("n_a"))
-    cand = cross.join(a, ["token", "ca"]).join(b, ["token", "cb"]).where(sized & (best >= need) & early & ~F.arrays_overlap("head_a", "head_b")).select("gid_a", "ca", "gid_b", "cb").distinct()
+    # a group of the first component must be able to meet the bounds of the second
+    need_y = f"ceil({threshold}L * (n_a + y_n0) / {100 + threshold}.0D - 1e-9)"
+    ahead_y = f"if(y_head IS NOT NULL AND pos_a <= {SEEN} AND y_q <= {SEEN}, 0, least(pos_a, y_q))"
+    able_y = F.expr(f"100 * y_n1 >= {threshold} * n_a AND 100 * n_a >= {threshold} * y_n0 AND least(n_a - lone_a, y_r) >= {need_y} AND pos_a + lone_a <= n_a - {need_y} AND 1 + least(n_a - lone_a - pos_a - 1, y_rest) + {ahead_y} >= {need_y} AND NOT coalesce(arrays_overlap(head_a, y_head), false)")
+    met = cross.join(a, ["token", "ca"]).where(able_y).drop("y_n0", "y_n1", "y_r", "y_rest", "y_q", "y_head")
+    cand = met.join(b, ["token", "cb"]).where(sized & (best >= need) & early & ~F.arrays_overlap("head_a", "head_b")).select("gid_a", "ca", "gid_b", "cb").distinct()
     m1 = placed.select(F.col("gid").alias("gid_a"), F.col("comp").alias("ca"), F.col("item").alias("a"))
     m2 = placed.select(F.col("gid").alias("gid_b"), F.col("comp").alias("cb"), F.col("item").alias("b"))
     second = cand.join(m1, ["gid_a", "ca"]).join(m2, ["gid_b", "cb"]).select("a", "b").distinct()
-    links = first.unionByName(_verified(second, items, threshold))
+    links = links.unionByName(_verified(second, items, threshold))
     out = materialize(connected_components(links), "components")
     discard(items, rows, placed)
     return out
