@@ -11,8 +11,9 @@ are kept, which is all that an intersection needs.
 2. *Collapse.* Documents with equal sets (128-bit digest) become one item; items with equal prefixes and size one group.
 3. *Link through pivots.* In each prefix bucket the items are verified against two pivots, and components are formed. Then
    each bucket that holds several components draws a further pivot from the most frequent one for the items of the others.
-4. *Settle the rest.* Only group pairs of one bucket that still lie in different components are filtered by size and
-   position, expanded to members and verified. Large groups of near copies are one component by then, so their pairs are
+4. *Settle the rest.* Only group pairs of one bucket that still lie in different components are filtered by size, position
+   and parity bitmap, expanded to members, filtered by bitmap again and verified. A set's bitmap flips a bit a shingle, so
+   two bitmaps differ in at most as many bits as the sets differ in shingles; near misses seldom pass, links always do. Large groups of near copies are one component by then, so their pairs are
    never listed, and no link is lost. A pair with several common prefix shingles is listed where the first of them stands:
    each row carries the ``SEEN`` shingles that begin its prefix, and a pair that shares an earlier one is left to that.
 
@@ -35,9 +36,10 @@ from grainmill.llm.shared import connected_components, discard, hot_keys, join_s
 _FLUSH = 500_000
 PART_BYTES = 16 << 20  # a range of hashes gets the shingles of about so many bytes of text
 SEEN = 32
+WORDS = 8  # of 64 bits in the parity bitmap of a set
 COUNTS = "part int, batch long, base long, total long, tokens binary, counts binary"
 SHARED = "batch long, kind int, total long, at binary, tokens binary, freq binary, docs binary"
-PROFILE = "row_id long, doc_id long, n long, hi long, lo long, lone long, prefix array<bigint>, tokens array<bigint>"
+PROFILE = "row_id long, doc_id long, n long, hi long, lo long, lone long, prefix array<bigint>, tokens array<bigint>, bits array<bigint>"
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -52,6 +54,17 @@ def unplanes(b: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """Parity bitmap of a set of hashes: each flips one bit, so two sets differ in at least as many hashes as bits."""
+    at = (mix(tokens) % np.uint64(64 * WORDS)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=64 * WORDS) & 1).astype(np.uint8)).view(np.int64)
+
+
+def differing(a: str, b: str) -> str:
+    """SQL: how many bits of two bitmaps differ, null without one of them."""
+    return "(" + " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(WORDS)) + ")"
+
+
 def _batches(source, k: int):
     """Shingle sets of (row_id, doc_id, text) in bounded portions: portion id (first row), row and document ids, sets, sizes."""
     for batch in source:
@@ -151,7 +164,7 @@ def profile(docs: DataFrame, k: int, threshold: int) -> DataFrame:
                 freq[i], value[i] = unplanes(r["freq"], np.uint32), unplanes(r["tokens"], np.uint64)
         step = unplanes(own["at"], np.uint32).astype(np.int64)
         ends = np.cumsum(size)
-        lone, prefix, shared = [], [], []
+        lone, prefix, shared, bits = [], [], [], []
         for n, e in zip(size, ends, strict=True):
             at = np.cumsum(step[e - n : e])
             f = freq[at]
@@ -162,13 +175,15 @@ def profile(docs: DataFrame, k: int, threshold: int) -> DataFrame:
             if n == 0 or ones >= length:
                 prefix.append(None)
                 shared.append(None)
+                bits.append(None)
                 continue
             t, f = value[at[more]], f[more]
             order = np.lexsort((t, f))
             prefix.append(t[order[: length - ones]].view(np.int64))
             shared.append(t.view(np.int64))
+            bits.append(bitmap(t))
         kind = pa.list_(pa.int64())
-        return pa.table([head.column("row_id"), head.column("doc_id"), head.column("n"), head.column("hi"), head.column("lo"), pa.array(lone, pa.int64()), pa.array(prefix, kind), pa.array(shared, kind)], names=["row_id", "doc_id", "n", "hi", "lo", "lone", "prefix", "tokens"])
+        return pa.table([head.column("row_id"), head.column("doc_id"), head.column("n"), head.column("hi"), head.column("lo"), pa.array(lone, pa.int64()), pa.array(prefix, kind), pa.array(shared, kind), pa.array(bits, kind)], names=["row_id", "doc_id", "n", "hi", "lo", "lone", "prefix", "tokens", "bits"])
 
     freq = src.mapInArrow(count, COUNTS).groupBy("part").applyInArrow(add, SHARED)
     return freq.unionByName(src.mapInArrow(members, SHARED)).groupBy("batch").applyInArrow(assemble, PROFILE)
@@ -189,15 +204,15 @@ def _verified(pairs: DataFrame, items: DataFrame, threshold: int) -> DataFrame:
 
 
 def _place(items: DataFrame, links: DataFrame) -> DataFrame:
-    """The component of every item, written: item, gid, comp."""
+    """The component of every item, written: item, gid, n, r (shared shingles), bits, comp."""
     comp = connected_components(links)
-    return materialize(items.join(comp, F.col("item") == F.col("node"), "left").select("item", "gid", F.coalesce("comp", "item").alias("comp")), "placed")
+    return materialize(items.join(comp, F.col("item") == F.col("node"), "left").select("item", "gid", "n", (F.col("n") - F.col("lone")).alias("r"), "bits", F.coalesce("comp", "item").alias("comp")), "placed")
 
 
 def link(prof: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     """Components of the items (one per distinct set) that have links: node, comp."""
     live = prof.where(F.col("tokens").isNotNull())
-    items = live.join(classes.select("item"), live.row_id == F.col("item"), "left_semi").select(F.col("row_id").alias("item"), "n", "lone", "prefix", "tokens", F.xxhash64("n", "lone", "prefix").alias("gid"))
+    items = live.join(classes.select("item"), live.row_id == F.col("item"), "left_semi").select(F.col("row_id").alias("item"), "n", "lone", "prefix", "tokens", "bits", F.xxhash64("n", "lone", "prefix").alias("gid"))
     items = materialize(items, "items")
     groups = items.groupBy("gid").agg(F.min("item").alias("leader"), F.count("*").alias("members"))
     heads = items.join(groups.drop("gid"), F.col("item") == F.col("leader")).select("gid", "leader", "members", "n", "lone", F.slice("prefix", 1, SEEN).alias("head"), F.posexplode("prefix").alias("pos", "token"))
@@ -226,17 +241,17 @@ def link(prof: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     placed = _place(items, links)
     discard(last)
     # what is left: pairs of one bucket in different components
-    cells = placed.select("gid", "comp").distinct()
+    cells = placed.groupBy("gid", "comp").agg(F.count(F.lit(1)).alias("size"), F.when(F.count(F.lit(1)) == 1, F.any_value("bits")).alias("bits"))
     spread = rows.select("token", "pos", "gid", "n", "lone", "head").join(cells, "gid")
     # pairs of components, by the bounds of what they have in the bucket: sizes, shared shingles, place of the token
-    box = spread.groupBy("token", "comp").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max(F.col("n") - F.col("lone")).alias("r"), F.min(F.col("pos") + F.col("lone")).alias("p"), F.when(F.count(F.lit(1)) == 1, F.any_value("head")).alias("head"), F.max(F.col("n") - F.col("lone") - F.col("pos") - 1).alias("rest"), F.max("pos").alias("q"))
+    box = spread.groupBy("token", "comp").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max(F.col("n") - F.col("lone")).alias("r"), F.min(F.col("pos") + F.col("lone")).alias("p"), F.when(F.count(F.lit(1)) == 1, F.any_value("head")).alias("head"), F.max(F.col("n") - F.col("lone") - F.col("pos") - 1).alias("rest"), F.max("pos").alias("q"), F.when(F.count(F.lit(1)) == 1, F.any_value("bits")).alias("bits"))
     least = f"ceil({threshold}L * (x.n0 + y.n0) / {100 + threshold}.0D - 1e-9)"
     # where both know all that stands before the token, they have nothing of it in common
     ahead = f"if(x.head IS NOT NULL AND y.head IS NOT NULL AND x.q <= {SEEN} AND y.q <= {SEEN}, 0, least(x.q, y.q))"
-    able = f"100 * x.n1 >= {threshold} * y.n0 AND 100 * y.n1 >= {threshold} * x.n0 AND least(x.r, y.r) >= {least} AND 1 + least(x.rest, y.rest) + {ahead} >= {least} AND x.p <= x.n1 - {least} AND y.p <= y.n1 - {least} AND NOT coalesce(arrays_overlap(x.head, y.head), false)"
-    cross = box.alias("x").join(box.alias("y"), F.expr(f"x.token = y.token AND x.comp < y.comp AND {able}")).select(F.col("x.token").alias("token"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb"), *(F.col(f"y.{c}").alias(f"y_{c}") for c in ("n0", "n1", "r", "rest", "q", "head")))
-    a = spread.select("token", *(F.col(c).alias(f"{c}_a") for c in ("pos", "gid", "n", "lone", "head")), F.col("comp").alias("ca"))
-    b = spread.select("token", *(F.col(c).alias(f"{c}_b") for c in ("pos", "gid", "n", "lone", "head")), F.col("comp").alias("cb"))
+    able = f"100 * x.n1 >= {threshold} * y.n0 AND 100 * y.n1 >= {threshold} * x.n0 AND least(x.r, y.r) >= {least} AND 1 + least(x.rest, y.rest) + {ahead} >= {least} AND x.p <= x.n1 - {least} AND y.p <= y.n1 - {least} AND NOT coalesce(arrays_overlap(x.head, y.head), false) AND coalesce(x.r + y.r - {differing('x.bits', 'y.bits')} >= 2 * {least}, true)"
+    cross = box.alias("x").join(box.alias("y"), F.expr(f"x.token = y.token AND x.comp < y.comp AND {able}")).select(F.col("x.token").alias("token"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb"), *(F.col(f"y.{c}").alias(f"y_{c}") for c in ("n0", "n1", "r", "rest", "q", "head", "bits")))
+    a = spread.select("token", *(F.col(c).alias(f"{c}_a") for c in ("pos", "gid", "n", "lone", "head", "size", "bits")), F.col("comp").alias("ca"))
+    b = spread.select("token", *(F.col(c).alias(f"{c}_b") for c in ("pos", "gid", "n", "lone", "head", "size", "bits")), F.col("comp").alias("cb"))
     need = F.expr(f"ceil({threshold}L * (n_a + n_b) / {100 + threshold}.0D - 1e-9)")
     known = (F.col("pos_a") <= SEEN) & (F.col("pos_b") <= SEEN)
     best = F.when(known, 0).otherwise(F.least("pos_a", "pos_b")) + 1 + F.least(F.expr("n_a - lone_a - pos_a - 1"), F.expr("n_b - lone_b - pos_b - 1"))
@@ -246,12 +261,18 @@ def link(prof: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     # a group of the first component must be able to meet the bounds of the second
     need_y = f"ceil({threshold}L * (n_a + y_n0) / {100 + threshold}.0D - 1e-9)"
     ahead_y = f"if(y_head IS NOT NULL AND pos_a <= {SEEN} AND y_q <= {SEEN}, 0, least(pos_a, y_q))"
-    able_y = F.expr(f"100 * y_n1 >= {threshold} * n_a AND 100 * n_a >= {threshold} * y_n0 AND least(n_a - lone_a, y_r) >= {need_y} AND pos_a + lone_a <= n_a - {need_y} AND 1 + least(n_a - lone_a - pos_a - 1, y_rest) + {ahead_y} >= {need_y} AND NOT coalesce(arrays_overlap(head_a, y_head), false)")
-    met = cross.join(a, ["token", "ca"]).where(able_y).drop("y_n0", "y_n1", "y_r", "y_rest", "y_q", "y_head")
-    cand = met.join(b, ["token", "cb"]).where(sized & (best >= need) & early & ~F.arrays_overlap("head_a", "head_b")).select("gid_a", "ca", "gid_b", "cb").distinct()
-    m1 = placed.select(F.col("gid").alias("gid_a"), F.col("comp").alias("ca"), F.col("item").alias("a"))
-    m2 = placed.select(F.col("gid").alias("gid_b"), F.col("comp").alias("cb"), F.col("item").alias("b"))
-    second = cand.join(m1, ["gid_a", "ca"]).join(m2, ["gid_b", "cb"]).select("a", "b").distinct()
+    able_y = F.expr(f"100 * y_n1 >= {threshold} * n_a AND 100 * n_a >= {threshold} * y_n0 AND least(n_a - lone_a, y_r) >= {need_y} AND pos_a + lone_a <= n_a - {need_y} AND 1 + least(n_a - lone_a - pos_a - 1, y_rest) + {ahead_y} >= {need_y} AND NOT coalesce(arrays_overlap(head_a, y_head), false) AND coalesce(n_a - lone_a + y_r - {differing('bits_a', 'y_bits')} >= 2 * {need_y}, true)")
+    met = cross.join(a, ["token", "ca"]).where(able_y).drop("y_n0", "y_n1", "y_r", "y_rest", "y_q", "y_head", "y_bits")
+    alike = F.coalesce(F.expr(f"n_a - lone_a + n_b - lone_b - {differing('bits_a', 'bits_b')}") >= 2 * need, F.lit(True))
+    pairs = met.join(b, ["token", "cb"]).where(sized & (best >= need) & early & ~F.arrays_overlap("head_a", "head_b") & alike)
+    # the smaller side is expanded first, then each of its items meets those of the other that its bitmap allows
+    cell = lambda x, c: F.struct(F.col(f"gid_{x}").alias("gid"), F.col(c).alias("comp"))
+    less = F.col("size_a") <= F.col("size_b")
+    cand = pairs.select(F.when(less, cell("a", "ca")).otherwise(cell("b", "cb")).alias("s"), F.when(less, cell("b", "cb")).otherwise(cell("a", "ca")).alias("t"))
+    cand = cand.select(F.col("s.gid").alias("gid_a"), F.col("s.comp").alias("ca"), F.col("t.gid").alias("gid_b"), F.col("t.comp").alias("cb")).distinct()
+    m1, m2 = (placed.select(F.col("gid").alias(f"gid_{x}"), F.col("comp").alias(f"c{x}"), F.col("item").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "r", "bits"))) for x in "ab")
+    close = sized & (F.expr(f"r_a + r_b - {differing('bits_a', 'bits_b')}") >= 2 * need)
+    second = cand.join(m1, ["gid_a", "ca"]).join(m2, ["gid_b", "cb"]).where(close).select("a", "b")
     links = links.unionByName(_verified(second, items, threshold))
     out = materialize(connected_components(links), "components")
     discard(items, rows, placed)

@@ -1,9 +1,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
-from grainmill.llm.ngram_join import components
+from grainmill.llm.ngram_join import bitmap, components
 
 
 def shingles(text, k):
@@ -54,3 +55,26 @@ def test_edges(spark):
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "A b"), (5, "a  B"), (6, "a b c"), (7, long), (8, long + " x"), (9, "é x É x"), (9, "é x É x")]
     assert run(spark, rows, 4, 85) == brute(rows, 4, 85)
     assert run(spark, [], 4, 85) == []
+
+
+def test_bitmap_never_differs_more_than_the_sets():
+    rng = np.random.default_rng(1)
+    for n in (1, 30, 300, 5000):
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        b = np.concatenate([a[: n - n // 5], rng.integers(0, 2**63, n // 7).astype(np.uint64)])
+        differ = np.bitwise_count((bitmap(a) ^ bitmap(b)).view(np.uint64)).sum()
+        assert differ <= len(np.setxor1d(a, b))
+    assert not (bitmap(a) ^ bitmap(a[::-1])).any()
+
+
+def test_near_misses_around_one_text(spark):
+    """Many texts a few edits from one: most pairs fail by little, some chains link."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for j in rng.sample(range(120), rng.randint(1, 9)):
+            w[j] = f"e{rng.randint(0, 40)}"
+        rows.append((i, " ".join(w)))
+    assert run(spark, rows, 4, 85) == brute(rows, 4, 85)
