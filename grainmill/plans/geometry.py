@@ -110,3 +110,12 @@ def palette_check(spark, sf):
     colours = F.collect_set(F.concat("l_returnflag", "l_linestatus"))
     g = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("g")).agg(colours.alias("s"))
     return g.select("g", F.size("s").alias("n_colours"), F.size(F.array_except("s", F.array(F.lit("AF"), F.lit("NO"), F.lit("RF")))).alias("n_foreign"))
+
+
+@query("palette_packing", "with c as (select p_size g, (p_partkey % 256) * 65536 + (p_size * 5) * 256 + p_partkey % 7 packed from part) select g, count(distinct packed) n_colours, min(packed) lowest, max(packed) highest from c group by 1")
+def palette_packing(spark, sf):
+    """Red, green and blue packed into one integer, and the palette of every group."""
+    red, green, blue = F.col("p_partkey") % 256, F.col("p_size") * 5, F.col("p_partkey") % 7
+    packed = F.shiftleft(red.cast("long"), 16).bitwiseOR(F.shiftleft(green.cast("long"), 8)).bitwiseOR(blue.cast("long"))
+    g = table(spark, sf, "part").groupBy(F.col("p_size").alias("g"))
+    return g.agg(F.countDistinct(packed).alias("n_colours"), F.min(packed).alias("lowest"), F.max(packed).alias("highest"))

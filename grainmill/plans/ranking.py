@@ -171,6 +171,32 @@ def random_ranking(spark, sf):
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy(h))).where("rank <= 10")
 
 
+@query(
+    "cosine_topk_lots",
+    f"with {VEC_SQL.split('pairs as')[0]} p as (select q.id q_id, c.id c_id, round(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])), 9) score from n q join n c on q.id % 100 = 0 and q.id % 7 <> c.id % 7) select q_id, c_id, rank, round(score, 6) score from (select *, row_number() over (partition by q_id order by score desc, c_id) rank from p) where rank <= 50",
+)
+def cosine_topk_lots(spark, sf):
+    """The 50 most similar vectors from other lots than the query's own; queries are every hundredth id."""
+    v = _vectors(spark, sf)
+    q = v.where("id % 100 = 0").select(*(F.col(c).alias(f"q_{c}") for c in v.columns))
+    c = v.select(*(F.col(c).alias(f"c_{c}") for c in v.columns))
+    same_lot = F.col("q_id") % 7 == F.col("c_id") % 7
+    return R.cosine_topk(q, c, 50, same_lot).select("q_id", "c_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(
+    "random_ranking_lots",
+    "select q_id, c_id, rank from (select q.vec_id q_id, c.vec_id c_id, row_number() over (partition by q.vec_id order by sha256('rr:' || q.vec_id || '-' || c.vec_id)) rank from embeddings q join embeddings c on q.vec_id % 100 = 0 and q.vec_id % 7 <> c.vec_id % 7) where rank <= 50",
+)
+def random_ranking_lots(spark, sf):
+    """Fifty vectors in hash order from the eligible pool, that is from other lots."""
+    e = table(spark, sf, "embeddings").select("vec_id")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"))
+    pairs = q.join(e.withColumnRenamed("vec_id", "c_id"), F.col("q_id") % 7 != F.col("c_id") % 7)
+    h = stable_key(F.concat(F.col("q_id").cast("string"), F.lit("-"), F.col("c_id").cast("string")), "rr")
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("q_id").orderBy(h))).where("rank <= 50")
+
+
 @query("first_per_key", "select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts, event_id) rn from events) where rn = 1")
 def first_per_key(spark, sf):
     return R.pick_first(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")

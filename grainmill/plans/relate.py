@@ -73,6 +73,16 @@ def qrels_cross(spark, sf):
     return pairs.select(F.col("q.vec_id").alias("query_id"), F.col("c.vec_id").alias("gallery_id"), F.expr("CASE WHEN q.vec_id % 3 = c.vec_id % 3 THEN 2 ELSE 1 END").alias("relevance"))
 
 
+@query("qrels_graded", "select q.vec_id query_id, c.vec_id gallery_id, case when q.label <> c.label then 0 when q.vec_id % 3 = c.vec_id % 3 then 2 else 1 end relevance from embeddings q join embeddings c on q.vec_id % 100 = 0 and q.vec_id % 7 <> c.vec_id % 7")
+def qrels_graded(spark, sf):
+    """Judgements of every hundredth vector against all rows of other lots, grade 0 written out."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label")
+    q, c = e.where("vec_id % 100 = 0").alias("q"), e.alias("c")
+    pairs = q.join(c, F.expr("q.vec_id % 7 <> c.vec_id % 7"))
+    grade = F.expr("CASE WHEN q.label <> c.label THEN 0 WHEN q.vec_id % 3 = c.vec_id % 3 THEN 2 ELSE 1 END")
+    return pairs.select(F.col("q.vec_id").alias("query_id"), F.col("c.vec_id").alias("gallery_id"), grade.alias("relevance"))
+
+
 @query("leak_unresolved", "select l.doc_id, d.source from labels l left join documents d on l.doc_id = d.doc_id + 3")
 def leak_unresolved(spark, sf):
     d = table(spark, sf, "documents").select((F.col("doc_id") + 3).alias("doc_id"), "source")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,20 +14,22 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def resume(requests: DataFrame, log_path: str, work: Callable[[DataFrame], DataFrame], checkpoint: str, schema: str) -> StreamingQuery:
     """Works on the requests (a stream with ``id``) that the log has no ``ok`` row for; errors are tried again.
 
-    A batch reads the log, leaves out what is done and appends its rows with the batch number; a batch that runs again after
-    a failure first finds its own rows and adds nothing twice.
+    A batch reads the log without its own folder, leaves out what is done and writes its rows, errors too, to its own folder
+    (``run=<hash of the checkpoint>/batch=<number>``); a batch that runs again after a failure replaces that folder.
     """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def batch(df: DataFrame, number: int) -> None:
-        spark = df.sparkSession
+        spark, own = df.sparkSession, f"run={run}/batch={number}"
         try:
-            log = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(log_path)
+            log = spark.read.schema(schema).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).json(log_path)
+            log = log.where(~F.contains("_metadata.file_path", F.lit(f"/{own}/")))
             todo = df.dropDuplicates(["id"]).join(log.where("status = 'ok'").select("id"), "id", "left_anti")
         except Exception as e:  # the log does not exist before the first batch
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             todo = df.dropDuplicates(["id"])
-        work(todo).withColumn("batch", F.lit(number)).write.mode("append").json(log_path)
+        work(todo).write.mode("overwrite").json(f"{log_path.rstrip('/')}/{own}")
 
     return requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -19,6 +19,18 @@ def test_resume_retries_errors_only(spark, tmp_path):
     assert sorted(rows) == [(0, "ok"), (1, "error"), (1, "ok"), (2, "ok"), (3, "error"), (3, "ok"), (4, "ok"), (5, "error"), (5, "ok")]
 
 
+def test_a_batch_that_runs_again_adds_no_row_twice(spark, tmp_path):
+    src, log, checkpoint = f"{tmp_path}/in", f"{tmp_path}/log", tmp_path / "c"
+    spark.range(6).coalesce(1).write.parquet(src)
+    work = lambda df: df.select("id", F.when(F.col("id") % 2 == 0, "ok").otherwise("error").alias("status"))
+    for _ in range(2):
+        R.resume(R.stream_of(spark, src, "id long"), log, work, str(checkpoint), "id long, status string").awaitTermination(120)
+        for f in (checkpoint / "commits").iterdir():  # as if it had failed before it was committed
+            f.unlink()
+    rows = [(r["id"], r["status"]) for r in spark.read.schema("id long, status string").json(log).collect()]
+    assert sorted(rows) == [(i, "error" if i % 2 else "ok") for i in range(6)]
+
+
 def test_budget_state_spans_batches(spark, tmp_path):
     src, out = f"{tmp_path}/in", f"{tmp_path}/out"
     schema = "user_id long, event_id long, value double, failed boolean"
