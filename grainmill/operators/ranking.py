@@ -42,11 +42,11 @@ def gain(relevance: Column, rank: Column) -> Column:
     return (F.pow(F.lit(2.0), relevance) - 1) / F.log2(rank + 1.0)
 
 
-def ndcg(ranked: DataFrame, ideal: DataFrame, k: int) -> DataFrame:
-    """Per query nDCG@k. ranked, ideal: q_id, rank, relevance; ideal is every judged item by falling relevance."""
-    best = ideal.where(F.col("rank") <= k).groupBy("q_id").agg(F.sum(gain(F.col("relevance"), F.col("rank"))).alias("best"))
-    got = ranked.where(F.col("rank") <= k).groupBy("q_id").agg(F.sum(gain(F.col("relevance"), F.col("rank"))).alias("got"))
-    return best.join(got, "q_id", "left").select("q_id", (F.coalesce("got", F.lit(0.0)) / F.greatest("best", F.lit(1e-12))).alias("ndcg"))
+def ndcg(ranked: DataFrame, ideal: DataFrame, ks: list[int]) -> DataFrame:
+    """Per query ndcg{k} for every k, in one pass. ranked, ideal: q_id, rank, relevance; ideal is every judged item by falling relevance."""
+    sums = lambda df, name: df.groupBy("q_id").agg(*(F.sum(F.when(F.col("rank") <= k, gain(F.col("relevance"), F.col("rank")))).alias(f"{name}{k}") for k in ks))
+    both = sums(ideal, "best").join(sums(ranked, "got"), "q_id", "left")
+    return both.select("q_id", *((F.coalesce(f"got{k}", F.lit(0.0)) / F.greatest(f"best{k}", F.lit(1e-12))).alias(f"ndcg{k}") for k in ks))
 
 
 def pick_first(df: DataFrame, by: list[str], order: list, n: int = 1) -> DataFrame:

@@ -89,8 +89,8 @@ def ndcg_at_k(spark, sf):
     n2, n1 = F.col("n") - 1, F.col("n_label") - F.col("n")
     slots = q.select(F.col("id").alias("q_id"), n2.alias("n2"), n1.alias("n1"), F.explode(F.sequence(F.lit(1), F.lit(50))).alias("rank"))
     ideal = slots.select("q_id", "rank", F.when(F.col("rank") <= F.col("n2"), 2).when(F.col("rank") <= F.col("n2") + F.col("n1"), 1).otherwise(0).alias("relevance"))
-    out = [R.ndcg(ranked, ideal, k).agg(F.round(F.avg("ndcg"), 9).alias("ndcg")).select(F.lit(k).alias("k"), "ndcg") for k in (10, 50)]
-    return out[0].union(out[1])
+    means = R.ndcg(ranked, ideal, [10, 50]).agg(F.avg("ndcg10").alias("ndcg10"), F.avg("ndcg50").alias("ndcg50"))
+    return means.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.round(f"ndcg{k}", 9).alias("ndcg")) for k in (10, 50)))).alias("s")).select("s.k", "s.ndcg")
 
 
 DIFF_SQL = "(case when status = 'F' then 3 else 0 end + case when size < 50000 then 2 when size > 400000 then 1 else 0 end + round(least(size / 100000, 5) / 5, 3))"
