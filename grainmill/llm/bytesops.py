@@ -62,13 +62,22 @@ def blocks(offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]
         i = j
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of the words (runs without ASCII white space, A-Z lower-cased), their row, start and end byte."""
+def term_bytes() -> np.ndarray:
+    """Which bytes belong to a search term: ASCII digits and letters, and all of non-ASCII characters."""
+    inside = np.zeros(256, bool)
+    inside[128:] = True
+    for a, b in (b"09", b"AZ", b"az"):
+        inside[a : b + 1] = True
+    return inside
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (runs without ASCII white space or of ``inside`` bytes, A-Z lower-cased), their row, start and end byte."""
     n = len(data)
     if n == 0:
         z = np.zeros(0, np.int64)
         return np.zeros(0, _U), z, z, z
-    word = ~_SPACE[data]
+    word = ~_SPACE[data] if inside is None else inside[data]
     before = np.empty(n, bool)
     before[0], before[1:] = False, word[:-1]
     cuts = offsets[(offsets > 0) & (offsets < n)]

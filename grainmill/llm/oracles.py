@@ -37,4 +37,34 @@ gone as (select v.doc_id, v.k from v join d using (s) where v.pos > d.first or v
 o as (select w.doc_id, count(*) n_lines, count(gone.k) n_removed, coalesce(string_agg(w.line, chr(10) order by w.k) filter (gone.k is null), '') kept from w left join gone on gone.doc_id = w.doc_id and gone.k = w.k group by 1)
 select d.doc_id, case when coalesce(n_removed, 0) > 0 then kept else text end as text, coalesce(n_lines, 0) n_lines, coalesce(n_removed, 0) n_removed from documents d left join o using (doc_id)"""
 
-ORACLE = {"op1_ngram_join": OP1, "op6_warc": OP6, "op10_line_dedup": OP10}
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+OP12 = f"""with w as (select doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '{_TERM}') w from documents where text is not null),
+d as (select doc_id, w, len(w) n from w where len(w) > 0), s as (select count(*) N, cast(sum(n) as bigint) L from d),
+p as (select doc_id, n, t, count(*) tf from (select doc_id, n, unnest(w) t from d) group by all),
+f as (select t, cast(floor(1000 * ln((2 * (select N from s) + 2) / (2 * count(*) + 1))) as bigint) w from p group by 1),
+q as (select item_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '{_TERM}')) t from benchmark),
+m as (select item_id, doc_id, cast(sum(f.w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * (select N from s)) // (select L from s))))) as bigint) score from q join p using (t) join f using (t) group by 1, 2),
+r as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) rank, doc_id, score from m where score > 0)
+select * from r where rank <= 10"""
+
+
+def _rounds(rounds: int) -> str:
+    """The centroids after each round, c0 being the first ones, and the vectors' clusters a0, a1, ..."""
+    near = "select vec_id, v, min(d * 16 + c) // 16 distance, min(d * 16 + c) % 16 c from (select x.vec_id, x.v, y.c, list_sum(list_transform(range(1, 65), lambda i: (x.v[i] - y.v[i]) * (x.v[i] - y.v[i])))::bigint d from k x, c{i} y) group by vec_id, v"
+    # one row a component; the quotient is rounded down for negative sums too
+    mean = "select c, list(((s - ((s % n) + n) % n) // n)::bigint order by i) v from (select c, i, sum(v[i])::bigint s, count(*) n from a{i}, (select unnest(range(1, 65)) i) group by 1, 2) group by 1"
+    out = []
+    for i in range(rounds + 1):
+        out.append(f"a{i} as ({near.format(i=i)})")
+        if i < rounds:
+            out.append(f"c{i + 1} as ({mean.format(i=i)} union all select c, v from c{i} where c not in (select c from a{i}))")
+    return ",\n".join(out)
+
+
+OP13 = f"""with k as materialized (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) v from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+c0 as (select row_number() over (order by h) - 1 c, v from (select sha256('1:' || vec_id) h, v from k order by h limit 16)),
+{_rounds(3)},
+i as (select c, sum(distance)::bigint cluster_inertia from a3 group by 1)
+select vec_id, a3.c::integer "cluster", distance, cluster_inertia, (select sum(distance)::bigint from a3) inertia, sha256(array_to_string(c3.v, ',')) centroid_sha256 from a3 join i using (c) join c3 using (c)"""
+
+ORACLE = {"op12_lexical_search": OP12, "op13_centroids": OP13, "op1_ngram_join": OP1, "op6_warc": OP6, "op10_line_dedup": OP10}
