@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from grainmill.plans import audit, classify, curate, geometry, raster, ranking, relate, reports, scalar  # noqa: F401
+    from grainmill.plans import audit, classify, curate, geometry, raster, ranking, relate, release, reports, scalar  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -97,11 +97,13 @@ def resume_antijoin(spark, sf):
 
 @query("resume_match", "select a.event_id id, min(b.event_id) done_by from events a join events b on a.user_id = b.user_id and a.event_type = b.event_type and a.props = b.props and b.value < 100 and b.event_id <> a.event_id group by 1")
 def resume_match(spark, sf):
-    """A finished call with the same identity, type and request; per identity the two smallest ids suffice, so no pair is formed."""
+    """A finished call with the same identity, type and request: the smallest other id, from two grouped minima."""
     e = table(spark, sf, "events")
     key = ["user_id", "event_type", "props"]
-    done = e.where("value < 100").groupBy(*key).agg(F.slice(F.array_sort(F.collect_set("event_id")), 1, 2).alias("two")).select(*key, "two")
-    hit = e.join(done, key).select(F.col("event_id").alias("id"), F.when(F.col("two")[0] != F.col("event_id"), F.col("two")[0]).when(F.size("two") > 1, F.try_element_at("two", F.lit(2))).alias("done_by"))
+    done = e.where("value < 100").select(*key, "event_id")
+    least = done.groupBy(*key).agg(F.min("event_id").alias("low"))
+    next_ = done.join(least, key).where("event_id > low").groupBy(*key).agg(F.min("event_id").alias("high"))
+    hit = e.join(least, key).join(next_, key, "left").select(F.col("event_id").alias("id"), F.when(F.col("low") != F.col("event_id"), F.col("low")).otherwise(F.col("high")).alias("done_by"))
     return hit.where("done_by IS NOT NULL")
 
 
