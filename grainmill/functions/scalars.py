@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 # fixed values: label vocabulary, and a name that is no spelling of it
 LABELS = ["Center", "Donut", "Edge_Loc", "Edge_Ring", "Loc", "Near_full", "Random", "Scratch", "none"]
 OTHER_NAMES = {"normal": "none"}
-UNLABELLED = ["", "nan", "unknown", "[]", "null"]
+UNLABELLED = ["", "nan", "unknown", "[]"]
 # fixed values: zone limits and numerals
 CENTER_LIMIT, MIDDLE_LIMIT = 0.35, 0.72
 NUMERALS = {"一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}

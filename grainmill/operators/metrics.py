@@ -67,31 +67,6 @@ def mcnemar(n01: Column, n10: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), F.exp(largest + F.log(2 * tail))))
 
 
-def bootstrap(df: DataFrame, key: str, value: Column, replicates: int, seed: str) -> DataFrame:
-    """Poisson bootstrap of a mean: every row has a stable Poisson(1) weight in every replicate.
-
-    Weights come from a hash of key and replicate, so no row is drawn twice from a driver list and partial sums combine.
-    """
-    u = (F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"), F.lit(":"), F.col("rep").cast("string")).cast("binary"), 256), 1, 12), 16, 10).cast("double")) / float(16**12)
-    weight, total, p = F.lit(0), 0.0, math.exp(-1)
-    for k in range(8):
-        total += p
-        weight = weight + F.when(u >= total, 1).otherwise(0)
-        p /= k + 1
-    rows = df.select(F.col(key), value.cast("double").alias("x")).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", weight)
-    return rows.groupBy("rep").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("mean"))
-
-
-def bootstrap_sql(table: str, key: str, value: str, replicates: int, seed: str) -> str:
-    """The DuckDB form of :func:`bootstrap`."""
-    total, p, steps = 0.0, math.exp(-1), []
-    for k in range(8):
-        total += p
-        steps.append(f"case when u >= {total!r} then 1 else 0 end")
-        p /= k + 1
-    return f"(select rep, sum(w * x) / sum(w) mean from (select rep, x, {' + '.join(steps)} w from (select rep, cast({value} as double) x, cast(cast('0x' || substr(sha256('{seed}:' || {key} || ':' || rep), 1, 12) as ubigint) as double) / {float(16**12)!r} u from {table}, (select unnest(range({replicates})) rep))) group by rep)"
-
-
 def poisson_table(counts: DataFrame) -> DataFrame:
     """For every row of x and n the distribution of Poisson(n): x, k and the probability p of at most k.
 
@@ -118,6 +93,28 @@ def poisson_weights(counts: DataFrame, replicates: int, seed: str) -> DataFrame:
     return draws.unionByName(table).withColumn("w", w).where("rep is not null").select("x", "rep", "w")
 
 
+def poisson_weights_sql(counts: str, replicates: int, seed: str) -> str:
+    """The DuckDB form of :func:`poisson_weights`: a subquery of x, rep, w for a subquery of x, n.
+
+    A draw takes the smallest k whose probability of at most k exceeds it, by an ordered join.
+    """
+    return f"""(with c as {counts},
+t as (select x, n, cast(greatest(0, floor(n - 9.5 * sqrt(n) - 40)) as bigint) low, unnest(range(cast(greatest(0, floor(n - 9.5 * sqrt(n) - 40)) as bigint), cast(ceil(n + 9.5 * sqrt(n) + 40) as bigint) + 1)) k from c),
+l as (select x, k, sum(case when k > low then ln(n / cast(k as double)) else 0 end) over (partition by x order by k) l from t),
+e as (select x, k, exp(l - max(l) over (partition by x)) p from l),
+p as (select x, k, sum(p) over (partition by x order by k) / sum(p) over (partition by x) p from e),
+d as (select x, rep, cast(cast('0x' || substr(sha256('{seed}:' || cast(x as varchar) || ':' || rep), 1, 12) as ubigint) as double) / {float(16**12)!r} u from c, (select unnest(range({replicates})) rep)),
+w as (select d.x, rep, k from d asof left join p on d.x = p.x and d.u < p.p),
+hi as (select x, max(k) m from p group by 1)
+select x, rep, coalesce(k, m) w from w join hi using (x))"""
+
+
+def bootstrap_counts_sql(table: str, value: str, replicates: int, seed: str) -> str:
+    """The DuckDB form of :func:`bootstrap_counts`."""
+    counts = f"(select cast({value} as double) x, count(*) n from {table} where {value} is not null group by 1)"
+    return f"(select rep, sum(w * x) / nullif(sum(w), 0) mean from {poisson_weights_sql(counts, replicates, seed)} group by rep)"
+
+
 def bootstrap_counts(df: DataFrame, value: Column, replicates: int, seed: str) -> DataFrame:
     """Poisson bootstrap of the mean of a value with few distinct cases: n equal rows together weigh Poisson(n) in a replicate.
 

@@ -2,27 +2,59 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+from pyspark.sql.types import StructType
 
 
 def normalised(v: Column) -> Column:
-    """The vector scaled to length one, null if it has no length."""
+    """The vector scaled to length one, null if it has no length. The length is computed once, not for every component."""
     length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.when(length > 0, F.transform(v, lambda x: x.cast("double") / length))
+    scaled = F.transform(F.array(length), lambda n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)))
+    return F.get(scaled, F.lit(0))
 
 
-def cosine_topk(queries: DataFrame, gallery: DataFrame, k: int, exclude: Column) -> DataFrame:
-    """The k most similar gallery vectors of every query, ties to the smaller id; ``exclude`` over q_* and c_* columns.
+def cosine_topk(queries: DataFrame, gallery: DataFrame, k: int, query_rows: int = 4096, gallery_rows: int = 16_384) -> DataFrame:
+    """The k most similar gallery vectors of every query, ties to the smaller id, as rank and score.
 
-    The stated query set meets the gallery in one nested-loop join; k rows a query are kept by a group-limited window.
+    Vectors are ``q_vec`` and ``c_vec``, of length one. Pairs with equal ``q_apart`` and ``c_apart`` are left out; further columns come
+    along. Blocks of queries meet blocks of the gallery, each pair of blocks in one matrix product, and keeps its k best of a query; those
+    are merged by a group-limited window. No pair of vectors is ever a row.
     """
-    pairs = queries.join(gallery, ~exclude).withColumn("score", F.round(dot(F.col("q_vec"), F.col("c_vec")), 9))
+    kept = [f for f in (*queries.schema.fields, *gallery.schema.fields) if f.name not in ("q_vec", "c_vec", "q_apart", "c_apart")]
+    schema = StructType(kept).add("score", "double")
+    rows, columns = (max(1, -(-df.count() // n)) for df, n in ((queries, query_rows), (gallery, gallery_rows)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.withColumn("_r", F.pmod(F.xxhash64("q_id"), F.lit(rows)).cast("int")).withColumn("_c", every(columns))
+    right = gallery.withColumn("_c", F.pmod(F.xxhash64("c_id"), F.lit(columns)).cast("int")).withColumn("_r", every(rows))
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+    def best(q: pa.Table, c: pa.Table) -> pa.Table:
+        at, of, scores = [], [], []
+        if q.num_rows and c.num_rows:
+            c = c.sort_by("c_id")
+            own, vectors = c.column("c_apart").to_numpy(), matrix(c.column("c_vec"))
+            for start in range(0, q.num_rows, 256):
+                part = q.slice(start, 256)
+                found = np.round(matrix(part.column("q_vec")) @ vectors.T, 9)
+                found[part.column("q_apart").to_numpy()[:, None] == own[None, :]] = -np.inf
+                for i, row in enumerate(found):
+                    near = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
+                    near = near[np.isfinite(row[near])]
+                    near = near[np.argsort(-row[near], kind="stable")[:k]]
+                    at.append(np.full(len(near), start + i))
+                    of.append(near)
+                    scores.append(row[near])
+        at, of, scores = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((at, np.int64), (of, np.int64), (scores, np.float64)))
+        side = lambda t, i: [t.column(f.name).take(pa.array(i)) for f in kept if f.name in t.column_names]
+        return pa.table([*side(q, at), *side(c, of), pa.array(scores)], names=schema.names)
+
+    pairs = left.groupBy("_r", "_c").cogroup(right.groupBy("_r", "_c")).applyInArrow(best, schema)
     w = Window.partitionBy("q_id").orderBy(F.desc("score"), "c_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("q_vec", "c_vec")
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def ranked_scores(ranked: DataFrame, totals: DataFrame, ks: list[int]) -> DataFrame:

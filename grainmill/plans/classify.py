@@ -193,46 +193,37 @@ def mcnemar_p(spark, sf):
     return d.select("cell", "n10", "n01", F.round(M.mcnemar(F.col("n01"), F.col("n10")), 9).alias("p"))
 
 
-@query("bootstrap_ci", f"with {PREDS}, b as {M.bootstrap_sql('preds', 'id', 'gold = pred', 100, 'boot')} select round(quantile_cont(mean, 0.025), 9) lo, round(quantile_cont(mean, 0.975), 9) hi, count(*) n from b")
+@query("bootstrap_ci", f"with {PREDS}, b as {M.bootstrap_counts_sql('preds', 'case when gold = pred then 1 else 0 end', 500, 'boot')} select round(quantile_cont(mean, 0.025), 9) lo, round(quantile_cont(mean, 0.975), 9) hi, count(*) n from b")
 def bootstrap_ci(spark, sf):
-    """Percentile interval with linear interpolation."""
-    b = M.bootstrap(predictions(spark, sf), "id", F.col("gold") == F.col("pred"), 100, "boot")
+    """Percentile interval of 500 replicates with linear interpolation; weights have no cap."""
+    b = M.bootstrap_counts(predictions(spark, sf), F.col("gold") == F.col("pred"), 500, "boot")
     return b.agg(F.round(F.percentile("mean", 0.025), 9).alias("lo"), F.round(F.percentile("mean", 0.975), 9).alias("hi"), F.count(F.lit(1)).alias("n"))
 
 
-@query("paired_boot", _PAIR + f", d as (select id, cast(a.gold = a.pred as integer) - cast(b.gold = b.pred as integer) x from a join b using (id)), r as (select mean, row_number() over (order by mean, rep) - 1 i from {M.bootstrap_sql('d', 'id', 'x', 100, 'pair')}) select round(max(mean) filter (i = 2), 9) lo, round(max(mean) filter (i = 97), 9) hi, max(mean) filter (i = 2) > 0 or max(mean) filter (i = 97) < 0 excludes_zero from r")
+@query("paired_boot", _PAIR + f", d as (select cast(a.gold = a.pred as integer) - cast(b.gold = b.pred as integer) x from a join b using (id)), r as (select mean, row_number() over (order by mean, rep) - 1 i from {M.bootstrap_counts_sql('d', 'x', 20_000, 'pair')}) select round(max(mean) filter (i = 500), 9) lo, round(max(mean) filter (i = 19500), 9) hi, max(mean) filter (i = 500) > 0 or max(mean) filter (i = 19500) < 0 excludes_zero from r")
 def paired_boot(spark, sf):
-    """Order statistics of the replicate differences, as the interval is defined without interpolation."""
-    b = M.bootstrap(_pair(spark, sf), "id", F.col("a") - F.col("b"), 100, "pair")
+    """Order statistics of 20,000 replicate differences, as the interval is defined without interpolation."""
+    n = 20_000
+    b = M.bootstrap_counts(_pair(spark, sf), F.col("a") - F.col("b"), n, "pair")
     s = b.agg(F.array_sort(F.collect_list("mean")).alias("m"))  # one value a replicate
-    lo, hi = F.col("m")[2], F.col("m")[97]
+    lo, hi = F.get("m", F.lit(int(0.025 * n))), F.get("m", F.lit(int(0.975 * n)))
     return s.select(F.round(lo, 9).alias("lo"), F.round(hi, 9).alias("hi"), ((lo > 0) | (hi < 0)).alias("excludes_zero"))
 
 
-@query("bootstrap_macro_f1")
+_CELLS = "(select coalesce(gold, '?') || '|' || coalesce(pred, '?') x, count(*) n from preds group by 1)"
+_F1 = " + ".join(f"coalesce(2 * sum(case when gold = '{c}' and pred = '{c}' then w else 0 end) / nullif(sum(case when gold = '{c}' then w else 0 end) + sum(case when pred = '{c}' then w else 0 end), 0), 0)" for c in CLASSES)
+
+
+@query(
+    "bootstrap_macro_f1",
+    f"with {PREDS}, b as (select rep, ({_F1}) / {len(CLASSES)} v from (select rep, w, split_part(x, '|', 1) gold, split_part(x, '|', 2) pred from {M.poisson_weights_sql(_CELLS, 500, 'macro')}) group by rep) select round(quantile_cont(v, 0.025), 9) lo, round(quantile_cont(v, 0.975), 9) hi, count(*) n from b",
+)
 def bootstrap_macro_f1(spark, sf):
     """Percentile interval of macro-F1 over 500 replicates."""
     b = M.bootstrap_metric(predictions(spark, sf), M.macro_f1_of(CLASSES), 500, "macro")
     return b.agg(F.round(F.percentile("value", 0.025), 9).alias("lo"), F.round(F.percentile("value", 0.975), 9).alias("hi"), F.count(F.lit(1)).alias("n"))
 
 
-@query("bootstrap_ci_500")
-def bootstrap_ci_500(spark, sf):
-    """The interval of 500 replicates, weights without a cap."""
-    b = M.bootstrap_counts(predictions(spark, sf), F.col("gold") == F.col("pred"), 500, "boot")
-    return b.agg(F.round(F.percentile("mean", 0.025), 9).alias("lo"), F.round(F.percentile("mean", 0.975), 9).alias("hi"), F.count(F.lit(1)).alias("n"))
-
-
-@query("paired_boot_20000")
-def paired_boot_20000(spark, sf):
-    """Order statistics of 20,000 replicate differences."""
-    n = 20_000
-    b = M.bootstrap_counts(_pair(spark, sf), F.col("a") - F.col("b"), n, "pair")
-    s = b.agg(F.array_sort(F.collect_list("mean")).alias("m"))  # one value a replicate
-    lo, hi = F.get("m", F.lit(int(0.025 * n))), F.get("m", F.lit(int(0.975 * n)))
-    return s.select(F.round(lo, 9).alias("lo"), F.round(hi, 9).alias("hi"), ((lo > 0) | (hi < 0)).alias("excludes_zero"))
-
-
 @query("class_median", "select label, round(median(cast(list_aggregate(embedding, 'max') as double)), 6) median_peak from embeddings group by 1")
 def class_median(spark, sf):
     return table(spark, sf, "embeddings").groupBy("label").agg(F.round(F.median(F.array_max("embedding").cast("double")), 6).alias("median_peak"))

@@ -24,10 +24,12 @@ def _vectors(spark, sf):
 
 def _ranked(spark, sf, k=50):
     """The stated query set, every tenth vector, against all others."""
-    v = _vectors(spark, sf)
-    q = v.where("id % 10 = 0").select(*(F.col(c).alias(f"q_{c}") for c in v.columns))
-    c = v.select(*(F.col(c).alias(f"c_{c}") for c in v.columns))
-    return R.cosine_topk(q, c, k, F.col("q_id") == F.col("c_id"))
+    return _nearest(_vectors(spark, sf).withColumn("apart", F.col("id")), "id % 10 = 0", k)
+
+
+def _nearest(vectors, queries, k):
+    side = lambda df, name: df.select(*(F.col(c).alias(f"{name}_{c}") for c in df.columns))
+    return R.cosine_topk(side(vectors.where(queries), "q"), side(vectors, "c"), k)
 
 
 def _totals(spark, sf):
@@ -177,11 +179,7 @@ def random_ranking(spark, sf):
 )
 def cosine_topk_lots(spark, sf):
     """The 50 most similar vectors from other lots than the query's own; queries are every hundredth id."""
-    v = _vectors(spark, sf)
-    q = v.where("id % 100 = 0").select(*(F.col(c).alias(f"q_{c}") for c in v.columns))
-    c = v.select(*(F.col(c).alias(f"c_{c}") for c in v.columns))
-    same_lot = F.col("q_id") % 7 == F.col("c_id") % 7
-    return R.cosine_topk(q, c, 50, same_lot).select("q_id", "c_id", "rank", F.round("score", 6).alias("score"))
+    return _nearest(_vectors(spark, sf).withColumn("apart", F.col("id") % 7), "id % 100 = 0", 50).select("q_id", "c_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(

@@ -179,26 +179,30 @@ def json_numbers(spark, sf):
     return e.select("event_id", F.explode(F.regexp_extract_all(doc, F.lit(r'(?<![\w.])-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?'), F.lit(0))).alias("x")).select("event_id", F.col("x").cast("double").alias("x"))
 
 
-@query("number_renderings", "select event_id, d, printf('%.' || d || 'f', round(value, d)) s from events, (select unnest([1, 2]) d) where event_type = 'view'")
+@query(
+    "number_renderings",
+    """with v as (select event_id, value v, printf('%.12f', value) l, cast(split_part(printf('%.6e', value), 'e', 1) as double) m from events where value is not null and isfinite(value)), d as (select cast(unnest(range(1, 7)) as integer) d)
+select event_id, 'rounded' form, d, printf('%.' || d || 'f', v) s from v, d union all select event_id, 'truncated', d, substr(l, 1, instr(l, '.') + d) from v, d
+union all select event_id, 'mantissa', d, printf('%.' || d || 'f', m) from v, d where v <> 0 and abs(v) < 0.01""",
+)
 def number_renderings(spark, sf):
-    e = table(spark, sf, "events").where("event_type = 'view'")
-    return e.select("event_id", F.posexplode(F.array(F.format_string("%.1f", F.round("value", 1)), F.format_string("%.2f", F.round("value", 2)))).alias("i", "s")).select("event_id", (F.col("i") + 1).alias("d"), "s")
-
-
-@query("regex_tokens", "select doc_id, unnest(regexp_extract_all(text, '\\d{3,}')) token from documents")
-def regex_tokens(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\d{3,}"), F.lit(0))).alias("token"))
-
-
-@query("number_renderings_all")
-def number_renderings_all(spark, sf):
     """Rounded, truncated and mantissa forms of every event's value, at 1 to 6 decimals."""
     return S.renderings(table(spark, sf, "events"), "event_id", "value")
 
 
-@query("decimal_tokens")
-def decimal_tokens(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.explode(S.decimal_tokens(F.col("text"))).alias("token"))
+@query(
+    "regex_tokens",
+    r"""with t as (select 'd' || doc_id k, text from documents union all select 'e' || event_id, 'run ' || event_id || ' loss -' || printf('%.5f', value) || ', see arXiv:2401.01234 and 1.22.333; was ' || printf('%.3f', value / 7) || '/' || printf('%.8f', value) from events),
+l as (select k, unnest(string_split(text, chr(10))) line from t where text is not null),
+c as (select k, regexp_replace(line, '(?i)arxiv[:\s]*\S+|\b\d+\.\d+\.\d+\b', ' ', 'g') line from l)
+select k, unnest(regexp_extract_all(' ' || line, '[^.\d](-?\d+\.\d{3,6})', 1)) token from c""",
+)
+def regex_tokens(spark, sf):
+    """Signed decimals of 3 to 6 fraction digits in documents and in lines written from events; citations are no numbers."""
+    docs = table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("k"), "text")
+    line = F.format_string("run %d loss -%.5f, see arXiv:2401.01234 and 1.22.333; was %.3f/%.8f", F.col("event_id"), F.col("value"), F.col("value") / 7, F.col("value"))
+    lines = table(spark, sf, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("k"), line.alias("text"))
+    return docs.unionByName(lines).select("k", F.explode(S.decimal_tokens(F.col("text"))).alias("token"))
 
 
 @query("tag_parse", "select s_suppkey, s_suppkey % 5 g, s_suppkey % 3 + 1 m from supplier")

@@ -130,8 +130,8 @@ def test_bootstrap_queries_take_all_replicates(spark):
 
     sf = "/root/testdata/sf0.001"
     if os.path.isdir(sf):
-        assert registry.queries()["bootstrap_ci_500"](spark, sf).first()["n"] == 500
-        r = registry.queries()["paired_boot_20000"](spark, sf).first()
+        assert registry.queries()["bootstrap_ci"](spark, sf).first()["n"] == 500
+        r = registry.queries()["paired_boot"](spark, sf).first()
         assert r["lo"] < r["hi"] and r["excludes_zero"] == (r["lo"] > 0 or r["hi"] < 0)
 
 

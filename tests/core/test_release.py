@@ -212,3 +212,20 @@ def test_format_gap_counts_absent_answers_as_wrong(spark, missing):
     two = spark.createDataFrame([(1, "A"), (2, "A"), (3, None)], "id int, answer string")
     got = {r["gold"]: (r["one"], r["two"], r["gap"]) for r in G.format_gap(gold, {"one": (one, lambda x: x), "two": (two, F.lower)}).collect()}
     assert got == {"a": (0.5, 1.0, 0.5) if missing else (1.0, 1.0, 0.0), "b": (1.0, 0.0, -1.0)}
+
+
+@pytest.mark.parametrize("blocks", [(7, 13), (4096, 16_384)])
+def test_similar_vectors_in_blocks(spark, blocks):
+    from grainmill.operators import ranking as R
+
+    rows = [(i, i % 3, [float(a), float(b), 1.0]) for i in range(60) for a, b in [((i * 7) % 5, (i * 3) % 4)]] + [(99, 0, [0.0, 0.0, 0.0])]
+    v = spark.createDataFrame(rows, "id long, apart long, e array<double>").select("id", "apart", R.normalised(F.col("e")).alias("vec")).where("vec IS NOT NULL")
+    side = lambda df, n: df.select(*(F.col(c).alias(f"{n}_{c}") for c in df.columns))
+    got = sorted((r["q_id"], r["rank"], r["c_id"]) for r in R.cosine_topk(side(v.where("id % 10 = 0"), "q"), side(v, "c"), 5, *blocks).collect())
+    unit = {i: [x / sum(y * y for y in e) ** 0.5 for x in e] for i, _, e in rows[:-1]}
+    want = []
+    for q in range(0, 60, 10):
+        near = sorted((-round(sum(x * y for x, y in zip(unit[q], unit[c], strict=True)), 9), c) for c in range(60) if c % 3 != q % 3)
+        want += [(q, k, c) for k, (_, c) in enumerate(near[:5], 1)]
+    assert got == sorted(want)
+    assert R.cosine_topk(side(v.where("false"), "q"), side(v, "c"), 5, *blocks).collect() == []
