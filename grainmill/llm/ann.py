@@ -3,11 +3,13 @@
 On a bounded sample (``sample_rows`` vectors by row hash) the exact k-nearest-neighbour graph is cut into balanced partitions: seeds
 far apart grow by capacity-bound assignment, then refinement sweeps move each vector to the partition where most of its
 neighbours are while no partition exceeds its share by more than ``imbalance``. A softmax classifier over the vectors and
-their squares, fitted by Adam, learns the partitions. A table of more than ``fan`` times ``part_rows`` rows gets a second level: each
-partition's own bounded sample is cut and learned by a task of its own, so there are up to ``fan`` squared partitions. Every row
-of the table is indexed in one partition. A query goes to the partitions of largest joint probability, as many as give
-``target_recall`` of the exact neighbours on held-out sample queries and hold k rows whichever they are. What they hold is
-reranked by exact distance in double precision.
+their squares, fitted by Adam, learns the partitions. Where more than ``fan`` partitions are wanted there is a second level: each
+partition's own bounded sample is cut and learned by a task of its own. There are as many partitions as the root of the number of
+rows, so partitions grow as that root too, and a query that visits a fixed share of them meets a fixed share of the rows. Every row
+of the table is indexed in one partition. A query goes to its most probable partitions until what is left of the joint
+probability is below a limit of that query set: the one at which held-out sample queries, that no router has learned, reach
+``target_recall`` of their exact neighbours; sure queries visit few partitions, unsure ones many, and all as many as surely
+hold k rows. What they hold is reranked by exact distance in double precision.
 
 Partitions are dealt by (partition, salt) with at most about ``block_rows`` rows each, queries are copied to the salts of their
 partitions and cut into blocks as well, every pair of blocks returns its k best per query, and a second small shuffle merges
@@ -16,7 +18,7 @@ those. No partition, however large, is one task.
 Cases: vectors that are null, empty, all zero, or hold null or non-finite components take no part, as rows or as queries;
 vectors of another length than most are left out too, as no distance to them is defined; repeated rows are candidates like
 others; ties go to the smaller vec_id; fewer than k candidates give as many ranks; a null vec_id is a candidate but no query;
-small tables are partitioned and routed like others, into two partitions at least where there are two different vectors;
+small tables are partitioned and routed like others;
 further columns are ignored.
 """
 
@@ -128,25 +130,27 @@ class Tree:
                 out[at] += revive(Router, self.below[int(p)]).log_probabilities(x[at]).argmax(axis=1)
         return out
 
-    def best(self, x: np.ndarray, leaves: np.ndarray, m: int) -> np.ndarray:
-        """The ``m`` most probable of ``leaves`` for every row, most probable first."""
+    def ranked(self, x: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``leaves`` for every row, most probable first, and the probability of each and all behind it."""
         top = revive(Router, self.top).log_probabilities(x)
         joint = np.full((len(x), top.shape[1] * self.width), -np.inf)
         joint[:, :: self.width] = top
         for p, state in self.below.items():
             own = revive(Router, state).log_probabilities(x)
             joint[:, p * self.width : p * self.width + own.shape[1]] = top[:, [p]] + own
-        return leaves[np.argsort(-joint[:, leaves], axis=1, kind="stable")[:, :m]]
+        order = np.argsort(-joint[:, leaves], axis=1, kind="stable")
+        share = np.exp(np.take_along_axis(joint[:, leaves], order, axis=1))
+        return leaves[order], np.cumsum(share[:, ::-1], axis=1)[:, ::-1]
 
 
-def fit_router(x: np.ndarray, part: np.ndarray, parts: int, steps: int = 200, rate: float = 0.05) -> Router:
-    r = Router(np.zeros((2 * x.shape[1] + 1, parts)), x.mean(axis=0), x.std(axis=0) + 1e-9)
+def fit_router(x: np.ndarray, wanted: np.ndarray, steps: int = 200, rate: float = 0.05) -> Router:
+    """``wanted``: the share of each row's neighbours in each partition, which is what a query must be led by."""
+    r = Router(np.zeros((2 * x.shape[1] + 1, wanted.shape[1])), x.mean(axis=0), x.std(axis=0) + 1e-9)
     z, a, b = r.inputs(x), 0.0, 0.0
-    hot = np.eye(parts)[part]
     for t in range(1, steps + 1):
         s = z @ r.w
         p = np.exp(s - s.max(axis=1, keepdims=True))
-        g = z.T @ (p / p.sum(axis=1, keepdims=True) - hot) / len(x) + 1e-4 * r.w
+        g = z.T @ (p / p.sum(axis=1, keepdims=True) - wanted) / len(x) + 2e-3 * r.w
         a, b = 0.9 * a + 0.1 * g, 0.99 * b + 0.01 * g * g
         r.w -= rate * (a / (1 - 0.9**t)) / (np.sqrt(b / (1 - 0.99**t)) + 1e-9)
     return r
@@ -158,7 +162,10 @@ def learn(x: np.ndarray, parts: int, k: int) -> Router:
     x = x[np.random.default_rng(3).permutation(len(x))]
     parts = max(1, min(parts, len(x)))
     graph = nearest(x, x, min(k + 1, len(x)))
-    return fit_router(x, balanced_partition(x, graph, parts), parts)
+    part = balanced_partition(x, graph, parts)
+    near = np.zeros((len(x), parts))
+    np.add.at(near, (np.repeat(np.arange(len(x)), graph.shape[1]), part[graph.ravel()]), 1 / graph.shape[1])
+    return fit_router(x, near)
 
 
 def sampled(rows: DataFrame, share: Column, seed: str) -> DataFrame:
@@ -166,16 +173,18 @@ def sampled(rows: DataFrame, share: Column, seed: str) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(F.lit(seed), "row_id"), F.lit(1 << 30)) < share * float(1 << 30))
 
 
-def fit(rows: DataFrame, n: int, k: int, sample_rows: int, part_rows: int, fan: int) -> tuple[Tree, np.ndarray]:
-    """The tree of routers, and the sample that it was learned from."""
+def fit(rows: DataFrame, n: int, k: int, sample_rows: int, fan: int, held_rows: int = 400) -> tuple[Tree, np.ndarray, np.ndarray]:
+    """The tree of routers, the vectors that it was learned from, and others to set the limit of a search with."""
     got = sampled(rows, F.lit(min(1.0, 1.05 * sample_rows / n)), "ann").select("v", F.xxhash64(F.lit("order"), "row_id").alias("o")).limit(2 * sample_rows).toArrow().sort_by("o")
-    x = vectors_of(got.column("v"))
-    wanted = max(2, -(-n // part_rows))
-    top = learn(x, min(wanted, fan), k)
+    x = np.unique(vectors_of(got.column("v")), axis=0)
+    x = x[np.random.default_rng(5).permutation(len(x))]
+    held = x[: max(1, min(held_rows, len(x) // 5))]
+    wanted = max(2, round(n**0.5))
+    top = learn(x[len(held) :] if len(x) > 1 else x, min(wanted, fan), k)
     width = min(fan, -(-wanted // fan)) if wanted > fan else 1
     tree = Tree(vars(top), {}, width)
     if width == 1:
-        return tree, x
+        return tree, x, held
     shared = rows.sparkSession.sparkContext.broadcast(vars(tree))
 
     def place(batches):
@@ -194,24 +203,25 @@ def fit(rows: DataFrame, n: int, k: int, sample_rows: int, part_rows: int, fan:
     for m in models.toArrow().to_pylist():  # at most ``fan`` rows
         mean = np.array(m["mean"])
         tree.below[m["part"]] = vars(Router(np.array(m["w"]).reshape(2 * len(mean) + 1, -1), mean, np.array(m["std"])))
-    return tree, x
+    return tree, x, held
 
 
-def visits(tree: Tree, x: np.ndarray, sizes: dict[int, int], k: int, target_recall: float) -> int:
-    """How many partitions a query visits: for the recall of held-out neighbours, and so that any as many hold k others."""
-    leaves = np.array(sorted(sizes))
-    x = np.unique(x, axis=0)
-    x = x[np.random.default_rng(5).permutation(len(x))]
-    held = x[: max(1, min(400, len(x) // 5))]
+def limit_of(tree: Tree, x: np.ndarray, held: np.ndarray, leaves: np.ndarray, k: int, target_recall: float) -> float:
+    """The rest of probability at which a query stops, so that ``held`` queries reach the recall among the vectors ``x``."""
     truth = nearest(held, x, min(k + 1, len(x)))
-    own = tree.leaf(x)
-    place = np.argsort(np.argsort(leaves)[np.searchsorted(leaves, tree.best(held, leaves, len(leaves)))], axis=1)
-    at = np.minimum(np.searchsorted(leaves, own[truth]), len(leaves) - 1)
-    needed = place[np.arange(len(held))[:, None], at]
+    order, rest = tree.ranked(held, leaves)
+    place = np.argsort(np.searchsorted(leaves, order), axis=1)
+    at = np.minimum(np.searchsorted(leaves, tree.leaf(x)[truth]), len(leaves) - 1)
+    reached = np.take_along_axis(rest, np.take_along_axis(place, at, axis=1), axis=1)
     others = (x[truth] != held[:, None]).any(axis=2)
-    recall = [(needed < m)[others].mean() if others.any() else 1.0 for m in range(1, len(leaves) + 1)]
-    enough = int(np.searchsorted(np.cumsum(sorted(sizes.values())), min(k + 1, sum(sizes.values())))) + 1
-    return max(enough, next((m for m, r in enumerate(recall, 1) if r >= target_recall), len(leaves)))
+    reached = np.sort(reached[others])[::-1]
+    return float(reached[min(len(reached) - 1, int(np.ceil(target_recall * len(reached))) - 1)]) if len(reached) else 0.0
+
+
+def visited(tree: Tree, x: np.ndarray, leaves: np.ndarray, limit: float, least: int) -> list[np.ndarray]:
+    """The partitions that each row visits: those before which at least ``limit`` of the probability is left, and ``least`` at least."""
+    order, rest = tree.ranked(x, leaves)
+    return [o[: max(least, int((r >= limit * (1 - 1e-9)).sum()))].astype(np.int32) for o, r in zip(order, rest, strict=True)]
 
 
 def vectors_of(column) -> np.ndarray:
@@ -220,15 +230,19 @@ def vectors_of(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def search(vectors: DataFrame, is_query, k: int = 10, sample_rows: int = 8000, part_rows: int = 1000, fan: int = 64, target_recall: float = 0.95, block_rows: int = 8192, query_rows: int = 16_384) -> DataFrame:
-    """The k nearest rows found of every query row: query_id, rank, vec_id, score."""
+def search(vectors: DataFrame, is_query, k: int = 10, sample_rows: int = 8000, fan: int | None = None, target_recall: float = 0.94, block_rows: int = 8192, query_rows: int = 16_384) -> DataFrame:
+    """The k nearest rows found of every query row: query_id, rank, vec_id, score.
+
+    ``fan``: partitions of a level, by default 64 or the fourth root of the number of rows.
+    """
     spark = vectors.sparkSession
     rows = materialize(valid_rows(vectors), "vectors")
     lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     if not lengths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows, n = rows.where(F.size("v") == lengths[0]["d"]), lengths[0]["count"]
-    tree, sample = fit(rows, n, k, sample_rows, part_rows, fan)
+    fan = fan or max(64, round(n**0.25))
+    tree, sample, held = fit(rows, n, k, sample_rows, fan)
     shared = spark.sparkContext.broadcast(vars(tree))
 
     def index(batches):
@@ -238,18 +252,21 @@ def search(vectors: DataFrame, is_query, k: int = 10, sample_rows: int = 8000, p
 
     indexed = materialize(rows.mapInArrow(index, "row_id long, vec_id long, v array<double>, part int"), "indexed")
     sizes = {r["part"]: r["count"] for r in indexed.groupBy("part").count().collect()}  # at most fan * fan rows
-    leaves, m = np.array(sorted(sizes)), visits(tree, sample, sizes, k, target_recall)
+    leaves = np.array(sorted(sizes))
+    # as many as hold k others whichever they are
+    least = int(np.searchsorted(np.cumsum(sorted(sizes.values())), min(k + 1, n))) + 1
+    limit = limit_of(tree, sample, held, leaves, k, target_recall)
 
     def route(batches):
         for batch in batches:
-            best = revive(Tree, shared.value).best(vectors_of(batch.column(2)), leaves, m) if batch.num_rows else np.zeros((0, 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(best.astype(np.int32)), pa.list_(pa.int32()))], [*batch.schema.names, "parts"])
+            parts = visited(revive(Tree, shared.value), vectors_of(batch.column(2)), leaves, limit, least) if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.list_(pa.int32()))], [*batch.schema.names, "parts"])
 
     salts = {p: max(1, -(-c // block_rows)) for p, c in sizes.items()}
     queries = rows.where(is_query).mapInArrow(route, "row_id long, vec_id long, v array<double>, parts array<int>").select("row_id", "vec_id", "v", F.explode("parts").alias("part"))
     # a partition that very many queries visit has them in several blocks, and its rows are copied once for each
-    visited = {r["part"]: r["count"] for r in queries.groupBy("part").count().collect()}  # at most fan * fan rows
-    cuts = [(p, salts[p], max(1, -(-visited.get(p, 0) // (salts[p] * query_rows)))) for p in sorted(salts)]
+    callers = {r["part"]: r["count"] for r in queries.groupBy("part").count().collect()}  # at most fan * fan rows
+    cuts = [(p, salts[p], max(1, -(-callers.get(p, 0) // (salts[p] * query_rows)))) for p in sorted(salts)]
     cuts = F.broadcast(spark.createDataFrame(cuts, "part int, salts int, chunks int"))
     data = indexed.join(cuts, "part").withColumn("salt", F.pmod(F.xxhash64("row_id"), F.col("salts")).cast("int"))
     data = data.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))

@@ -161,19 +161,22 @@ def of_rows(docs: DataFrame, row: str, wanted: DataFrame) -> DataFrame:
     masks = row_masks(wanted)
     if masks.count() > MASKS:
         return docs
-    return in_masks(docs, row, masks).where("_hit__").drop("_hit__")
+    hit = fresh(docs, "hit")
+    return in_masks(docs, row, masks, hit).where(hit).drop(hit)
 
 
 def row_masks(wanted: DataFrame) -> DataFrame:
     number = F.col(wanted.columns[0])
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), number.bitwiseAND(63).cast("int"))
-    return materialize(wanted.groupBy(F.shiftright(number, 6).alias("_rows__")).agg(F.bit_or(bit).alias("_mask__")), "masks")
+    return materialize(wanted.groupBy(F.shiftright(number, 6).alias("rows")).agg(F.bit_or(bit).alias("mask")), "masks")
 
 
-def in_masks(docs: DataFrame, row: str, masks: DataFrame) -> DataFrame:
-    marked = docs.withColumn("_rows__", F.shiftright(row, 6)).join(F.broadcast(masks), "_rows__", "left")
-    bit = F.call_function("shiftright", F.coalesce("_mask__", F.lit(0)), F.col(row).bitwiseAND(63).cast("int")).bitwiseAND(1)
-    return marked.withColumn("_hit__", bit == 1).drop("_rows__", "_mask__")
+def in_masks(docs: DataFrame, row: str, masks: DataFrame, hit: str) -> DataFrame:
+    """``docs`` with a column ``hit``, whether the row number is in the masks."""
+    rows, mask = fresh(docs, "rows"), fresh(docs, "mask")
+    marked = docs.withColumn(rows, F.shiftright(row, 6)).join(F.broadcast(masks.toDF(rows, mask)), rows, "left")
+    bit = F.call_function("shiftright", F.coalesce(mask, F.lit(0)), F.col(row).bitwiseAND(63).cast("int")).bitwiseAND(1)
+    return marked.withColumn(hit, bit == 1).drop(rows, mask)
 
 
 def candidates(docs: DataFrame, distinct: DataFrame, min_words: int) -> DataFrame:
@@ -244,9 +247,10 @@ def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     masks = row_masks(removed.select(row))
     if masks.count() <= MASKS:
         # documents that lose nothing are told before the shuffle and stay where they are
-        marked = in_masks(numbered, row, masks)
-        same = marked.where("NOT _hit__").withColumn(gone, F.lit(None).cast("array<int>"))
-        out = marked.where("_hit__").join(removed, row).unionByName(same).drop("_hit__")
+        hit = fresh(numbered.withColumn(gone, F.lit(0)), "hit")
+        marked = in_masks(numbered, row, masks, hit)
+        same = marked.where(~F.col(hit)).withColumn(gone, F.lit(None).cast("array<int>"))
+        out = marked.where(hit).join(removed, row).unionByName(same).drop(hit)
     else:
         out = numbered.join(removed, row, "left")
     out = out.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))

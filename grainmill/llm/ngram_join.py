@@ -26,6 +26,8 @@ smallest id unless all are null; an empty table gives no rows; further columns a
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -91,14 +93,15 @@ def profile(docs: DataFrame, k: int, threshold: int) -> DataFrame:
         for batch, _, _, tokens, _ in _batches(source, k):
             u, c = np.unique(tokens, return_counts=True)
             owner = ((u >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            cuts = np.searchsorted(owner, np.arange(parts + 1))
-            keep = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
+            # only the ranges that the batch has shingles of are looked at, however many there are
+            starts = np.flatnonzero(np.diff(owner, prepend=owner[0] + np.uint64(1) if len(owner) else 0))
+            span = [slice(a, b) for a, b in pairwise([*starts, len(u)])]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(keep, pa.int32()), pa.array([batch] * len(keep), pa.int64()),
-                    pa.array([int(cuts[p]) for p in keep], pa.int64()), pa.array([len(u)] * len(keep), pa.int64()),
-                    pa.array([planes(u[cuts[p] : cuts[p + 1]]) for p in keep], pa.binary()),
-                    pa.array([planes(c[cuts[p] : cuts[p + 1]].astype(np.uint32)) for p in keep], pa.binary()),
+                    pa.array(owner[starts].astype(np.int32)), pa.array([batch] * len(starts), pa.int64()),
+                    pa.array(starts, pa.int64()), pa.array([len(u)] * len(starts), pa.int64()),
+                    pa.array([planes(u[s]) for s in span], pa.binary()),
+                    pa.array([planes(c[s].astype(np.uint32)) for s in span], pa.binary()),
                 ],
                 ["part", "batch", "base", "total", "tokens", "counts"],
             )

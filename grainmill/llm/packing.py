@@ -31,12 +31,13 @@ PIECE_SCHEMA = "row_id long, doc_id long, start long, length long, ids_crc32 lon
 
 
 class Encoder:
-    """Ids of whole texts by ``tokenizers``, special strings read as ordinary text.
+    """Ids of whole texts by ``tokenizers``, just as it gives them.
 
     A byte-level tokenizer splits texts before it merges, and no split part goes on past a space that follows something else,
     nor from a letter or digit to a mark like a full stop. So a text is cut there, each distinct chunk is encoded by ``tokenizers`` once, and its ids are looked up from then on. New
     chunks are encoded together, a line each: a line end between two of them is a token of its own.
-    Texts with other white space than ASCII's, and other kinds of tokenizers, are encoded whole.
+    Texts with other white space than ASCII's or with one of the tokenizer's added tokens, and other kinds of tokenizers, are
+    encoded whole.
     """
 
     #: a plain word before closing marks, any other word with its marks (or the marks), white space as the tokenizer splits it
@@ -48,7 +49,8 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(sorted(added, key=len, reverse=True)) or "(?!)", re.IGNORECASE)
         kind = self.whole.pre_tokenizer
         self.by_chunk = isinstance(kind, pre_tokenizers.ByteLevel) and not kind.add_prefix_space and self.whole.normalizer is None
         self.line_end = self._encode(["\n"])[0]
@@ -61,7 +63,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of every text."""
-        parted = [self.CHUNK.findall(t) if self.by_chunk and not self.OTHER_SPACE.search(t) else None for t in texts]
+        parted = [self.CHUNK.findall(t) if self.by_chunk and not self.OTHER_SPACE.search(t) and not self.added.search(t) else None for t in texts]
         if len(self.known) > self.most:
             self.known.clear()
         # the chunks of a block of texts are always at hand; those of earlier ones may be forgotten, which keeps a worker small

@@ -19,6 +19,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from grainmill.llm.shared import fresh
+
 ROUNDS = 10
 DIGITS, HEX, LETTERS = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz"
 FIRST_DAY, DAYS = "1900-01-01", 73049  # up to 2099-12-31
@@ -202,14 +204,15 @@ def _date_form(x: Column, day: Column) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text`` replaced, and ``n_pii`` (replaced values) and ``kinds`` (their kinds in order)."""
     t = F.col(text)
+    any_, hits, valid = (fresh(docs, c) for c in ("any", "hits", "valid"))
     cards = F.when(t.rlike(RUN), cards_of(t))
     any_of = F.coalesce(_once(cards, lambda c: F.when(F.size(c) > 0, F.concat(F.lit(ANY + "|"), either(c)))), F.lit(ANY))
-    found = F.when(t.rlike(MAYBE), F.transform(F.regexp_extract_all(t, F.col("_any"), F.lit(0)), lambda x: F.struct(kind_of(x).alias("kind"), x.alias("x"))))
-    hits = docs.withColumn("_any", any_of).withColumn("_hits", found).withColumn("_valid", F.filter(F.transform("_hits", lambda h: h["kind"]), lambda k: k.isNotNull()))
-    gaps = F.split(t, F.col("_any"), -1)
-    new = F.transform("_hits", lambda h: F.when(h["kind"].isNull(), h["x"]).otherwise(pseudonym(h["kind"], h["x"], key)))
+    found = F.when(t.rlike(MAYBE), F.transform(F.regexp_extract_all(t, F.col(any_), F.lit(0)), lambda x: F.struct(kind_of(x).alias("kind"), x.alias("x"))))
+    out = docs.withColumn(any_, any_of).withColumn(hits, found).withColumn(valid, F.filter(F.transform(hits, lambda h: h["kind"]), lambda k: k.isNotNull()))
+    gaps = F.split(t, F.col(any_), -1)
+    new = F.transform(hits, lambda h: F.when(h["kind"].isNull(), h["x"]).otherwise(pseudonym(h["kind"], h["x"], key)))
     joined = F.array_join(F.zip_with(gaps, new, lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
-    n = F.coalesce(F.size("_valid"), F.lit(0))
-    out = hits.withColumn("n_pii", F.when(F.col("_valid").isNull(), 0).otherwise(n).cast("long"))
-    out = out.withColumn("kinds", F.coalesce("_valid", F.array().cast("array<string>")))
-    return out.withColumn(text, F.when(F.col("n_pii") > 0, joined).otherwise(t)).drop("_any", "_hits", "_valid")
+    n = F.coalesce(F.size(valid), F.lit(0))
+    out = out.withColumn("n_pii", F.when(F.col(valid).isNull(), 0).otherwise(n).cast("long"))
+    out = out.withColumn("kinds", F.coalesce(valid, F.array().cast("array<string>")))
+    return out.withColumn(text, F.when(F.col("n_pii") > 0, joined).otherwise(t)).drop(any_, hits, valid)

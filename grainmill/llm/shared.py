@@ -48,10 +48,12 @@ def join_salted(big: DataFrame, small: DataFrame, keys: list[str], hot: DataFram
 
     All salts together are two thousand copies at most, whatever the size of the tables.
     """
-    salts = F.coalesce("_salts", F.lit(1))
-    left = big.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(F.lit("salt"), scatter), salts).cast("int")).drop("_salts")
-    right = small.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    both = big.select("*", *(F.lit(0).alias(c) for c in small.columns if c not in big.columns))
+    salt, many = fresh(both, "_salt"), fresh(both, "_salts")
+    hot, salts = hot.withColumnRenamed("_salts", many), F.coalesce(many, F.lit(1))
+    left = big.join(hot, keys, "left").withColumn(salt, F.pmod(F.xxhash64(F.lit("salt"), scatter), salts).cast("int")).drop(many)
+    right = small.join(hot, keys, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), salts - 1))).drop(many)
+    return left.join(right, [*keys, salt], how).drop(salt)
 
 
 def join_counted(big: DataFrame, small: DataFrame, key: str, scatter: Column) -> DataFrame:

@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -273,12 +274,12 @@ def anchor_status(texts: DataFrame, length: int) -> DataFrame:
                 u, first, c = np.unique(ah[order], return_index=True, return_counts=True)
                 low, high = sh[order][first], sh[order][first + c - 1]
                 owner = ((u >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-                cuts = np.searchsorted(owner, np.arange(parts + 1))
-                keep = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
-                span = [slice(cuts[p], cuts[p + 1]) for p in keep]
+                # only the parts that the portion has anchors of are looked at, however many there are
+                starts = np.flatnonzero(np.diff(owner, prepend=owner[0] + np.uint64(1) if len(owner) else 0))
+                span = [slice(a, b) for a, b in pairwise([*starts, len(u)])]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(keep, pa.int32()), pa.array([row["portion"]] * len(keep), pa.int64()), pa.array([int(cuts[p]) for p in keep], pa.int64()), pa.array([len(u)] * len(keep), pa.int64()),
+                        pa.array(owner[starts].astype(np.int32)), pa.array([row["portion"]] * len(starts), pa.int64()), pa.array(starts, pa.int64()), pa.array([len(u)] * len(starts), pa.int64()),
                         *(pa.array([x[s].tobytes() for s in span], pa.binary()) for x in (u, low, high, np.minimum(c, 2).astype(np.uint8))),
                     ],
                     ["part", "portion", "base", "total", "ah", "low", "high", "n"],
