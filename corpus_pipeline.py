@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all documents that the stage before kept. Stages but the last return the
 columns of ``documents``; ``n_chars`` follows the text.
+
+Cases: null, empty and blank texts pass quality by their site's posterior, lose no line, are near duplicates of nothing, hold no
+benchmark item and are packed as their end id alone; of repeated rows the first stays (near duplicates), others are told
+apart by row, never by ``doc_id``, which may be null; ties go to the smaller ``doc_id``; an empty table stays empty through all stages;
+further columns keep their values whatever their names, up to packing, which returns its own columns.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ from grainmill.llm.decontamination import decontaminate
 from grainmill.llm.line_dedup import dedup_lines
 from grainmill.llm.ngram_join import components
 from grainmill.llm.packing import pack
+from grainmill.llm.quality import RESULTS
 from grainmill.llm.queries import quality_scores, tokenizer_path
 from grainmill.llm.shared import fresh, materialize
 from grainmill.session import table
@@ -19,7 +25,9 @@ from grainmill.session import table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the hierarchical classifier rejects go."""
-    return quality_scores(docs, table(spark, sf_dir, "labels")).where("keep").select(docs.columns)
+    own = {c: fresh(docs, f"own_{c}") for c in docs.columns if c.lower() in RESULTS}
+    scored = quality_scores(docs.withColumnsRenamed(own), table(spark, sf_dir, "labels"))
+    return scored.where("keep").select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
