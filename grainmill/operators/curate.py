@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
-def validate(rules: list[tuple[str, Column, int | Column, bool]], passing: int = 60) -> tuple[Column, Column, Column]:
-    """Score, issues and verdict from penalty rules (name, broken?, penalty, hard?). A null test is not broken.
+def validate(rules: list[tuple[str | Column, Column, int | Column, bool]], passing: int = 60) -> tuple[Column, Column, Column]:
+    """Score, issues and verdict from penalty rules (name, broken?, penalty, hard?). A null test is not broken; a name may be a column.
 
     The score starts at 100 and stays in 0..100; an annotation passes from ``passing`` on unless a hard rule is broken.
     """
     broken = [(name, F.coalesce(test, F.lit(False)), points, hard) for name, test, points, hard in rules]
     lost = sum((F.when(t, points).otherwise(0) for _, t, points, _ in broken), F.lit(0))
     score = F.greatest(F.lit(0), F.least(F.lit(100), F.lit(100) - lost))
-    issues = F.array_compact(F.array(*(F.when(t, F.lit(name)) for name, t, _, _ in broken)))
+    issues = F.array_compact(F.array(*(F.when(t, F.lit(name) if isinstance(name, str) else name) for name, t, _, _ in broken)))
     hard = F.lit(False)
     for _, t, _, h in broken:
         if h:
@@ -21,6 +21,13 @@ def validate(rules: list[tuple[str, Column, int | Column, bool]], passing: int =
     return score, issues, (score >= passing) & ~hard
 
 
+def validate_result(present: Column, is_object: Column, rules: list[tuple[str | Column, Column, int | Column, bool]], passing: int = 60) -> tuple[Column, Column, Column]:
+    """:func:`validate` for an annotation that may be missing, or whose result may be no object: both score 0 and never pass."""
+    score, issues, passed = validate(rules, passing)
+    lost = F.when(~present, "missing_annotation").when(~is_object, "invalid_result")
+    return F.when(lost.isNotNull(), 0).otherwise(score), F.when(lost.isNotNull(), F.array(lost)).otherwise(issues), lost.isNull() & passed
+
+
 # fixed values: what an annotation must hold, its zones, shapes by class and words that guess at causes
 REQUIRED_FIELDS = ["caption_en", "caption_zh", "clock_direction", "continuity", "defect_type", "density", "radial_zone", "shape", "size_r", "uncertain"]
 ZONES = ["center", "middle", "edge", "full", "none"]
@@ -29,9 +36,15 @@ ZONES = ["center", "middle", "edge", "full", "none"]
 def annotation_rules(
     fields: Column, gold: Column, predicted: Column, zone: Column, measured_zone: Column, shape: Column, clock: Column, measured_clock: Column, size: Column, captions: Column, uncertain: Column,
     shapes: dict[str, list[str]], causes: list[str], full: str = "Near_full", nothing: str = "none",
-) -> list[tuple[str, Column, int | Column, bool]]:
-    """The rules of a present annotation, for :func:`validate`. ``fields``: names of the fields that it has."""
-    gone = F.size(F.array_except(F.array(*map(F.lit, REQUIRED_FIELDS)), fields))
+) -> list[tuple[str | Column, Column, int | Column, bool]]:
+    """The rules of a present annotation, for :func:`validate`. ``fields``: names of the fields that it has.
+
+    Issues carry what they are about: the fields that are missing, and what was said against what was measured.
+    """
+    absent = F.array_sort(F.array_except(F.array(*map(F.lit, REQUIRED_FIELDS)), fields))
+    gone = F.size(absent)
+    told = lambda name, *parts: F.concat(F.lit(f"{name}:"), *(F.coalesce(p.cast("string"), F.lit("None")) for p in parts))
+    unlike = F.lit("!=")
     wanted = F.when(gold == nothing, "none").otherwise(measured_zone)
     known = F.coalesce(zone.isin(ZONES), F.lit(False))
     right = (zone == wanted) | ((gold == full) & (zone == "full"))
@@ -45,12 +58,12 @@ def annotation_rules(
     for word in causes:
         cause = cause | F.lower(captions).contains(word.lower())
     return [
-        ("missing_fields", gone > 0, F.least(F.lit(40), 5 * gone), True),
-        ("type_mismatch", ~predicted.eqNullSafe(gold), 50, True),
+        (told("missing_fields", F.array_join(absent, ",")), gone > 0, F.least(F.lit(40), 5 * gone), True),
+        (told("type_mismatch", predicted, unlike, gold), ~predicted.eqNullSafe(gold), 50, True),
         ("invalid_radial_zone", ~known, 20, False),
-        ("radial_mismatch", known & wanted.isNotNull() & ~right, 15, False),
-        ("shape_suspicious", ~fits, 15, False),
-        ("clock_mismatch", asked & (away > 1), 15, False),
+        (told("radial_mismatch", zone, unlike, wanted), known & wanted.isNotNull() & ~right, 15, False),
+        (told("shape_suspicious", shape), ~fits, 15, False),
+        (told("clock_mismatch", clock, unlike, measured_clock), asked & (away > 1), 15, False),
         ("invalid_clock", asked & hour.isNull(), 15, False),
         ("invalid_size_r", size.isNotNull() & ~F.coalesce(radius.between(0, 2.5), F.lit(False)), 15, False),
         ("empty_caption", F.coalesce(F.trim(captions), F.lit("")) == "", 35, False),

@@ -44,7 +44,7 @@ def _pick_sql(values: list, i: str) -> str:
 
 _ANN = f"""ann as (select event_id id, event_type gold, case when event_id % 11 < 8 then event_type else {_pick_sql(_KINDS, 'event_id % 5')} end predicted, {_pick_sql(_ZONE, 'event_id % 6')} zone,
  case when event_type = 'error' then 'none' when value < 20 then 'center' when value < 60 then 'middle' else 'edge' end measured, {_pick_sql(_SHAPE, 'event_id % 5')} shape, {_pick_sql(_CLOCK, 'event_id % 7')} clock,
- case when event_id % 3 > 0 then cast(hour(ts) % 12 + 1 as integer) end want, {_pick_sql(_SIZE, 'event_id // 5 % 5')} size, {_pick_sql(_TEXT, 'event_id // 3 % 5')} captions, event_id % 17 = 0 unsure, case when event_id % 19 = 0 then event_id % 10 else 0 end gone, event_id % 23 = 0 absent from events)"""
+ case when event_id % 3 > 0 then cast(hour(ts) % 12 + 1 as integer) end want, {_pick_sql(_SIZE, 'event_id // 5 % 5')} size, {_pick_sql(_TEXT, 'event_id // 3 % 5')} captions, event_id % 17 = 0 unsure, case when event_id % 19 = 0 then event_id % 10 else 0 end gone, event_id % 23 = 0 absent, event_id % 29 = 0 odd from events)"""
 _FITS = " or ".join(f"(gold = '{k}' and coalesce(shape in ({', '.join(map(repr, v))}), false))" for k, v in SHAPES.items())
 _AWAY = "least(((try_cast(clock as integer) - want) % 12 + 12) % 12, ((want - try_cast(clock as integer)) % 12 + 12) % 12)"
 _RULES = [
@@ -61,12 +61,19 @@ _RULES = [
     ("teacher_uncertain", "unsure", "20"),
 ]
 _LOST = " + ".join(f"case when {t} then {p} else 0 end" for _, t, p in _RULES)
-_ISSUES = ", ".join(f"case when {t} then '{n}' end" for n, t, _ in _RULES)
+_DETAILS = {
+    "missing_fields": f"':' || array_to_string(list_slice([{', '.join(map(repr, C.REQUIRED_FIELDS))}], 1, gone), ',')",
+    "type_mismatch": "':' || coalesce(predicted, 'None') || '!=' || gold",
+    "radial_mismatch": "':' || zone || '!=' || measured",
+    "shape_suspicious": "':' || coalesce(shape, 'None')",
+    "clock_mismatch": "':' || clock || '!=' || want",
+}
+_ISSUES = ", ".join(f"case when {t} then '{n}' || {_DETAILS.get(n, repr(''))} end" for n, t, _ in _RULES)
 
 
 @query(
     "validate_annotation",
-    f"with {_ANN}, v as (select *, case when absent then 0 else greatest(0, least(100, 100 - ({_LOST}))) end score, case when absent then 'missing_annotation' else concat_ws(',', {_ISSUES}) end issues from ann) select id, score, issues, not absent and score >= 60 and gone = 0 and predicted is not distinct from gold passed from v",
+    f"with {_ANN}, v as (select *, case when absent or odd then 0 else greatest(0, least(100, 100 - ({_LOST}))) end score, case when absent then 'missing_annotation' when odd then 'invalid_result' else concat_ws(';', {_ISSUES}) end issues from ann) select id, score, issues, not absent and not odd and score >= 60 and gone = 0 and predicted is not distinct from gold passed from v",
 )
 def validate_annotation(spark, sf):
     """All rules of a structured annotation: missing, incomplete, wrong class, zone, shape, clock, size, captions, causes, doubt."""
@@ -79,11 +86,8 @@ def validate_annotation(spark, sf):
         fields, gold, predicted, _pick(_ZONE, i % 6), measured, _pick(_SHAPE, i % 5), _pick(_CLOCK, i % 7), F.when(i % 3 > 0, F.hour("ts") % 12 + 1).cast("int"), _pick(_SIZE, F.floor(i / 5) % 5), _pick(_TEXT, F.floor(i / 3) % 5), i % 17 == 0,
         SHAPES, CAUSES, full="purchase", nothing="error",
     )
-    score, issues, passed = C.validate(rules)
-    absent = i % 23 == 0
-    return table(spark, sf, "events").select(
-        i.alias("id"), F.when(absent, 0).otherwise(score).cast("long").alias("score"), F.when(absent, "missing_annotation").otherwise(F.array_join(issues, ",")).alias("issues"), (~absent & passed).alias("passed")
-    )
+    score, issues, passed = C.validate_result(i % 23 != 0, i % 29 != 0, rules)
+    return table(spark, sf, "events").select(i.alias("id"), score.cast("long").alias("score"), F.array_join(issues, ";").alias("issues"), passed.alias("passed"))
 
 
 #: the scorers of a report: task, query, the column that names its rows, metric columns
