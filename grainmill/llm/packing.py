@@ -49,8 +49,7 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        added = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(sorted(added, key=len, reverse=True)) or "(?!)", re.IGNORECASE)
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         kind = self.whole.pre_tokenizer
         self.by_chunk = isinstance(kind, pre_tokenizers.ByteLevel) and not kind.add_prefix_space and self.whole.normalizer is None
         self.line_end = self._encode(["\n"])[0]
@@ -63,7 +62,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of every text."""
-        parted = [self.CHUNK.findall(t) if self.by_chunk and not self.OTHER_SPACE.search(t) and not self.added.search(t) else None for t in texts]
+        parted = [self.CHUNK.findall(t) if self.by_chunk and not self.OTHER_SPACE.search(t) and not any(a in t for a in self.added) else None for t in texts]
         if len(self.known) > self.most:
             self.known.clear()
         # the chunks of a block of texts are always at hand; those of earlier ones may be forgotten, which keeps a worker small
