@@ -34,14 +34,14 @@ class Encoder:
     """Ids of whole texts by ``tokenizers``, just as it gives them.
 
     A byte-level tokenizer splits texts before it merges, and no split part goes on past a space that follows something else,
-    nor from a letter or digit to a mark like a full stop. So a text is cut there, each distinct chunk is encoded by ``tokenizers`` once, and its ids are looked up from then on. New
+    nor from a letter or digit of ASCII to one of its marks. So a text is cut there, each distinct chunk is encoded by ``tokenizers`` once, and its ids are looked up from then on. New
     chunks are encoded together, a line each: a line end between two of them is a token of its own.
     Texts with other white space than ASCII's or with one of the tokenizer's added tokens, and other kinds of tokenizers, are
     encoded whole.
     """
 
     #: a plain word before closing marks, any other word with its marks (or the marks), white space as the tokenizer splits it
-    CHUNK = re.compile(r" ?[A-Za-z0-9]++(?=[.,;:!?]++(?![^ \t\n\r\f\v]))| ?[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])|[ \t\n\r\f\v]+")
+    CHUNK = re.compile(r" ?[A-Za-z0-9]++(?=[!-/:-@\[-`{-~]++(?![^ \t\n\r\f\v]))| ?[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])|[ \t\n\r\f\v]+")
     OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
 
     def __init__(self, path: str, most: int = 300_000):
@@ -55,6 +55,7 @@ class Encoder:
         self.line_end = self._encode(["\n"])[0]
         self.by_chunk = self.by_chunk and len(self.line_end) == 1
         self.known: dict[str, bytes] = {}  # ids as bytes, which are small and join fast
+        self.older: dict[str, bytes] = {}  # chunks known before the last change; those met again go back to ``known``
         self.most = most
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
@@ -63,10 +64,13 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of every text."""
         parted = [self.CHUNK.findall(t) if self.by_chunk and not self.OTHER_SPACE.search(t) and not any(a in t for a in self.added) else None for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        # the chunks of a block of texts are always at hand; those of earlier ones may be forgotten, which keeps a worker small
-        self._learn({c for chunks in parted if chunks is not None for c in chunks if c not in self.known})
+        if 2 * len(self.known) > self.most:
+            self.known, self.older = {}, self.known
+        # the chunks of a block of texts are always at hand; those not met for long are forgotten, which keeps a worker small
+        new = {c for chunks in parted if chunks is not None for c in chunks if c not in self.known}
+        met = new & self.older.keys()
+        self.known.update((c, self.older[c]) for c in met)
+        self._learn(new - met)
         find = self.known.__getitem__
         return [np.array(self._encode([t])[0], "<u4") if c is None else np.frombuffer(b"".join(map(find, c)), "<u4") for t, c in zip(texts, parted, strict=True)]
 
@@ -191,13 +195,18 @@ def difference(sizes: np.ndarray, k: int) -> np.ndarray:
 
 
 def pack_sizes(sizes: np.ndarray, window: int) -> np.ndarray:
-    """The window of every size: as few windows as hold all, one more whenever a window would exceed its capacity."""
+    """The window of every size, their number rising whenever a window would exceed its capacity.
+
+    The fullest window is a nearly constant multiple of the mean, so the number that would fit follows from it; what
+    is missing is added at a time, at least one window.
+    """
     k = max(1, -(-int(sizes.sum()) // window))
     while True:
         part = difference(sizes, k)
-        if np.bincount(part, weights=sizes, minlength=k).max(initial=0) <= window:
+        most = int(np.bincount(part, weights=sizes, minlength=k).max(initial=0))
+        if most <= window:
             return part
-        k += 1
+        k += max(1, k * most // window - k)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, piece: int = 256, block_tokens: int = 262_144, end_id: int = 0, with_ids: bool = False) -> DataFrame:

@@ -19,6 +19,8 @@ def test_same_ids_as_the_tokenizer():
     assert 50256 in plain.encode(TEXTS[4], add_special_tokens=False).ids
     letters = " \n\t'sdtrevml09.,!\x1c\x85\xa0\u2003\u3000é日\U0001f600\u0300\u200b\ufeff"
     texts = [t or "" for t in TEXTS] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(8000)]
+    marks = [*"&%#'\"-_/(", " ", "é", "don't", "I'll've", "Ab9", "7th", "x", "..."]
+    texts += ["".join(rng.choices(marks, k=rng.randint(0, 12))) for _ in range(8000)]
     for i in range(0, len(texts), 500):
         got = e.encode(texts[i : i + 500])
         assert [x.tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts[i : i + 500]]
