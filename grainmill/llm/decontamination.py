@@ -11,8 +11,8 @@ of the other blocks are scored exactly, and all that reach the threshold are ret
 with 5-word shingles: the shares of its question (all but its last sentence) and of its answer (the last sentence) that the
 passage holds must both reach ``overlap``, or that of the whole item must.
 
-Term frequencies are counted by Spark over all items. The index is cut into shards of at most ``shard_bytes`` of item text,
-which bounds what is broadcast; documents are read where they are and never shuffled.
+Term frequencies are counted by Spark over all items. The index is cut into shards of about ``shard_bytes`` of item text, which
+tasks build; shards are broadcast together up to ``broadcast_bytes`` of index. Documents are read where they are and never shuffled.
 
 Cases: null and empty texts have no passages; items without words are ignored; repeated items are all reported; very long
 texts are scanned whole, in bounded blocks of rows; no items or no documents give no hits; further columns are kept.
@@ -20,8 +20,8 @@ texts are scanned whole, in bounded blocks of rows; no items or no documents giv
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -33,6 +33,7 @@ from grainmill.llm.shared import fresh, materialize, revive
 
 K1, B = 1.2, 0.75
 BLOCK = 8
+WORD_BYTES = 40
 ITEM_SCHEMA = "item_row long, item_id long, words int, sizes array<int>, terms array<bigint>, tf array<int>, q array<bigint>, a array<bigint>, w array<bigint>"
 HIT = "array<struct<item_id:bigint,passage:int,score:double,question:double,answer:double,whole:double>>"
 _WORD = np.full(256, 32, np.uint8)
@@ -182,56 +183,78 @@ class Band:
         return out
 
 
-def build(items: DataFrame, threshold: float, slack: float, shard_bytes: int) -> tuple[int, Callable[[int], list[Band]]]:
-    """The number of shards of the index, and a function that builds one of them: a list of bands."""
-    terms = materialize(item_terms(items), "items")
-    stats = terms.agg(F.count(F.lit(1)), F.avg("words"), F.sum("words")).first()
-    if not stats[0]:
-        return 0, lambda _: []
-    n_shards = int(-(-stats[2] * 40 // shard_bytes))
-    df = materialize(terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term_df")
-
-    def shard(k: int) -> list[Band]:
-        part = terms.where(F.pmod(F.xxhash64("item_row"), F.lit(n_shards)) == k)
-        counts = {r["term"]: r["df"] for r in part.select(F.explode("terms").alias("term")).distinct().join(df, "term").collect()}
-        bands: dict[int, list] = {}
-        for r in part.collect():
-            bands.setdefault(int(np.ceil(np.log2(max(r["words"], 32)))), []).append(r)
-        return [Band(rows, 1 << band, counts, stats[0], stats[1], threshold, slack) for band, rows in sorted(bands.items())]
-
-    return n_shards, shard
+def build(items: DataFrame, threshold: float, slack: float, shard_bytes: int) -> DataFrame | None:
+    """The index: shard and pickled attributes of a band, one row a band of a shard; None without items.
 
-
-def with_hits(docs: DataFrame, items: DataFrame, threshold: float = 0.5, slack: float = 0.3, overlap: float = 0.8, shard_bytes: int = 16 << 20) -> DataFrame:
+    Tasks build it, a group of at most about ``shard_bytes`` of item text each, with the document frequencies of its own terms beside it.
+    """
+    terms = materialize(item_terms(items), "items")
+    n_items, mean_words, n_words = terms.agg(F.count(F.lit(1)), F.avg("words"), F.sum("words")).first()
+    if not n_items:
+        return None
+    n_shards = int(-(-n_words * WORD_BYTES // shard_bytes))
+    band = F.ceil(F.log2(F.greatest("words", F.lit(32)))).cast("int")
+    dealt = terms.withColumns({"shard": F.pmod(F.xxhash64("item_row"), F.lit(n_shards)).cast("int"), "band": band})
+    each = terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    own = dealt.select("shard", "band", F.explode("terms").alias("term")).distinct().join(each, "term").select(F.col("shard").alias("own_shard"), F.col("band").alias("own_band"), "term", "df")
+
+    def index(rows: pa.Table, counts: pa.Table) -> pa.Table:
+        df = dict(zip(counts["term"].to_pylist(), counts["df"].to_pylist(), strict=True))
+        shard, power = rows["shard"][0].as_py(), rows["band"][0].as_py()
+        state = vars(Band(rows.to_pylist(), 1 << power, df, n_items, mean_words, threshold, slack))
+        return pa.table({"shard": pa.array([shard], pa.int32()), "state": pa.array([pickle.dumps(state)], pa.binary())})
+
+    return materialize(dealt.groupBy("shard", "band").cogroup(own.groupBy("own_shard", "own_band")).applyInArrow(index, "shard int, state binary"), "index")
+
+
+def rounds(index: DataFrame, most: int) -> list[list[int]]:
+    """Shards that are searched together: as many as stay within ``most`` bytes of index, at least one."""
+    out, size = [], 0
+    for shard, n in index.groupBy("shard").agg(F.sum(F.octet_length("state"))).orderBy("shard").collect():  # two numbers a shard
+        if not out or size + n > most:
+            out.append([])
+            size = 0
+        out[-1].append(shard)
+        size += n
+    return out
+
+
+def with_hits(docs: DataFrame, items: DataFrame, threshold: float = 0.5, slack: float = 0.3, overlap: float = 0.8, shard_bytes: int = 16 << 20, broadcast_bytes: int = 128 << 20) -> DataFrame:
     """``docs`` with ``hits``: the test items that it holds, with their passage, BM25 score and overlaps.
 
-    The driver holds one shard at a time. Where there are several, each one's hits are written before the next is built.
+    The documents are read once for every ``broadcast_bytes`` of index. Where that is more than once, the hits of a round are written before
+    the next is sent, and the driver passes on the bytes of one round at a time.
     """
     spark = docs.sparkSession
     docs = docs.drop("hits")
-    n_shards, shard = build(items, threshold, slack, shard_bytes)
-    if n_shards <= 1:
-        found = searcher(spark.sparkContext.broadcast([vars(band) for band in shard(0)]), threshold, overlap)("text") if n_shards else F.array().cast(HIT)
-        return docs.withColumn("hits", found)
+    index = build(items, threshold, slack, shard_bytes)
+    if index is None:
+        return docs.withColumn("hits", F.array().cast(HIT))
+    together = rounds(index, broadcast_bytes)
+    sent = lambda shards: spark.sparkContext.broadcast([bytes(r["state"]) for r in index.where(F.col("shard").isin(shards)).collect()])
+    if len(together) == 1:
+        return docs.withColumn("hits", searcher(sent(together[0]), threshold, overlap)("text"))
     row = fresh(docs, "row_id")
     docs = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     parts = []
-    for k in range(n_shards):
-        index = spark.sparkContext.broadcast([vars(band) for band in shard(k)])
-        parts.append(materialize(docs.select(row, searcher(index, threshold, overlap)("text").alias("hits")).where(F.size("hits") > 0), "hits"))
-        index.destroy()
+    for shards in together:
+        states = sent(shards)
+        parts.append(materialize(docs.select(row, searcher(states, threshold, overlap)("text").alias("hits")).where(F.size("hits") > 0), "hits"))
+        states.destroy()
     each = reduce(DataFrame.unionByName, parts)
-    merged = each.groupBy(row).agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))  # at most one list a shard
+    merged = each.groupBy(row).agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))  # at most one list a round
     return docs.join(merged, row, "left").withColumn("hits", F.coalesce("hits", F.array().cast(HIT))).drop(row)
 
 
 def searcher(shared, threshold: float, overlap: float):
-    """A column function from texts to their verified hits in one shard of the index."""
+    """A column function from texts to their verified hits in the bands whose pickled attributes are broadcast."""
+    bands: list[Band] = []  # filled once a task
 
     @F.arrow_udf(HIT)
     def search(text: pa.Array) -> pa.Array:
         found: list[list] = [[] for _ in range(len(text))]
-        bands = [revive(Band, state) for state in shared.value]
+        if not bands:
+            bands.extend(revive(Band, pickle.loads(state)) for state in shared.value)
         data, offsets = raw(text)
         for i, j in blocks(offsets, 1 << 19):
             h, row, _, _ = word_hashes(_WORD[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i])

@@ -4,7 +4,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from grainmill.llm.decontamination import K1, B, decontaminate, split_item, with_hits
+from grainmill.llm.decontamination import K1, B, build, decontaminate, rounds, split_item, with_hits
 
 
 def words(t):
@@ -64,8 +64,8 @@ def test_matches_brute_force(spark):
     docs += [(200, None), (201, ""), (202, "One, TWO!"), (203, items[3][1]), (203, items[3][1])]
     df = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, score string")
     it = spark.createDataFrame(items, "item_id long, text string")
-    for shard in (64 << 20, 20_000):
-        got = {(r["doc_id"], h["passage"], h["item_id"]) for r in with_hits(df, it, shard_bytes=shard).collect() for h in r["hits"]}
+    for sizes in ({}, {"shard_bytes": 20_000}, {"shard_bytes": 20_000, "broadcast_bytes": 40_000}):
+        got = {(r["doc_id"], h["passage"], h["item_id"]) for r in with_hits(df, it, **sizes).collect() for h in r["hits"]}
         assert got == brute(docs, items)
     assert with_hits(df.limit(0), it).collect() == []
     assert all(r["hits"] == [] for r in with_hits(df, it.limit(0)).collect())
@@ -75,7 +75,17 @@ def test_many_shards_find_the_same_and_columns_stay(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").withColumn("row_id", F.col("doc_id") * 2)
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     found = lambda **k: sorted((r["doc_id"], r["row_id"], sorted(h["item_id"] for h in r["hits"])) for r in with_hits(docs, items, **k).collect())
-    one, many = found(), found(shard_bytes=20_000)
+    one, many = found(), found(shard_bytes=20_000, broadcast_bytes=100_000)
     assert one == many and any(h for _, _, h in one)
     kept = decontaminate(docs.withColumn("hits", F.lit(7)), items)
     assert kept.columns == ["doc_id", "text", "row_id", "hits"] and {r["hits"] for r in kept.collect()} == {7}
+
+
+def test_rounds_hold_every_shard_once_within_their_bytes(spark):
+    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    index = build(items, 0.5, 0.3, 20_000)
+    sizes = {r[0]: r[1] for r in index.groupBy("shard").agg(F.sum(F.octet_length("state"))).collect()}
+    got = rounds(index, 100_000)
+    assert sorted(x for part in got for x in part) == sorted(sizes) and 1 < len(got) < len(sizes)
+    assert all(len(part) == 1 or sum(sizes[x] for x in part) <= 100_000 for part in got)
+    assert rounds(index, 1) == [[x] for x in sorted(sizes)]
