@@ -14,14 +14,13 @@ from grainmill.plans.tables import MANIFEST, manifest
 from grainmill.session import shared_dir, table
 from grainmill.sources import files
 
-ANSWERS = {"edgeloc": "Edge_Loc", "Edge-Ring": "Edge_Ring", " near full ": "Near_full", "NORMAL": "none", "Particle": "INVALID", "": "INVALID", "['Donut']": "Donut", "nan": "INVALID", "scratch\n": "Scratch"}
+PARTS = ["Hot-Widget", "cold_gear", "BlueRod", "Small-Plate", "Old_Ring", "large"]
 
 
-@query("predicted_label", "select o_orderkey id, case o_orderkey % 10 " + " ".join(f"when {i} then '{v}'" for i, v in enumerate(ANSWERS.values())) + " else 'INVALID' end label from orders")
+@query("predicted_label", "select p_partkey id, case replace(p_name, ' ', '') " + " ".join(f"when '{v.lower().translate(str.maketrans('', '', ' _-'))}' then '{v}'" for v in PARTS) + " else 'INVALID' end label from part")
 def predicted_label(spark, sf):
-    """Answers in all spellings, off the vocabulary, unlabelled and missing."""
-    text = F.get(F.array(*map(F.lit, ANSWERS)), (F.col("o_orderkey") % 10).cast("int"))
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), S.predicted_label(text).alias("label"))
+    """Names of parts as answers: a name of the vocabulary, spelt in another way there, or none of it."""
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), S.predicted_label(F.col("p_name"), PARTS).alias("label"))
 
 
 SHAPES = {"click": ["ring", "arc"], "view": ["cluster"], "purchase": ["line", "arc"], "signup": ["cluster", "scattered"]}
@@ -123,11 +122,15 @@ def evaluate(spark, sf):
     return out
 
 
-@query("finished_runs", "select o_orderkey tag from orders where o_orderstatus = 'F' and cast(round(o_totalprice) as bigint) % 4 = o_orderkey % 4")
+@query(
+    "finished_runs",
+    "select o_orderkey tag from orders join (select l_orderkey, count(*) n, max(l_linenumber) asked from lineitem group by 1) on l_orderkey = o_orderkey where o_orderstatus = 'F' and n = asked",
+)
 def finished_runs(spark, sf):
-    """Runs that say completed and logged as many steps as were asked for."""
+    """Orders as runs: completed ones that logged as many lines as their highest line number asks for."""
+    logged = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("tag")).agg(F.count(F.lit(1)).alias("steps_logged"), F.max("l_linenumber").alias("max_steps"))
     outcome = F.when(F.col("o_orderstatus") == "F", "completed").otherwise("stopped")
-    runs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("tag"), outcome.alias("outcome"), (F.round("o_totalprice", 0).cast("long") % 4).alias("steps_logged"), (F.col("o_orderkey") % 4).alias("max_steps"))
+    runs = table(spark, sf, "orders").select(F.col("o_orderkey").alias("tag"), outcome.alias("outcome")).join(logged, "tag")
     return C.finished(runs).select("tag")
 
 
@@ -146,12 +149,17 @@ def stable_order(spark, sf):
 
 @query(
     "markdown_cells",
-    "select s_suppkey, unnest(['metric', 'GSPO (G=4, lr5e-5)', case when s_suppkey % 2 = 0 then 'GRPO(G=8) lr1e-5' else 'SFT' end]) cell, unnest([null, 'GSPO|4|5e-5', case when s_suppkey % 2 = 0 then 'GRPO|8|1e-5' end]) run from supplier",
+    r"""with l as (select 'd' || doc_id k, unnest(string_split(text, chr(10))) line from documents where text is not null union all select 's' || s_suppkey, '| metric | GSPO (G=' || s_nationkey || ', lr5e-5) | ' || s_name || '(G=8) lr1e-5 |' from supplier),
+c as (select k, unnest(list_transform(string_split(regexp_replace(regexp_replace(line, '^\s+|\s+$', '', 'g'), '^\|+|\|+$', '', 'g'), '|'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g'))) cell from l where contains(line, '|'))
+select k, cell, case when starts_with(cell, 'GSPO (') then 'GSPO|' || regexp_extract(cell, 'G=(\d+)', 1) || '|5e-5' end run from c""",
 )
 def markdown_cells(spark, sf):
-    """Cells of a table head and the runs that they name, in either way of writing them."""
-    line = F.concat(F.lit("  | metric | GSPO (G=4, lr5e-5) |  "), F.when(F.col("s_suppkey") % 2 == 0, "GRPO(G=8) lr1e-5").otherwise("SFT"), F.lit("|\n"))
-    return table(spark, sf, "supplier").select("s_suppkey", F.explode(S.table_cells(line)).alias("cell")).withColumn("run", S.run_key(F.col("cell")))
+    """Cells of every line with bars in the documents, and of table heads whose names say which run they are or do not."""
+    docs = table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("k"), F.explode(F.split("text", "\n")).alias("line"))
+    head = F.concat(F.lit("| metric | GSPO (G="), F.col("s_nationkey").cast("string"), F.lit(", lr5e-5) | "), "s_name", F.lit("(G=8) lr1e-5 |"))
+    heads = table(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("k"), head.alias("line"))
+    lines = docs.unionByName(heads).where(F.contains("line", F.lit("|")))
+    return lines.select("k", F.explode(S.table_cells(F.col("line"))).alias("cell")).withColumn("run", S.run_key(F.col("cell")))
 
 
 @query("retried_calls", "select event_id id, case when event_id % 5 < 3 then 'ok' else 'error' end status, least(3, event_id % 5 + 1) attempt, case when event_id % 5 = 0 then 0 when event_id % 5 = 1 then 1 else 3 end waited, case when event_id % 5 >= 3 then 'ValueError: not yet' end error from events")
@@ -187,12 +195,12 @@ def png_dimensions(spark, sf):
     return table(spark, sf, "part").select("p_partkey", "p_size", head.alias("head")).select("p_partkey", width.alias("width"), height.alias("height"))
 
 
-@query("report_glob", "select 'run-' || r_regionkey tag, r_name label from region")
+@query("report_glob", "select 'run-' || c_nationkey tag, count(*) customers, round(max(c_acctbal), 2) best from customer group by c_nationkey")
 def report_glob(spark, sf):
-    """JSON reports below a folder, found by their suffix, one row a report with its tag."""
+    """A JSON report a nation below a folder, found by suffix and read back with its tag."""
     root = f"{shared_dir(spark).rstrip('/')}/reports-{uuid.uuid4().hex}"
-    one = table(spark, sf, "region").select(F.concat(F.lit("run-"), F.col("r_regionkey").cast("string")).alias("tag"), F.to_json(F.struct("r_name")).alias("value"))
-    one.write.partitionBy("tag").text(root)
+    made = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("customers"), F.round(F.max("c_acctbal"), 2).alias("best"))
+    made.select(F.concat(F.lit("run-"), F.col("c_nationkey").cast("string")).alias("tag"), F.to_json(F.struct("customers", "best")).alias("value")).write.partitionBy("tag").text(root)
     found = files.read_reports(spark, f"{root}/*/part-*", ".txt")
-    tag = F.regexp_extract("path", r"tag=([^/]+)/", 1)
-    return found.select(tag.alias("tag"), F.get_json_object(F.trim("json"), "$.r_name").alias("label"))
+    report = F.from_json(F.trim("json"), "customers long, best double")
+    return found.select(F.regexp_extract("path", r"tag=([^/]+)/", 1).alias("tag"), report.alias("r")).select("tag", "r.customers", "r.best")

@@ -205,12 +205,14 @@ def regex_tokens(spark, sf):
     return docs.unionByName(lines).select("k", F.explode(S.decimal_tokens(F.col("text"))).alias("token"))
 
 
-@query("tag_parse", "select s_suppkey, s_suppkey % 5 g, s_suppkey % 3 + 1 m from supplier")
+TAGS = {"section": r"^https?://[^/]+/([a-z]{2})/", "page": r"^https?://[^/]+/[a-z]{2}/(\d+)", "source": r"[?&]utm_source=(\w+)"}
+
+
+@query("tag_parse", "select page_id, " + ", ".join(f"{'try_cast(' if n == 'page' else ''}nullif(regexp_extract(url, '{p}', 1), ''){' as bigint)' if n == 'page' else ''} {n}" for n, p in TAGS.items()) + " from pages")
 def tag_parse(spark, sf):
-    """G and learning-rate parts of a run tag."""
-    tag = F.concat(F.lit("run_G"), (F.col("s_suppkey") % 5).cast("string"), F.lit("_lr"), (F.col("s_suppkey") % 3 + 1).cast("string"), F.lit("e5"))
-    t = table(spark, sf, "supplier").select("s_suppkey", tag.alias("tag"))
-    return t.select("s_suppkey", F.regexp_extract("tag", r"G(\d+)", 1).cast("long").alias("g"), F.regexp_extract("tag", r"lr(\d+)e5", 1).cast("long").alias("m"))
+    """Named parts of a tag, here of an address: its section, its number and its source; null where a part is missing."""
+    found = {n: F.nullif(F.regexp_extract("url", p, 1), F.lit("")) for n, p in TAGS.items()}
+    return table(spark, sf, "pages").select("page_id", *((c.cast("long") if n == "page" else c).alias(n) for n, c in found.items()))
 
 
 @query("redact", "select event_id, replace(props, '\"k\"', '\"***\"') props from events")
