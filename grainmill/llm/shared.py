@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
-import inspect
 import uuid
-from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from grainmill.session import shared_dir as work_dir
@@ -32,33 +27,6 @@ def discard(*stored: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def release() -> None:
-    """Gives the memory that this process no longer uses back to the machine."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
-    if trim is not None:
-        trim(0)
-
-
-def tidy(task: Callable) -> Callable:
-    """A function of batches, or of one group, that calls ``release`` when it ends: Python workers live on through later stages."""
-
-    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from task(batches)
-        finally:
-            release()
-
-    def of_group(group: pa.Table) -> pa.Table:
-        try:
-            return task(group)
-        finally:
-            release()
-
-    return of_batches if inspect.isgeneratorfunction(task) else of_group
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with as many underscores behind it as make it differ from every column of ``df``, upper or lower case."""
     taken = {c.lower() for c in df.columns}
