@@ -109,25 +109,26 @@ def profile(docs: DataFrame, k: int, threshold: int) -> DataFrame:
     def add(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         tokens = [unplanes(r["tokens"], np.uint64) for r in rows]
-        size = np.array([len(t) for t in tokens])
-        owner = np.repeat(np.arange(len(rows)), size)
-        at = np.concatenate([r["base"] + np.arange(n) for r, n in zip(rows, size, strict=True)])
-        counts = np.concatenate([unplanes(r["counts"], np.uint32) for r in rows]).astype(np.int64)
+        ends = np.cumsum([0] + [len(t) for t in tokens])
         tokens = np.concatenate(tokens)
+        counts = np.concatenate([unplanes(r["counts"], np.uint32) for r in rows])
         order = np.argsort(tokens, kind="stable")
-        tokens, owner, at, counts = tokens[order], owner[order], at[order], counts[order]
-        new = np.concatenate([[True], tokens[1:] != tokens[:-1]])
-        freq = np.add.reduceat(counts, np.flatnonzero(new))[np.cumsum(new) - 1]
-        keep = freq > 1
-        tokens, owner, at, freq = tokens[keep], owner[keep], at[keep], freq[keep]
-        order = np.argsort(owner, kind="stable")
-        tokens, owner, at, freq = tokens[order], owner[order], at[order], freq[order]
-        cuts = np.searchsorted(owner, np.arange(len(rows) + 1))
+        # most shingles occur once and go before anything else is laid out for them
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(tokens[order]) != 0]))
+        copies = np.diff(starts, append=len(order))
+        freq = np.add.reduceat(counts[order], starts, dtype=np.int64)
+        more = freq > 1
+        order, freq = order[np.repeat(more, copies)], np.repeat(freq[more], copies[more])
+        # back to the order of the rows, in each of which shingles ascend
+        back = np.argsort(order)
+        order, freq = order[back], freq[back]
+        tokens = tokens[order]
+        cuts = np.searchsorted(order, ends)
         span = [slice(cuts[i], cuts[i + 1]) for i in range(len(rows))]
         return pa.table(
             [
                 pa.array([r["batch"] for r in rows], pa.int64()), pa.array([0] * len(rows), pa.int32()), pa.array([r["total"] for r in rows], pa.int64()),
-                pa.array([planes(at[s].astype(np.uint32)) for s in span], pa.binary()), pa.array([planes(tokens[s]) for s in span], pa.binary()),
+                pa.array([planes((order[s] - e + r["base"]).astype(np.uint32)) for r, s, e in zip(rows, span, ends[:-1], strict=True)], pa.binary()), pa.array([planes(tokens[s]) for s in span], pa.binary()),
                 pa.array([planes(np.minimum(freq[s], 2**32 - 1).astype(np.uint32)) for s in span], pa.binary()), pa.array([None] * len(rows), pa.binary()),
             ],
             names=["batch", "kind", "total", "at", "tokens", "freq", "docs"],
