@@ -31,6 +31,22 @@ def regrade(golds: DataFrame, answers: DataFrame, definitions: list[str], accept
     return scored.select("run", "definition", "hits", "n", "accuracy", "floor", (F.col("accuracy") > F.col("floor")).alias("beats_floor"))
 
 
+def in_order(points: Column, value: Callable[[Column], Column]) -> Column:
+    """Struct mean and sd (population) of a value of an array's points, added up in the array's order as an aggregate adds up rows.
+
+    Means that lie on the bound of a zone fall to the side that the last bit of the sum says, so the order of addition is part of the
+    result and must not follow from partitions.
+    """
+    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("square"))
+
+    def add(s: Column, p: Column) -> Column:
+        off = value(p) - s["mean"]
+        mean = s["mean"] + off / (s["n"] + 1)
+        return F.struct((s["n"] + 1).alias("n"), (s["sum"] + value(p)).alias("sum"), mean.alias("mean"), (s["square"] + off * (value(p) - mean)).alias("square"))
+
+    return F.aggregate(points, start, add, lambda s: F.struct(F.try_divide(s["sum"], s["n"]).alias("mean"), F.sqrt(F.try_divide(s["square"], s["n"])).alias("sd")))
+
+
 def chat_requests(rows: DataFrame, key: str, turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Requests rebuilt from chat rows: the messages up to the last user turn in order, and the answer that follows it.
 

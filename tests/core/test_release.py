@@ -194,6 +194,25 @@ def test_regrade(spark):
     assert got == {("r", "d1"): (1, 3, 0.333333, 0.25, True), ("r", "d2"): (2, 3, 0.666667, 0.5, True), ("q", "d1"): (1, 1, 1.0, 0.25, True), ("q", "d2"): (0, 1, 0.0, 0.5, False)}
 
 
+def test_points_are_added_up_in_the_order_of_the_table(spark, tmp_path):
+    import duckdb
+
+    from grainmill.plans import registry
+
+    # their spread is 0.25 but for the last bit; cut into many partitions and shuffled by key, they keep the order of the file
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    con.execute("create table lineitem as select i % 97 + 1 l_orderkey, cast(1 + i * 5 % 6 as integer) l_linenumber, (i * 31 % 11) / 100.0::double l_discount, (i * 17 % 9) / 100.0::double l_tax from range(400) t(i)")
+    con.execute("insert into lineitem values (96720, 6, 0.05, 0.06), (96720, 5, 0.1, 0.01), (11018, 5, 0.01, 0.07), (11018, 4, 0.02, 0.04), (11018, 3, 0.06, 0.08), (11018, 6, 0.01, 0.04), (11018, 5, 0.01, 0.01), (11018, 4, 0.03, 0.03), (11018, 6, 0.0, 0.04), (11018, 5, 0.05, 0.01)")
+    con.execute(f"copy lineitem to '{tmp_path}/lineitem.parquet' (format parquet)")
+    want = sorted(tuple(r) for r in con.execute(registry.oracle_sql()["regrade"]).fetchall())
+    assert sorted(tuple(r) for r in registry.queries()["regrade"](spark, str(tmp_path)).collect()) == want
+    value = lambda p: p["x"]
+    rows = spark.createDataFrame([([(0.1,), (0.2,), (0.3,)],), ([(0.3,), (0.2,), (0.1,)],), ([],)], "p array<struct<x: double>>")
+    got = [tuple(r[0]) for r in rows.select(G.in_order(F.col("p"), value)).collect()]
+    assert got[0][0] == (0.1 + 0.2 + 0.3) / 3 and got[1][0] == (0.3 + 0.2 + 0.1) / 3 and got[2] == (None, None)
+
+
 def test_requests_are_rebuilt_as_they_were(spark):
     core = spark.createDataFrame([(1, "p1"), (2, "p2")], "id int, image string")
     asked = G.label_requests(core, "id", "image", "S", "P")
