@@ -185,3 +185,26 @@ def test_spellings_of_labels(spark):
     df = spark.createDataFrame([(k, v) for k, v in cases.items()], "x string, want string")
     for r in df.select("*", normalize_label(F.col("x")).alias("got"), predicted_label(F.col("x")).alias("said"), normalize_label(F.lit("Odd-One"), keep_unknown=True).alias("kept")).collect():
         assert r["got"] == r["want"] and r["said"] == (r["want"] or "INVALID") and r["kept"] == "Odd_One"
+
+
+def test_hash_order_keeps_scarce_queries(spark):
+    import hashlib
+
+    from grainmill.plans import ranking
+
+    # a twentieth of the pool is eligible, so some queries have fewer than two below the bound; those of 40 have none or one at all
+    n, k = 3000, 2
+    ids = spark.range(n).withColumnRenamed("id", "vec_id")
+    eligible = lambda q, c: ((q + c) % 20 == 0) & ((q != 40) | (c < 25)) & ((q != 20) | (c < 0))
+    got = {}
+    for r in ranking._in_hash_order(ids.where("vec_id % 20 = 0 and vec_id < 2000"), ids, eligible, k).collect():
+        got.setdefault(r["q_id"], {})[r["rank"]] = r["c_id"]
+    want, key = {}, lambda q, c: hashlib.sha256(f"rr:{q}-{c}".encode()).hexdigest()
+    scarce = 0
+    for q in range(0, 2000, 20):
+        pool = [c for c in range(n) if (q + c) % 20 == 0 and (q != 40 or c < 25) and (q != 20 or c < 0)]
+        first = sorted(pool, key=lambda c: key(q, c))[:k]
+        scarce += len(first) == k and int(key(q, first[-1])[:12], 16) > (4 * k + 60) / n * 16**12
+        if first:
+            want[q] = dict(enumerate(first, 1))
+    assert scarce and got == want
