@@ -23,14 +23,24 @@ d as (select *, (a * vv - b * uv) / 2 / (uu * vv - uv * uv) du, (b * uu - a * uv
 circle as (select g, mx + du cx, my + dv cy, greatest(sqrt(greatest(du * du + dv * dv + (uu + vv) / n, 1)), 1) radius from d)"""
 
 
+WORD = 55  # cells in one of the two words of bits that hold a matrix
+
+
 def matrices(spark, sf):
-    """One matrix for each supplier and line number: one shuffle of cells, a matrix has HIGH x WIDE of them at most."""
+    """One matrix for each supplier and line number, by way of four words: a bit for every inside and every marked cell.
+
+    The matrix is exploded from an array of one, so that it is a value of its row and not an expression made again for every cell that
+    a feature looks at.
+    """
     li = table(spark, sf, "lineitem")
-    mark = F.when((F.col("l_returnflag") == "R") & (F.col("l_tax") < 0.03), 2).otherwise(1)
+    mark = (F.col("l_returnflag") == "R") & (F.col("l_tax") < 0.03)
     spot = F.floor((F.col("l_quantity") - 1) / 5).cast("int") * WIDE + F.round(F.col("l_discount") * 100).cast("int")
-    marks = li.groupBy((F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("g")).agg(*(F.max(F.when(spot == i, mark)).alias(f"c{i}") for i in range(HIGH * WIDE)))
-    rows = F.array(*(F.array(*(F.coalesce(f"c{r * WIDE + c}", F.lit(0)) for c in range(WIDE))) for r in range(HIGH)))
-    return marks.select("g", rows.alias("matrix"))
+    placed = li.select((F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("g"), spot.alias("spot"), mark.alias("mark"))
+    bit = lambda k: F.when(F.floor(F.col("spot") / WORD) == k, F.expr(f"shiftleft(1L, spot - {k * WORD})"))
+    words = placed.groupBy("g").agg(*(F.coalesce(F.bit_or(f(bit(k))), F.lit(0)).alias(f"{n}{k}") for n, f in (("inside", lambda b: b), ("marked", lambda b: F.when(F.col("mark"), b))) for k in range(-(-HIGH * WIDE // WORD))))
+    at = lambda n, i: F.shiftright(f"{n}{i // WORD}", i % WORD).bitwiseAND(F.lit(1)).cast("int")
+    rows = F.array(*(F.array(*(at("inside", r * WIDE + c) + at("marked", r * WIDE + c) for c in range(WIDE))) for r in range(HIGH)))
+    return words.select("g", F.explode(F.array(rows)).alias("matrix"))
 
 
 @query("raster_circle", f"with {CIRCLE} select g, round(cx, 6) cx, round(cy, 6) cy, round(radius, 6) radius from circle")

@@ -123,3 +123,16 @@ def test_pictures(spark):
     assert r["turn"] == np.rot90(np.array(m)).tolist()
     assert r["size"] == [[0, 2], [0, 2], [2, 0], [2, 0]]
     assert r["colour"] == [[0, 0x00B41E, 0xFF5050], [0xFF5050, 0x00B41E, 0]]
+
+
+def test_a_matrix_is_made_once_for_all_that_look_at_it(spark, tmp_path):
+    from grainmill.plans import raster as P
+
+    cells = [(1, 1, 1.0, 0.0, 0.0, "R"), (1, 1, 5.9, 0.0, 0.05, "R"), (1, 1, 46.0, 0.1, 0.01, "R"), (1, 1, 47.0, 0.1, 0.01, "A"), (1, 1, 30.0, 0.05, 0.0, None), (1, 2, None, 0.05, 0.0, "R")]
+    spark.createDataFrame(cells, "l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r["g"]: {(i, j): v for i, row in enumerate(r["matrix"]) for j, v in enumerate(row) if v} for r in P.matrices(spark, str(tmp_path)).collect()}
+    assert got == {11: {(0, 0): 2, (9, 10): 2, (5, 5): 1}, 12: {}}
+    plan = P.raster_circle(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan()
+    # no step above the one that makes matrices holds the columns they are made from
+    made = [str(plan.apply(i).nodeName()) for i in range(12) if plan.apply(i) is not None]
+    assert "Generate" in made[: made.index("Aggregate")]
