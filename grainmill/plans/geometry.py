@@ -14,8 +14,9 @@ RASTER = "cells as (select distinct l_suppkey g, cast(l_quantity as integer) r,
 
 
 def raster(spark, sf):
+    """Cells of suppliers, some of them more than once."""
     li = table(spark, sf, "lineitem")
-    return li.select(F.col("l_suppkey").alias("g"), F.col("l_quantity").cast("int").alias("r"), (F.col("l_partkey") % 60).cast("int").alias("c")).distinct()
+    return li.select(F.col("l_suppkey").alias("g"), F.col("l_quantity").cast("int").alias("r"), (F.col("l_partkey") % 60).cast("int").alias("c"))
 
 
 @query("isolated_filter", f"with {RASTER} select a.g, a.r, a.c, count(*) n from cells a join cells b on a.g = b.g and abs(a.r - b.r) <= 1 and abs(a.c - b.c) <= 1 group by 1, 2, 3 having count(*) > 1")

@@ -208,3 +208,19 @@ def test_hash_order_keeps_scarce_queries(spark):
         if first:
             want[q] = dict(enumerate(first, 1))
     assert scarce and got == want
+
+
+def test_neighbours_across_tiles(spark):
+    import random
+
+    from grainmill.operators import geometry
+
+    pick = random.Random(5)
+    cells = [(g, pick.randrange(-3, 4), pick.choice([-121, -120, -61, -60, -59, -1, 0, 1, 2, 58, 59, 60, 61, 119, 120])) for g in range(6) for _ in range(40)]
+    have = set(cells)
+    want = {(g, r, c): sum((g, r + a, c + b) in have for a in (-1, 0, 1) for b in (-1, 0, 1)) for g, r, c in have}
+    df = spark.createDataFrame(cells, "g long, r int, c int").repartition(3)
+    out = geometry.neighbours(df)
+    rows = out.collect()
+    assert {(x["g"], x["r"], x["c"]): x["n"] for x in rows} == want and len(rows) == len(want)
+    assert dict(out.dtypes) == {"g": "bigint", "r": "int", "c": "int", "n": "bigint"}
