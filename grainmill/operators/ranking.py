@@ -37,9 +37,10 @@ def cosine_topk(queries: DataFrame, gallery: DataFrame, k: int, query_rows: int
         if q.num_rows and c.num_rows:
             c = c.sort_by("c_id")
             own, vectors = c.column("c_apart").to_numpy(), matrix(c.column("c_vec"))
-            for start in range(0, q.num_rows, 256):
-                part = q.slice(start, 256)
-                found = np.round(matrix(part.column("q_vec")) @ vectors.T, 9)
+            for start in range(0, q.num_rows, 128):
+                part = q.slice(start, 128)
+                found = matrix(part.column("q_vec")) @ vectors.T
+                np.round(found, 9, out=found)
                 found[part.column("q_apart").to_numpy()[:, None] == own[None, :]] = -np.inf
                 for i, row in enumerate(found):
                     near = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
