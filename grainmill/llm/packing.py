@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import heapq
 import os
-import re
+import string
 import zlib
 
 import numpy as np
@@ -24,25 +24,50 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from grainmill.llm.bytesops import blocks
+from grainmill.llm.bytesops import blocks, raw
 from grainmill.llm.shared import materialize
 
 PIECE_SCHEMA = "row_id long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"
 
 
+#: bytes of ASCII by kind: 1 white space, 2 letters and digits, 3 marks; others are 0
+_KIND = np.zeros(256, np.uint8)
+_KIND[[ord(c) for c in " \t\n\r\f\v"]] = 1
+_KIND[[ord(c) for c in string.ascii_letters + string.digits]] = 2
+_KIND[[ord(c) for c in string.punctuation]] = 3
+
+
+def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where chunks start in the bytes of texts: words with the space before them, marks after a word, white space as the tokenizer splits it."""
+    if not len(data):
+        return np.zeros(0, np.int64)
+    kind = _KIND[data]
+    space = kind == 1
+    text = np.zeros(len(data) + 1, bool)
+    text[offsets] = True
+    start = np.zeros(len(data), bool)
+    start[1:] = (kind[1:] == 3) & (kind[:-1] == 2)
+    start[1:] |= space[1:] & ~space[:-1]
+    # the last of several, if something follows it in the text, and what follows any but a plain space
+    last = space & ~text[1:] & ~np.append(space[1:], True)
+    start |= last
+    start[1:] |= last[:-1] & (data[:-1] != 0x20)
+    start |= text[:-1]
+    return np.flatnonzero(start)
+
+
 class Encoder:
     """Ids of whole texts by ``tokenizers``, just as it gives them.
 
     A byte-level tokenizer splits texts before it merges, and no split part goes on past a space that follows something else,
-    nor from a letter or digit of ASCII to one of its marks. So a text is cut there, each distinct chunk is encoded by ``tokenizers`` once, and its ids are looked up from then on. New
+    nor from a letter or digit of ASCII to one of its marks. So texts are cut there, all texts of a block at once in their bytes, and Arrow finds the
+    distinct chunks. Each is encoded by ``tokenizers`` once, and its ids are looked up from then on. New
     chunks are encoded together, a line each: a line end between two of them is a token of its own.
     Texts with other white space than ASCII's or with one of the tokenizer's added tokens, and other kinds of tokenizers, are
     encoded whole.
     """
 
-    #: a plain word before closing marks, any other word with its marks (or the marks), white space as the tokenizer splits it
-    CHUNK = re.compile(r" ?[A-Za-z0-9]++(?=[!-/:-@\[-`{-~]++(?![^ \t\n\r\f\v]))| ?[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])|[ \t\n\r\f\v]+")
-    OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+    OTHER_SPACE = "[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]"
 
     def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks in parallel already
@@ -61,18 +86,41 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of every text."""
-        parted = [self.CHUNK.findall(t) if self.by_chunk and not self.OTHER_SPACE.search(t) and not any(a in t for a in self.added) else None for t in texts]
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        """The ids of every text (null: empty)."""
+        texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
+        whole = pc.match_substring_regex(texts, self.OTHER_SPACE) if self.by_chunk else pa.array(np.ones(len(texts), bool))
+        for token in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, token))
+        parted = iter(self._by_chunk(texts.filter(pc.invert(whole))))
+        alone = iter(texts.filter(whole).to_pylist())
+        return [np.array(self._encode([next(alone)])[0], "<u4") if w else next(parted) for w in whole.to_pylist()]
+
+    def _by_chunk(self, texts: pa.Array) -> list[np.ndarray]:
+        data, offsets = raw(texts)
+        starts = chunk_starts(data, offsets)
+        bounds = pa.py_buffer(np.append(starts, len(data)))
+        chunks = pa.LargeStringArray.from_buffers(len(starts), bounds, pa.py_buffer(data)).dictionary_encode()
+        ids, ends = self._ids(chunks.dictionary.to_pylist())
+        # the ids of all chunks in the order of the texts
+        code = chunks.indices.to_numpy()
+        lengths = np.diff(ends)[code]
+        done = np.concatenate([[0], np.cumsum(lengths)])
+        flat = ids[np.repeat(ends[code] - done[:-1], lengths) + np.arange(done[-1])]
+        at = done[np.searchsorted(starts, offsets)].tolist()
+        return [flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
+
+    def _ids(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct chunks, joined, and the n + 1 offsets of the chunks in them."""
         if 2 * len(self.known) > self.most:
             self.known, self.older = {}, self.known
         # the chunks of a block of texts are always at hand; those not met for long are forgotten, which keeps a worker small
-        new = {c for chunks in parted if chunks is not None for c in chunks if c not in self.known}
+        new = {c for c in chunks if c not in self.known}
         met = new & self.older.keys()
         self.known.update((c, self.older[c]) for c in met)
         self._learn(new - met)
-        find = self.known.__getitem__
-        return [np.array(self._encode([t])[0], "<u4") if c is None else np.frombuffer(b"".join(map(find, c)), "<u4") for t, c in zip(texts, parted, strict=True)]
+        found = [self.known[c] for c in chunks]
+        return np.frombuffer(b"".join(found), "<u4"), np.cumsum([0, *map(len, found)]) // 4
 
     def _learn(self, chunks: set[str]) -> None:
         blank = [c for c in chunks if c.isspace()]
@@ -110,11 +158,10 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, window: int = 1024, pi
     def run(batches):
         enc = Encoder(tokenizer_path)
         for batch in batches:
-            offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False))])
-            for i, j in blocks(offsets, 1 << 19):
+            for i, j in blocks(raw(batch.column(2))[1]):
                 names = {k: [] for k in ("row_id", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
-                rows, ids, texts = (batch.column(c).slice(i, j - i).to_pylist() for c in range(3))
-                for r, d, body in zip(rows, ids, enc.encode([t or "" for t in texts]), strict=True):
+                rows, ids = (batch.column(c).slice(i, j - i).to_pylist() for c in range(2))
+                for r, d, body in zip(rows, ids, enc.encode(batch.column(2).slice(i, j - i)), strict=True):
                     tokens = np.append(body, np.array([end_id], "<u4"))
                     buf = tokens.tobytes()
                     for start, length in _cut(len(tokens), window, piece):

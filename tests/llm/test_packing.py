@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from grainmill.llm.packing import Encoder, difference, pack, pack_sizes
@@ -26,6 +27,33 @@ def test_same_ids_as_the_tokenizer():
         assert [x.tolist() for x in got] == [plain.encode(t, add_special_tokens=False).ids for t in texts[i : i + 500]]
 
 
+def test_a_block_looks_up_each_distinct_chunk_once():
+    class Counted(dict):
+        asked = 0
+
+        def __contains__(self, key):
+            self.asked += 1
+            return super().__contains__(key)
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return super().__getitem__(key)
+
+    e = Encoder(P)
+    e.known = Counted()
+    got = e.encode(["one two, three " * 5000] * 4)
+    assert [x.tolist() for x in got] == [e.whole.encode("one two, three " * 5000, add_special_tokens=False).ids] * 4
+    assert e.known.asked <= 3 * len(e.known)
+
+
+def test_arrow_texts_encode_as_lists_do():
+    e, texts = Encoder(P), [*TEXTS, " ", "a", "", " b", ", c\n", "\n\n d", None]
+    for kind in (pa.string(), pa.large_string()):
+        got = e.encode(pa.array(["dropped", *texts, "too"], kind).slice(1, len(texts)))
+        assert [x.tolist() for x in got] == [e.whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert e.encode([]) == [] and [x.tolist() for x in e.encode(["", None])] == [[], []]
+
+
 def slow_difference(sizes, k):
     """Largest differencing as it is told: merge the two partial partitions of largest spread until one is left."""
     heap = [[size] + [0] * (k - 1) for size in sizes]
