@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import string
+import struct
 import zlib
 
 import numpy as np
@@ -42,6 +44,7 @@ def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     if not len(data):
         return np.zeros(0, np.int64)
     kind = _KIND[data]
+    kind[1:][(data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)] = 2  # letters of Latin-1; not the signs of times and division
     space = kind == 1
     text = np.zeros(len(data) + 1, bool)
     text[offsets] = True
@@ -60,8 +63,9 @@ class Encoder:
     """Ids of whole texts by ``tokenizers``, just as it gives them.
 
     A byte-level tokenizer splits texts before it merges, and no split part goes on past a space that follows something else,
-    nor from a letter or digit of ASCII to one of its marks. So texts are cut there, all texts of a block at once in their bytes, and Arrow finds the
-    distinct chunks. Each is encoded by ``tokenizers`` once, and its ids are looked up from then on. New
+    nor from a letter or digit of Latin-1 to a mark of ASCII. So texts are cut there, all texts of a block at once in their bytes, and Arrow finds the
+    distinct chunks. Each is encoded by ``tokenizers`` once, and its ids are looked up from then on. A new
+    chunk of Latin-1 letters is one split part, so the tokenizer's model merges it as it is; other new
     chunks are encoded together, a line each: a line end between two of them is a token of its own.
     Texts with other white space than ASCII's or with one of the tokenizer's added tokens, and other kinds of tokenizers, are
     encoded whole.
@@ -76,9 +80,12 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         kind = self.whole.pre_tokenizer
-        self.by_chunk = isinstance(kind, pre_tokenizers.ByteLevel) and not kind.add_prefix_space and self.whole.normalizer is None
+        self.by_chunk = isinstance(kind, pre_tokenizers.ByteLevel) and kind.use_regex and not kind.add_prefix_space and self.whole.normalizer is None
         self.line_end = self._encode(["\n"])[0]
         self.by_chunk = self.by_chunk and len(self.line_end) == 1
+        letters = [c for c in map(chr, range(256)) if c.isalpha()]
+        self.plain = re.compile(f" ?[{''.join(letters)}]+")
+        self.forms = {ord(c): kind.pre_tokenize_str(c)[0][0] for c in [" ", *letters]} if self.by_chunk else {}  # as the model knows them
         self.known: dict[str, bytes] = {}  # ids as bytes, which are small and join fast
         self.older: dict[str, bytes] = {}  # chunks known before the last change; those met again go back to ``known``
         self.most = most
@@ -101,7 +108,7 @@ class Encoder:
         starts = chunk_starts(data, offsets)
         bounds = pa.py_buffer(np.append(starts, len(data)))
         chunks = pa.LargeStringArray.from_buffers(len(starts), bounds, pa.py_buffer(data)).dictionary_encode()
-        ids, ends = self._ids(chunks.dictionary.to_pylist())
+        ids, ends = self._ids(chunks.dictionary.to_numpy(zero_copy_only=False).tolist())
         # the ids of all chunks in the order of the texts
         code = chunks.indices.to_numpy()
         lengths = np.diff(ends)[code]
@@ -125,7 +132,12 @@ class Encoder:
     def _learn(self, chunks: set[str]) -> None:
         blank = [c for c in chunks if c.isspace()]
         self.known.update((c, np.array(ids, "<u4").tobytes()) for c, ids in zip(blank, self._encode(blank), strict=True))
-        words = list(chunks.difference(blank))
+        plain = [c for c in chunks if self.plain.fullmatch(c)]
+        merge = self.whole.model.tokenize
+        for c in plain:
+            ids = [t.id for t in merge(c.translate(self.forms))]
+            self.known[c] = struct.pack(f"<{len(ids)}I", *ids)
+        words = list(chunks.difference(blank, plain))
         for i in range(0, len(words), 5_000):
             some = words[i : i + 5_000]
             ids = np.array(self._encode(["\n".join(some) + "\n"])[0], "<u4")
@@ -158,7 +170,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, window: int = 1024, pi
     def run(batches):
         enc = Encoder(tokenizer_path)
         for batch in batches:
-            for i, j in blocks(raw(batch.column(2))[1]):
+            for i, j in blocks(raw(batch.column(2))[1], 1 << 20):
                 names = {k: [] for k in ("row_id", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
                 rows, ids = (batch.column(c).slice(i, j - i).to_pylist() for c in range(2))
                 for r, d, body in zip(rows, ids, enc.encode(batch.column(2).slice(i, j - i)), strict=True):

@@ -54,6 +54,16 @@ def test_arrow_texts_encode_as_lists_do():
     assert e.encode([]) == [] and [x.tolist() for x in e.encode(["", None])] == [[], []]
 
 
+def test_words_of_latin_letters_and_their_marks():
+    e, rng = Encoder(P, most=2000), random.Random(5)
+    letters = [chr(c) for c in range(0x20, 0x180) if not 0x7F <= c < 0xA0] + [" ", ",", "'s", "é", "\u0301", "\n"] * 20
+    texts = ["".join(rng.choices(letters, k=rng.randint(1, 25))).replace("\xa0", " ") for _ in range(6000)]
+    got = e.encode(texts)
+    assert [x.tolist() for x in got] == [x.ids for x in e.whole.encode_batch(texts, add_special_tokens=False)]
+    alone = e.encode([c for c in letters if c.strip()])
+    assert [x.tolist() for x in alone] == [e.whole.encode(c, add_special_tokens=False).ids for c in letters if c.strip()]
+
+
 def slow_difference(sizes, k):
     """Largest differencing as it is told: merge the two partial partitions of largest spread until one is left."""
     heap = [[size] + [0] * (k - 1) for size in sizes]
