@@ -26,6 +26,7 @@ smallest id unless all are null; an empty table gives no rows; further columns a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -33,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from grainmill.llm.bytesops import blocks, mix, raw, shingle_sets
-from grainmill.llm.shared import connected_components, discard, hot_keys, join_salted, materialize, shuffle_partitions
+from grainmill.llm.shared import connected_components, discard, hot_keys, join_salted, materialize, shuffle_partitions, small_batches
 
-_FLUSH = 500_000
+_FLUSH, _ROWS = 500_000, 10_000  # a portion ends at so many shingles or rows
 PART_BYTES = 16 << 20  # a range of hashes gets the shingles of about so many bytes of text
 SEEN = 32
 WORDS = 8  # of 64 bits in the parity bitmap of a set
@@ -68,18 +69,64 @@ def differing(a: str, b: str) -> str:
 
 
 def _batches(source, k: int):
-    """Shingle sets of (row_id, doc_id, text) in bounded portions: portion id (first row), row and document ids, sets, sizes."""
+    """Shingle sets of (row_id, doc_id, text) in bounded portions of whole rows, wherever batches end: portion id (first row), row and document ids, sets, sizes."""
+    rows, ids, sets, sizes, held = [], [], [], [], 0
+
+    def portion():
+        out = pa.concat_arrays(rows), pa.concat_arrays(ids), np.concatenate(sets), np.concatenate(sizes)
+        return out[0][0].as_py(), *out
+
     for batch in source:
         data, offsets = raw(batch.column(2))
-        rows, ids, sets, sizes, held, first = batch.column(0), batch.column(1), [], [], 0, 0
         for i, j in blocks(offsets, 1 << 19):
             s, at = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
+            rows.append(batch.column(0).slice(i, j - i))
+            ids.append(batch.column(1).slice(i, j - i))
             sets.append(s)
             sizes.append(np.diff(at))
             held += len(s)
-            if held >= _FLUSH or j == len(ids):
-                yield rows[first].as_py(), rows.slice(first, j - first), ids.slice(first, j - first), np.concatenate(sets), np.concatenate(sizes)
-                first, held, sets, sizes = j, 0, [], []
+            if held >= _FLUSH or sum(map(len, rows)) >= _ROWS:
+                yield portion()
+                rows, ids, sets, sizes, held = [], [], [], [], 0
+    if rows:
+        yield portion()
+
+
+def shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Frequencies of a range's shingles (rows of ``COUNTS``), of those above one, for each portion that holds them (rows of ``SHARED``)."""
+    rows, tokens, counts = [], [], []
+    for b in batches:
+        rows += b.select(["batch", "base", "total"]).to_pylist()
+        tokens += [unplanes(x.as_buffer(), np.uint64) for x in b.column("tokens")]
+        counts += [unplanes(x.as_buffer(), np.uint32) for x in b.column("counts")]
+        del b
+    ends = np.cumsum([0, *map(len, tokens)])
+    tokens, counts = np.concatenate(tokens), np.concatenate(counts)
+    order = np.argsort(tokens, kind="stable").astype(np.uint32)
+    # most shingles occur once and go before anything else is laid out for them
+    ranked = tokens[order]
+    first = np.append(True, ranked[1:] != ranked[:-1])
+    del ranked
+    more = ~(first & np.append(first[1:], True)) | (counts[order] > 1)
+    order, first = order[more], first[more]
+    starts = np.flatnonzero(first)
+    freq = np.repeat(np.add.reduceat(counts[order], starts, dtype=np.int64), np.diff(starts, append=len(order)))
+    freq = np.minimum(freq, 2**32 - 1).astype(np.uint32)
+    # back to the order of the rows, in each of which shingles ascend
+    back = np.argsort(order)
+    order, freq = order[back].astype(np.int64), freq[back]
+    tokens = tokens[order]
+    cuts = np.searchsorted(order, ends)
+    for i, j in blocks(16 * cuts, 4 << 20):
+        span = [slice(a, b) for a, b in pairwise(cuts[i : j + 1])]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([r["batch"] for r in rows[i:j]], pa.int64()), pa.array([0] * (j - i), pa.int32()), pa.array([r["total"] for r in rows[i:j]], pa.int64()),
+                pa.array([planes((order[s] - e + r["base"]).astype(np.uint32)) for r, s, e in zip(rows[i:j], span, ends[i:j], strict=True)], pa.binary()), pa.array([planes(tokens[s]) for s in span], pa.binary()),
+                pa.array([planes(freq[s]) for s in span], pa.binary()), pa.array([None] * (j - i), pa.binary()),
+            ],
+            names=["batch", "kind", "total", "at", "tokens", "freq", "docs"],
+        )
 
 
 def profile(docs: DataFrame, k: int, threshold: int) -> DataFrame:
@@ -106,34 +153,6 @@ def profile(docs: DataFrame, k: int, threshold: int) -> DataFrame:
                 ["part", "batch", "base", "total", "tokens", "counts"],
             )
 
-    def add(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        tokens = [unplanes(r["tokens"], np.uint64) for r in rows]
-        ends = np.cumsum([0] + [len(t) for t in tokens])
-        tokens = np.concatenate(tokens)
-        counts = np.concatenate([unplanes(r["counts"], np.uint32) for r in rows])
-        order = np.argsort(tokens, kind="stable")
-        # most shingles occur once and go before anything else is laid out for them
-        starts = np.flatnonzero(np.concatenate([[True], np.diff(tokens[order]) != 0]))
-        copies = np.diff(starts, append=len(order))
-        freq = np.add.reduceat(counts[order], starts, dtype=np.int64)
-        more = freq > 1
-        order, freq = order[np.repeat(more, copies)], np.repeat(freq[more], copies[more])
-        # back to the order of the rows, in each of which shingles ascend
-        back = np.argsort(order)
-        order, freq = order[back], freq[back]
-        tokens = tokens[order]
-        cuts = np.searchsorted(order, ends)
-        span = [slice(cuts[i], cuts[i + 1]) for i in range(len(rows))]
-        return pa.table(
-            [
-                pa.array([r["batch"] for r in rows], pa.int64()), pa.array([0] * len(rows), pa.int32()), pa.array([r["total"] for r in rows], pa.int64()),
-                pa.array([planes((order[s] - e + r["base"]).astype(np.uint32)) for r, s, e in zip(rows, span, ends[:-1], strict=True)], pa.binary()), pa.array([planes(tokens[s]) for s in span], pa.binary()),
-                pa.array([planes(np.minimum(freq[s], 2**32 - 1).astype(np.uint32)) for s in span], pa.binary()), pa.array([None] * len(rows), pa.binary()),
-            ],
-            names=["batch", "kind", "total", "at", "tokens", "freq", "docs"],
-        )
-
     def members(source):
         for batch, rows, ids, tokens, size in _batches(source, k):
             u, at = np.unique(tokens, return_inverse=True)
@@ -189,7 +208,7 @@ def profile(docs: DataFrame, k: int, threshold: int) -> DataFrame:
         kind = pa.list_(pa.int64())
         return pa.table([head.column("row_id"), head.column("doc_id"), head.column("n"), head.column("hi"), head.column("lo"), pa.array(lone, pa.int64()), pa.array(prefix, kind), pa.array(shared, kind), pa.array(bits, kind)], names=["row_id", "doc_id", "n", "hi", "lo", "lone", "prefix", "tokens", "bits"])
 
-    freq = src.mapInArrow(count, COUNTS).groupBy("part").applyInArrow(add, SHARED)
+    freq = src.mapInArrow(count, COUNTS).groupBy("part").applyInArrow(shared_counts, SHARED)
     return freq.unionByName(src.mapInArrow(members, SHARED)).groupBy("batch").applyInArrow(assemble, PROFILE)
 
 
@@ -289,7 +308,8 @@ def components(docs: DataFrame, k: int = 5, threshold: int = 80, row: str | None
     ``row``: a column of stored, unique row numbers; without it rows are numbered here as they are read.
     """
     number = F.monotonically_increasing_id() if row is None else F.col(row)
-    prof = materialize(profile(docs.select(number.alias("row_id"), "doc_id", "text"), k, threshold), "profiles")
+    with small_batches(docs.sparkSession):
+        prof = materialize(profile(docs.select(number.alias("row_id"), "doc_id", "text"), k, threshold), "profiles")
     small = prof.where("n > 0 AND tokens IS NOT NULL").select("row_id", "doc_id", "n", "hi", "lo")
     classes = small.groupBy("hi", "lo", "n").agg(F.min("row_id").alias("item"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes, "classes")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from grainmill.llm.bytesops import blocks, raw, word_hashes
-from grainmill.llm.shared import fresh, hot_keys, join_salted, materialize, revive
+from grainmill.llm.shared import fresh, hot_keys, join_salted, materialize, revive, small_batches
 
 BITS = 18
 _WORD = np.full(256, 32, np.uint8)
@@ -146,7 +146,8 @@ def labelled_features(docs: DataFrame, labels: DataFrame, sample_rows: int) -> D
     seen = src.mapInArrow(run, "doc_id long, quality double, toxic double, words array<int>, shape array<double>")
     # of the texts of one id the same is taken whatever their order
     least = F.struct(F.col("shape"), F.col("words"), F.col("quality"), F.col("toxic"))
-    return materialize(seen.groupBy("doc_id").agg(F.min(least).alias("r")).select("doc_id", "r.*"), "labelled")
+    with small_batches(docs.sparkSession):
+        return materialize(seen.groupBy("doc_id").agg(F.min(least).alias("r")).select("doc_id", "r.*"), "labelled")
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int, least: int = 5, least_z: float = 4.5) -> Model | None:
@@ -237,7 +238,8 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, sam
     site = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("none"))
     inner = {c: fresh(docs, c) for c in ("_host", "_path", "_n", "_s", "_host_n", "_host_s")}
     wide = docs.withColumn(inner["_host"], site(host)).withColumn(inner["_path"], site(path)).drop(*RESULTS)
-    marked = materialize(with_evidence(wide, model).select(*columns, inner["_host"], inner["_path"], "evidence"), "evidence")
+    with small_batches(docs.sparkSession):
+        marked = materialize(with_evidence(wide, model).select(*columns, inner["_host"], inner["_path"], "evidence"), "evidence")
     sums, mean, k_host, k_path = site_table(marked.select(F.col(inner["_host"]).alias("host"), F.col(inner["_path"]).alias("path"), "evidence"))
     sums = sums.select(*(F.col(c).alias(inner[f"_{c}"]) for c in sums.columns))
     keys = [inner["_host"], inner["_path"]]

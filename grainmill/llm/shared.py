@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -27,6 +29,23 @@ def discard(*stored: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> Iterator[None]:
+    """Arrow tasks that run meanwhile get batches of about ``most`` bytes, unless the session has a bound of its own.
+
+    Spark's default of 64 MB is held several times over: as it is written, as it is read, and as the next one comes.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is not None:
+        yield
+        return
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with as many underscores behind it as make it differ from every column of ``df``, upper or lower case."""
     taken = {c.lower() for c in df.columns}

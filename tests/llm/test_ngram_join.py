@@ -1,10 +1,15 @@
 import random
 import re
+import tracemalloc
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from grainmill.llm.ngram_join import bitmap, components
+from grainmill.llm.ngram_join import _batches, bitmap, components, planes, shared_counts, unplanes
+from grainmill.llm.shared import small_batches
 
 
 def shingles(text, k):
@@ -78,3 +83,67 @@ def test_near_misses_around_one_text(spark):
             w[j] = f"e{rng.randint(0, 40)}"
         rows.append((i, " ".join(w)))
     assert run(spark, rows, 4, 85) == brute(rows, 4, 85)
+
+
+def portions(batches):
+    """What the counting step gives for Arrow batches of (row_id, doc_id, text)."""
+    return list(_batches([pa.record_batch([pa.array([r for r, _ in b], pa.int64()), pa.array([r for r, _ in b], pa.int64()), pa.array([x for _, x in b], pa.string())], ["row_id", "doc_id", "text"]) for b in batches], 3))
+
+
+def test_portions_do_not_follow_batches():
+    rows = [(i, " ".join(f"w{i * j % 91}" for j in range(50)) if i % 7 else None) for i in range(200)]
+    (one,), (many,) = portions([rows]), portions([rows[i : i + 3] for i in range(0, 200, 3)] + [[]])
+    assert one[0] == many[0] == 0
+    assert all(np.array_equal(a, b) for a, b in zip(one[1:], many[1:], strict=True))
+    assert portions([[]]) == []
+    assert [len(p[1]) for p in portions([[(i, None) for i in range(6_000)]] * 5)] == [12_000, 12_000, 6_000]
+
+
+def test_counting_holds_a_range_about_once():
+    """A range of 1.6 million shingles (12 bytes each), most of them alone, in small batches."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(np.concatenate([rng.integers(0, 2**63, 8_000), np.arange(i % 5, 90, 5)]).astype(np.uint64)) for i in range(200)]
+    copies = [np.where(s == 7, 2, 1).astype(np.uint32) for s in sets]
+
+    def source():
+        for i in range(0, 200, 10):
+            own = range(i, i + 10)
+            yield pa.record_batch([pa.array([0] * 10, pa.int32()), pa.array(own, pa.int64()), pa.array([5] * 10, pa.int64()), pa.array([len(sets[j]) + 5 for j in own], pa.int64()), pa.array([planes(sets[j]) for j in own], pa.binary()), pa.array([planes(copies[j]) for j in own], pa.binary())], ["part", "batch", "base", "total", "tokens", "counts"])
+
+    want = Counter()
+    for s, c in zip(sets, copies, strict=True):
+        want.update({int(t): int(n) for t, n in zip(s[s < 90], c[s < 90], strict=True)})
+    tracemalloc.start()
+    seen, out = 0, []
+    for b in shared_counts(source()):
+        out += b.to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for r in out:
+        tokens, freq, at = unplanes(r["tokens"], np.uint64), unplanes(r["freq"], np.uint32), unplanes(r["at"], np.uint32)
+        assert np.array_equal(sets[r["batch"]][at - 5], tokens)
+        assert [want[t] for t in tokens.tolist()] == freq.tolist()
+        seen += len(tokens)
+    assert [r["batch"] for r in out] == list(range(200))
+    assert seen == sum((s < 90).sum() for s in sets)
+    assert peak < 4 * 12 * sum(map(len, sets))
+
+
+def test_texts_come_in_small_batches(spark):
+    docs = spark.range(0, 40, 1, 1).select("id", F.repeat(F.lit("some words "), 50_000).alias("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows])], ["n"])
+
+    seen = lambda: [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()]
+    with small_batches(spark):
+        assert max(seen()) * 550_000 < 6 << 20
+    assert seen() == [40]
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1000000")
+    try:
+        with small_batches(spark):
+            assert max(seen()) <= 3
+        assert max(seen()) <= 3
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
