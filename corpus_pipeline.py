@@ -19,7 +19,7 @@ from grainmill.llm.ngram_join import components
 from grainmill.llm.packing import pack
 from grainmill.llm.quality import RESULTS
 from grainmill.llm.queries import quality_scores, tokenizer_path
-from grainmill.llm.shared import fresh, materialize
+from grainmill.llm.shared import fresh, materialize, small_batches
 from grainmill.session import table
 
 
@@ -50,7 +50,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark")).select(docs.columns)
+    with small_batches(spark):  # so it is written here
+        return materialize(decontaminate(docs, table(spark, sf_dir, "benchmark")).select(docs.columns), "decontaminated")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

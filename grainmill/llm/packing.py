@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from grainmill.llm.bytesops import blocks, raw
-from grainmill.llm.shared import materialize
+from grainmill.llm.shared import materialize, small_batches
 
 PIECE_SCHEMA = "row_id long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"
 
@@ -270,7 +270,8 @@ def pack_sizes(sizes: np.ndarray, window: int) -> np.ndarray:
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = 1024, piece: int = 256, block_tokens: int = 262_144, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """All pieces of all documents with the window (``sequence_id``) and the offset in it that hold them."""
-    pieces = materialize(tokenize_pieces(docs, tokenizer_path, window, piece, end_id, with_ids), "pieces")
+    with small_batches(docs.sparkSession):
+        pieces = materialize(tokenize_pieces(docs, tokenizer_path, window, piece, end_id, with_ids), "pieces")
     tails = pieces.where(F.col("length") < window)
     total = tails.agg(F.sum("length")).first()[0] or 0
     n_blocks = max(1, round(total / block_tokens))

@@ -118,3 +118,19 @@ def test_quality_stage_by_plain_sums(spark, stages):
         assert r["keep"] == (r["score"] >= 0.9)
         kept |= {r["doc_id"]} if r["keep"] else set()
     assert {r["doc_id"] for r in stages[1].collect()} == kept
+
+
+def test_text_stages_run_in_small_batches(spark, monkeypatch, tmp_path):
+    """Every stage that reads texts in Python does so within the bound on Arrow batches, and the session's setting stays."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    name, seen, write = "spark.sql.execution.arrow.maxBytesPerBatch", {}, DataFrameWriter.parquet
+
+    def parquet(self, path, *a, **b):
+        seen[path.rsplit("/", 1)[-1].rsplit("-", 1)[0]] = spark.conf.get(name, None)
+        return write(self, path, *a, **b)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    P.run(spark, SF)
+    assert {k: seen[k] for k in ("labelled", "evidence", "profiles", "decontaminated", "pieces")} == dict.fromkeys(("labelled", "evidence", "profiles", "decontaminated", "pieces"), str(4 << 20))
+    assert seen["stage-line_dedup"] is None and spark.conf.get(name, None) is None
