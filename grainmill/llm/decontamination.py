@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from grainmill.llm.bytesops import blocks, mix, raw, word_hashes
-from grainmill.llm.shared import fresh, materialize, revive
+from grainmill.llm.shared import fresh, materialize, release, revive
 
 K1, B = 1.2, 0.75
 BLOCK = 8
@@ -262,6 +262,7 @@ def searcher(shared, threshold: float, overlap: float):
             for band in bands:
                 for d, passage, item, score, q, a, w in band.search(h, word_at, threshold, overlap):
                     found[i + d].append({"item_id": item, "passage": passage, "score": score, "question": q, "answer": a, "whole": w})
+        release()  # the worker lives on through later stages
         return pa.array(found, pa.list_(pa.struct([("item_id", pa.int64()), ("passage", pa.int32()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64()), ("whole", pa.float64())])))
 
     return search

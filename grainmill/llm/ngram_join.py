@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from grainmill.llm.bytesops import blocks, mix, raw, shingle_sets
-from grainmill.llm.shared import connected_components, discard, hot_keys, join_salted, materialize, shuffle_partitions, small_batches
+from grainmill.llm.shared import connected_components, discard, hot_keys, join_salted, materialize, shuffle_partitions, small_batches, tidy
 
 _FLUSH, _ROWS = 500_000, 10_000  # a portion ends at so many shingles or rows
 PART_BYTES = 16 << 20  # a range of hashes gets the shingles of about so many bytes of text
@@ -208,8 +208,8 @@ def profile(docs: DataFrame, k: int, threshold: int) -> DataFrame:
         kind = pa.list_(pa.int64())
         return pa.table([head.column("row_id"), head.column("doc_id"), head.column("n"), head.column("hi"), head.column("lo"), pa.array(lone, pa.int64()), pa.array(prefix, kind), pa.array(shared, kind), pa.array(bits, kind)], names=["row_id", "doc_id", "n", "hi", "lo", "lone", "prefix", "tokens", "bits"])
 
-    freq = src.mapInArrow(count, COUNTS).groupBy("part").applyInArrow(shared_counts, SHARED)
-    return freq.unionByName(src.mapInArrow(members, SHARED)).groupBy("batch").applyInArrow(assemble, PROFILE)
+    freq = src.mapInArrow(tidy(count), COUNTS).groupBy("part").applyInArrow(tidy(shared_counts), SHARED)
+    return freq.unionByName(src.mapInArrow(tidy(members), SHARED)).groupBy("batch").applyInArrow(tidy(assemble), PROFILE)
 
 
 def _verified(pairs: DataFrame, items: DataFrame, threshold: int) -> DataFrame:

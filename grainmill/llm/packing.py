@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from grainmill.llm.bytesops import blocks, raw
-from grainmill.llm.shared import materialize, small_batches
+from grainmill.llm.shared import materialize, small_batches, tidy
 
 PIECE_SCHEMA = "row_id long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>"
 
@@ -188,7 +188,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, window: int = 1024, pi
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(names.values(), kinds, strict=True)], list(names))
 
     src = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return src.mapInArrow(run, PIECE_SCHEMA)
+    return src.mapInArrow(tidy(run), PIECE_SCHEMA)
 
 
 def difference(sizes: np.ndarray, k: int) -> np.ndarray:

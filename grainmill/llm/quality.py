@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from grainmill.llm.bytesops import blocks, raw, word_hashes
-from grainmill.llm.shared import fresh, hot_keys, join_salted, materialize, revive, small_batches
+from grainmill.llm.shared import fresh, hot_keys, join_salted, materialize, release, revive, small_batches, tidy
 
 BITS = 18
 _WORD = np.full(256, 32, np.uint8)
@@ -143,7 +143,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, sample_rows: int) -> D
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(3)), words, shape], ["doc_id", "quality", "toxic", "words", "shape"])
 
     src = rows.select(F.col("doc_id").cast("long"), F.col("quality").cast("double"), F.col("toxic").cast("double"), "text")
-    seen = src.mapInArrow(run, "doc_id long, quality double, toxic double, words array<int>, shape array<double>")
+    seen = src.mapInArrow(tidy(run), "doc_id long, quality double, toxic double, words array<int>, shape array<double>")
     # of the texts of one id the same is taken whatever their order
     least = F.struct(F.col("shape"), F.col("words"), F.col("quality"), F.col("toxic"))
     with small_batches(docs.sparkSession):
@@ -175,7 +175,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int, least: int = 5,
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.ListArray.from_arrays(pa.array(at), pa.array(flat[keep]))], batch.schema.names)
 
     columns = "doc_id long, quality double, toxic double, held boolean, shape array<double>, words array<int>"
-    rows = sample.select("doc_id", "quality", "toxic", "held", "shape", "words").mapInArrow(only_chosen, columns).toArrow().sort_by("doc_id")
+    rows = sample.select("doc_id", "quality", "toxic", "held", "shape", "words").mapInArrow(tidy(only_chosen), columns).toArrow().sort_by("doc_id")
     x = rows.column("shape").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
     lists = rows.column("words").combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
@@ -191,7 +191,9 @@ def with_evidence(docs: DataFrame, model: Model | None) -> DataFrame:
 
     @F.arrow_udf("double")
     def evidence(text: pa.Array) -> pa.Array:
-        return pa.array(revive(Model, shared.value).evidence(text), pa.float64())
+        out = pa.array(revive(Model, shared.value).evidence(text), pa.float64())
+        release()  # the worker lives on through later stages
+        return out
 
     return docs.withColumn("evidence", evidence("text"))
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+import inspect
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from grainmill.session import shared_dir as work_dir
@@ -46,6 +51,32 @@ def small_batches(spark: SparkSession, most: int = 4 << 20) -> Iterator[None]:
         spark.conf.unset(name)
 
 
+def release() -> None:
+    """Gives the memory that this process no longer uses back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
+
+
+def tidy(task: Callable) -> Callable:
+    """A function of batches, or of one group, that calls ``release`` when it ends: Python workers live on through later stages."""
+
+    @functools.wraps(task)
+    def of_batches(batches):
+        yield from task(batches)
+        release()
+
+    @functools.wraps(task)
+    def of_group(group):
+        out = task(group)
+        release()
+        return out
+
+    return of_batches if inspect.isgeneratorfunction(task) else of_group
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, with as many underscores behind it as make it differ from every column of ``df``, upper or lower case."""
     taken = {c.lower() for c in df.columns}

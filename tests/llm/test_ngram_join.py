@@ -1,7 +1,9 @@
+import inspect
 import random
 import re
 import tracemalloc
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -147,3 +149,18 @@ def test_texts_come_in_small_batches(spark):
         assert max(seen()) <= 3
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+
+def test_tasks_give_memory_back(monkeypatch):
+    from grainmill.llm import shared
+
+    done = []
+    monkeypatch.setattr(shared, "release", lambda: done.append(1))
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from source
+
+    tidied = shared.tidy(batches)
+    assert tidied.__annotations__ == batches.__annotations__ and inspect.isgeneratorfunction(tidied)
+    assert list(tidied(iter([1, 2]))) == [1, 2] and len(done) == 1
+    assert shared.tidy(lambda table: table)(3) == 3 and len(done) == 2
