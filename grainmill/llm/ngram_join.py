@@ -216,6 +216,8 @@ def _verified(pairs: DataFrame, items: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) of items whose sets overlap enough, written. Shingles of one document only can't be in an intersection."""
     pairs = materialize(pairs, "pairs")
     total = pairs.count()
+    if not total:
+        return pairs
     left = items.select(F.col("item").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     right = items.select(F.col("item").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     both = F.size(F.array_intersect("ta", "tb"))
@@ -233,7 +235,7 @@ def _place(items: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def link(prof: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    """Components of the items (one per distinct set) that have links: node, comp."""
+    """Components of the items (one per distinct set) that can have links: node, comp."""
     live = prof.where(F.col("tokens").isNotNull())
     items = live.join(classes.select("item"), live.row_id == F.col("item"), "left_semi").select(F.col("row_id").alias("item"), "n", "lone", "prefix", "tokens", "bits", F.xxhash64("n", "lone", "prefix").alias("gid"))
     items = materialize(items, "items")
@@ -260,9 +262,10 @@ def link(prof: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     pivots = each.groupBy("token", "band").agg(F.max_by("pivot", F.struct("c", "pivot")).alias("pivot"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
     near = led.join(pivots, ["token", "band"]).where(f"comp <> pivot.comp AND least(r, pivot.r) >= ceil({threshold}L * (n + pivot.n) / {100 + threshold}.0D - 1e-9)")
     more = _verified(near.select(F.least("one", "pivot.one").alias("a"), F.greatest("one", "pivot.one").alias("b")).distinct(), items, threshold)
-    links, last = links.unionByName(more), placed
-    placed = _place(items, links)
-    discard(last)
+    if not more.isEmpty():  # else the components stay, and so does their table
+        links, last = links.unionByName(more), placed
+        placed = _place(items, links)
+        discard(last)
     # what is left: pairs of one bucket in different components
     cells = placed.groupBy("gid", "comp").agg(F.count(F.lit(1)).alias("size"), F.when(F.count(F.lit(1)) == 1, F.any_value("bits")).alias("bits"))
     spread = rows.select("token", "pos", "gid", "n", "lone", "head").join(cells, "gid")
@@ -296,10 +299,10 @@ def link(prof: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     m1, m2 = (placed.select(F.col("gid").alias(f"gid_{x}"), F.col("comp").alias(f"c{x}"), F.col("item").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "r", "bits"))) for x in "ab")
     close = sized & (F.expr(f"r_a + r_b - {differing('bits_a', 'bits_b')}") >= 2 * need)
     second = cand.join(m1, ["gid_a", "ca"]).join(m2, ["gid_b", "cb"]).where(close).select("a", "b")
-    links = links.unionByName(_verified(second, items, threshold))
-    out = materialize(connected_components(links), "components")
-    discard(items, rows, placed)
-    return out
+    more = _verified(second, items, threshold)
+    out = placed if more.isEmpty() else _place(items, links.unionByName(more))
+    discard(items, rows, *([placed] if out is not placed else []))
+    return out.select(F.col("item").alias("node"), "comp")
 
 
 def components(docs: DataFrame, k: int = 5, threshold: int = 80, row: str | None = None) -> DataFrame:

@@ -151,6 +151,17 @@ def test_texts_come_in_small_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
 
 
+def test_components_are_formed_again_only_for_new_links(spark, monkeypatch):
+    from grainmill.llm import ngram_join
+
+    calls, inner = [], ngram_join.connected_components
+    monkeypatch.setattr(ngram_join, "connected_components", lambda links: calls.append(1) or inner(links))
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words, f"end{i}"])) for i in range(4)] + [(9, "quite another text of its own with a few more words")]
+    assert run(spark, rows, 4, 85) == brute(rows, 4, 85)
+    assert len(calls) == 1  # three times before: the other searches found no link
+
+
 def test_tasks_give_memory_back(monkeypatch):
     from grainmill.llm import shared
 
